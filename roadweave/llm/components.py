@@ -1,0 +1,44 @@
+"""Connected components by alternating star contractions, all in DataFrames.
+
+Only grouped minima and equi-joins are used: a hub with many edges is reduced
+on the map side before the shuffle, and the joins are ones that Spark can split.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadweave.session import cut
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u long, v long) links -> (node, component): the smallest id reachable.
+
+    Nodes without links don't appear. Nulls and self-links are ignored,
+    repeated links count once. An empty table gives an empty table.
+    """
+    links = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = cut(links)
+    before = _state(links)
+    while before[0]:
+        # large star: every larger neighbour of u moves to u's smallest neighbour
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # small star: u and its smaller neighbours move to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        links = cut(small)
+        after = _state(links)
+        if after == before:
+            break
+        before = after
+    found = links.groupBy("u").agg(F.min("v").alias("component"))
+    roots = found.select(F.col("component").alias("node")).distinct()
+    return found.select(F.col("u").alias("node"), "component").unionByName(roots.select("node", F.col("node").alias("component")))
