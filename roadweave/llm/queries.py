@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import simhash
+from roadweave.llm import mixing, simhash
 from roadweave.session import table
 
 QUERIES = {}
@@ -16,6 +16,41 @@ def query(f):
     return f
 
 
+ORACLE_SQL["op7_mixing"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class FROM totals),
+steps AS (
+    SELECT *, class + 1 AS weight,
+        CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER w, 0) AS DOUBLE) AS rest,
+        CAST(sum(class + 1) OVER () - coalesce(sum(class + 1) OVER w, 0) AS DOUBLE) AS open
+    FROM ranked WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / (class + 1), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT coalesce(arg_min(rest / open, CAST(source_size AS DOUBLE) / weight) FILTER (rest / open * weight <= 3 * source_size), 0.0) AS l FROM steps),
+targets AS (SELECT source, class, source_size, least(weight * l, CAST(3 * source_size AS DOUBLE)) AS target FROM steps, level),
+placed AS (
+    SELECT doc_id, s.size, t.source_size, t.target, t.class,
+        CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.o, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+shared AS (SELECT *, least(CASE WHEN target > 0 THEN start / target ELSE 0.0 END, 1.0) AS u FROM placed)
+SELECT doc_id, size, source_size, target,
+    CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) + greatest(0, least(size, floor(target) - start - 2 * source_size)) AS BIGINT) AS taken,
+    CAST(floor(1e6 * CASE class
+        WHEN 0 THEN CASE WHEN u <= 0.625 THEN 2 * u / (1.5 + sqrt(greatest(2.25 - 2 * u, 0.0))) ELSE 0.5 + 2 * (u - 0.625) / (1.0 + sqrt(greatest(1.0 - 2 * (u - 0.625), 0.0))) END
+        WHEN 1 THEN 2 * u / 2.0
+        ELSE CASE WHEN u <= 0.375 THEN 2 * u / (0.5 + sqrt(0.25 + 2 * u)) ELSE 0.5 + 2 * (u - 0.375) / (1.0 + sqrt(1.0 + 2 * (u - 0.375))) END
+    END) AS BIGINT) AS position_ppm
+FROM shared
+"""
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    placed = mixed.orderBy("position", "doc_id")
+    return placed.select("doc_id", "size", "source_size", "target", "taken", F.floor(1e6 * F.col("position")).cast("long").alias("position_ppm"))
+
+
 @query
 def op9_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
