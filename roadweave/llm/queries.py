@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import mixing, simhash
+from roadweave.llm import mixing, simhash, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -55,3 +55,17 @@ def op7_mixing(spark, sf_dir):
 def op9_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_winnowing(spark, sf_dir):
+    found = winnowing.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.as_text(F.col("choices")).alias("fingerprint"),
+        winnowing.as_text(F.col("edited_choices")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
