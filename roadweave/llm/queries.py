@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import mixing, simhash, winnowing
+from roadweave.llm import decontamination, mixing, simhash, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -16,6 +16,11 @@ def query(f):
     return f
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE_SQL["op7_mixing"] = r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
