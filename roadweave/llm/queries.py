@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontamination, mixing, simhash, winnowing
+from roadweave.llm import decontamination, mixing, quality, simhash, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -21,6 +21,18 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = quality.score(docs, quality.fit(docs, labels)).drop("text")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 ORACLE_SQL["op7_mixing"] = r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
