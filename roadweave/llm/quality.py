@@ -112,7 +112,8 @@ def train(texts: list[bytes], good: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
-    """docs(doc_id, text), labels(doc_id, quality 0/1) -> model. Rows with null ids or labels aren't used."""
+    """docs(doc_id, text), labels(doc_id, quality 0/1) -> model. Rows with null ids or labels aren't used;
+    without any usable row every score is 0.5."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).dropna()
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())] + [pa.array([float(x)]) for x in (bias, a, b)], names=["w", "bias", "a", "b"])
 
     m = rows.select("doc_id", "text", "good").repartition(1).mapInArrow(learn, "w binary, bias double, a double, b double").first()
-    return m["w"], m["bias"], m["a"], m["b"]
+    return (m["w"], m["bias"], m["a"], m["b"]) if m else (np.zeros(SIZE, np.float32).tobytes(), 0.0, 0.0, 0.0)
 
 
 def score(docs: DataFrame, model: tuple, column: str = "score") -> DataFrame:

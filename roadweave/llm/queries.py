@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontamination, mixing, quality, simhash, winnowing
+from roadweave.llm import decontamination, mixing, quality, secrets, simhash, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -86,3 +86,9 @@ def op4_winnowing(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
