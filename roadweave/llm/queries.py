@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontamination, mixing, quality, secrets, simhash, winnowing
+from roadweave.llm import binary, decontamination, mixing, quality, secrets, simhash, tokens, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -92,3 +92,13 @@ def op4_winnowing(spark, sf_dir):
 def op6_secrets(spark, sf_dir):
     found = secrets.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_output(spark, sf_dir):
+    return binary.round_trip(table(spark, sf_dir, "documents"))
