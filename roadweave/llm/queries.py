@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import binary, decontamination, mixing, quality, secrets, simhash, tokens, winnowing
+from roadweave.llm import binary, decontamination, mixing, pages, quality, secrets, simhash, tokens, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -102,3 +102,8 @@ def op5_token_counts(spark, sf_dir):
 @query
 def op10_token_output(spark, sf_dir):
     return binary.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_main_text(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
