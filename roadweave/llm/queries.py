@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.llm import binary, decontamination, mixing, pages, quality, secrets, simhash, tokens, winnowing
+from roadweave.llm import binary, decontamination, mixing, pages, quality, secrets, simhash, substrings, tokens, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -107,3 +107,9 @@ def op10_token_output(spark, sf_dir):
 @query
 def op3_main_text(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_substrings(spark, sf_dir):
+    kept = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
