@@ -17,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.session import cut
+
 SPACE = r"[\x20\x09-\x0D]"
 WEIGHTS = (1, 2, 3)
 CAP = 3
+PLAN_ROWS = 200_000  # a plan of up to so many rows (about 60 bytes each) is broadcast
 #: Per class of weight, knots (time, relative weight) of a piecewise linear schedule with mean 1.
 SCHEDULES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 
@@ -90,11 +93,34 @@ def mix(docs: DataFrame, keep=(), weights=WEIGHTS, cap: int = CAP, schedules=SCH
     # structs, as keys, are equal where both sources are null
     plan = buckets.withColumn("key", F.struct("source")).join(targets.withColumn("key", F.struct("source")).drop("source"), "key")
     inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumns({"before": F.coalesce(F.sum("size").over(inside), F.lit(0)), "key": F.struct("source")})
-    rows = rows.join(plan.select("key", "bucket", "ahead", "class", "source_size", "target"), ["key", "bucket"])
+    plan = plan.select("key", "bucket", "ahead", "class", "source_size", "target")
+    if keep:  # wide rows: they stay where they are if the plan, a row for each source and bucket, is small
+        plan = cut(plan)
+        plan = F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan
+    rows = sized.withColumn("key", F.struct("source")).join(plan, ["key", "bucket"])
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     start = F.col("ahead") + F.col("before")
     whole = F.floor("target")
     copy = lambda e: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - start - e * F.col("source_size")))
     taken = sum((copy(e) for e in range(1, cap)), copy(0))
     share = F.when(F.col("target") > 0, start / F.col("target")).otherwise(F.lit(0.0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", start.alias("start"), taken.cast("long").alias("taken"), position(F.least(share, F.lit(1.0)), F.col("class") % len(schedules), schedules).alias("position"), *keep)
+    return rows.select("doc_id", "source", "size", "class", "source_size", "target", start.alias("start"), taken.cast("long").alias("taken"), position(F.least(share, F.lit(1.0)), F.col("class") % len(schedules), schedules).alias("position"), *keep)
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
+    """docs (doc_id, text, source and others) as the mix takes them, in training order: a row for each
+    copy, with docs' columns. The copy that reaches a source's target holds its first words only."""
+    columns = docs.columns
+    kept = docs.select(F.struct(*columns).alias("document"), "doc_id", "text", "source")
+    mixed = mix(kept, ("document",), weights, cap, schedules).where("taken > 0")
+    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    share = F.least((F.col("start") + F.col("copy") * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    placed = copies.select("document", "doc_id", "size", words.alias("words"), position(share, F.col("class") % len(schedules), schedules).alias("position"))
+    text = F.col("document.text")
+    # pieces of white space and a word
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    first = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
+    other = {"text": first} | ({"n_chars": F.char_length(first).cast("long")} if "n_chars" in columns else {})
+    rows = placed.orderBy("position", "doc_id").select(*[(other[c] if c in other else F.col("document").getField(c)).alias(c) for c in columns])
+    return rows

@@ -121,3 +121,91 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     found = components(links(fps))
     group = fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return each.join(group, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near copies: five-word shingles, Jaccard similarity of 0.8 or more.
+
+COPY_SHINGLE, SIMILARITY, COPY_RADIUS, KEYS = 5, 0.8, 26, 8
+SMALL_SET = 500_000  # lists of up to so many ids are broadcast
+PERMUTATIONS = [((0xD1B54A32D192ED03 * (2 * k + 1)) | 1) % 2**64 for k in range(KEYS)]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, body: hash of the words, keys: array<long> of KEYS smallest permuted shingle hashes)."""
+
+    def run(batches):
+        mult = np.array(PERMUTATIONS, np.uint64)
+        for batch in batches:
+            fps, bodies, keys = [], [], []
+            for t in batch.column(1).cast(pa.large_binary()).to_pylist():
+                h = np.unique(shingle_hashes(t or b"", COPY_SHINGLE))
+                bodies.append(signed(xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split()))))
+                if len(h):
+                    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    fps.append(signed(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])))
+                    mixed = h ^ (h >> np.uint64(31))
+                    keys.append([int((mixed * m ^ (mixed * m >> np.uint64(29))).min().view(np.int64)) for m in mult])
+                else:
+                    fps.append(0)
+                    keys.append([])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(bodies, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "body", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, body long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", COPY_SHINGLE)).view(np.int64) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, s array<long>")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Broadcast up to SMALL_SET rows of ids; beyond, Spark's own choice."""
+    return F.broadcast(df) if df.count() <= SMALL_SET else df
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component): documents of equal words, and chains of documents whose five-word shingles
+    have a Jaccard similarity of SIMILARITY or more; component is the smallest id of the group.
+
+    Such texts differ in about a sixth of the fingerprint's bits, too many for bit groups to be join keys.
+    So partners meet under one of KEYS smallest permuted shingle hashes (two texts at 0.8 miss all of them
+    once in 400,000 pairs), the pivot table discards what lies further apart than COPY_RADIUS bits, and the
+    exact similarity decides. Under a key that more than SMALL texts share, each text meets the one of
+    smallest id and the one nearest to the bitwise majority of their fingerprints.
+
+    Texts without words are equal. Rows that repeat a doc_id are one document; null ids stay out.
+    """
+    each = cut(sketches(docs.where("doc_id is not null")))
+    nodes = each.groupBy("body").agg(F.min("doc_id").alias("node"))
+    equal = each.join(nodes, "body").select("doc_id", "node").distinct()
+    rows = cut(each.join(nodes.withColumnRenamed("node", "doc_id"), ["body", "doc_id"]).dropDuplicates(["body"]).select(F.col("doc_id").alias("node"), "fp", "keys"))
+    near = F.array(*[distance(F.col("fp"), F.lit(signed(p))).cast("byte") for p in (0, *MASKS[:8], *SPREAD)])
+    keyed = rows.select("node", "fp", near.alias("near"), F.posexplode("keys").alias("k", "v")).withColumn("key", F.xxhash64("k", "v")).drop("k", "v")
+    counters = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(0x0000000100000001))).alias(f"l{k}") for k in range(32)]
+    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), *counters).where("n > 1")
+    met = met.withColumn("lanes", F.array(*[f"l{k}" for k in range(32)])).drop(*[f"l{k}" for k in range(32)])
+    majority = F.expr("aggregate(sequence(0, 31), 0L, (all, k) -> all | if(2 * (lanes[k] & 4294967295) > n, shiftleft(1L, k), 0L) | if(2 * shiftrightunsigned(lanes[k], 32) > n, shiftleft(1L, k + 32), 0L))")
+    live = cut(keyed.join(met.select("key", "n", "least", majority.alias("middle")), "key"))
+    small = live.where(F.col("n") <= SMALL).select("key", "node", "fp", "near")
+    a, b = small.toDF("key", "u", "fu", "nu"), small.toDF("key", "v", "fv", "nv")
+    pairs = a.join(b, "key").where("u < v")
+    large = live.where(F.col("n") > SMALL)
+    middle = large.groupBy("key").agg(F.min(F.struct(distance(F.col("fp"), F.col("middle")).alias("d"), "node")).alias("m")).select("key", F.col("m.node").alias("v"))
+    leaders = middle.unionByName(large.select("key", F.col("least").alias("v")).distinct()).distinct()
+    leaders = leaders.join(large.select("key", F.col("node").alias("v"), F.col("fp").alias("fv"), F.col("near").alias("nv")), ["key", "v"])
+    star = large.select("key", F.col("node").alias("u"), F.col("fp").alias("fu"), F.col("near").alias("nu")).join(leaders, "key").where("u != v")
+    apart = F.array_max(F.zip_with("nu", "nv", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    wanted = pairs.unionByName(star).where((apart <= COPY_RADIUS) & (distance(F.col("fu"), F.col("fv")) <= COPY_RADIUS))
+    wanted = cut(wanted.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ids = cut(wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct())
+    sets = cut(shingle_sets(docs.join(few(ids), "doc_id")).dropDuplicates(["node"]))
+    both = wanted.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    linked = both.where(common >= SIMILARITY * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    found = components(linked)
+    groups = equal.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return groups.groupBy("doc_id").agg(F.min("component").alias("component"))
