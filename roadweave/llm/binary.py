@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,47 +29,64 @@ LANES, STEPS = 1024, 256
 SCALE = 17
 LOW = np.uint64(1 << 31)
 END_ID = 2
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
     """text -> token ids of the library, as bytes of 32-bit numbers.
 
     A space after a printed character starts a new word for byte-level vocabularies,
-    so a text is the first word followed by words that begin with a space; each
-    distinct word is encoded once. Texts where a space stands beside other white
-    space are encoded as a whole.
+    so a text is the first word followed by words that begin with a space. Signs that
+    end a word after a letter stand apart from it too. So the library encodes each
+    distinct stem and each distinct ending once. Texts where a space stands beside
+    other white space are encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.memo: dict[str, bytes | None] = {}
+        self.stems: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers each word's ids after a space; None for words that aren't clean."""
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+            self.stems.clear()
+        parts = {}
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                self.memo[w] = None
+                continue
+            stem = w.rstrip(SIGNS)
+            if len(stem) == len(w) or not stem[-1:].isalpha() or not self.marks.isdisjoint(w):
+                parts[w] = (" " + w, "")
+            else:
+                parts[w] = (" " + stem, w[len(stem) :])
+        new = list({p for pair in parts.values() for p in pair}.difference(self.stems))
+        self.stems.update(zip(new, self.encode(new)))
+        for w, (stem, tail) in parts.items():
+            self.memo[w] = self.stems[stem] + self.stems[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo, split = self.memo, [t.split(" ") for t in texts]
-        missing: set[str] = set()
-        for words in split:
-            missing.update(set(words[1:]).difference(memo))
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            for words in split:
-                missing.update(words[1:])
-        clean = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
-        memo.update(dict.fromkeys(missing))
-        memo.update(zip(clean, self.encode([" " + w for w in clean])))
-        firsts = self.encode([w[0] for w in split])
-        out = []
-        for text, words, first in zip(texts, split, firsts):
-            rest = [memo[w] for w in words[1:]]
-            if None in rest or rest and words[0][-1:].isspace():
-                out += self.encode([text])
-            else:
-                out.append(first + b"".join(rest))
+        split = [t.split(" ") for t in texts]
+        firsts, rest = self.encode([w.pop(0) for w in split]), set().union(*split)
+        if missing := rest.difference(self.memo):
+            self.learn(missing if len(self.memo) + len(missing) <= MEMO else rest)
+        look, out = self.memo.__getitem__, []
+        for text, first, words in zip(texts, firsts, split):
+            try:
+                ids = first + b"".join(map(look, words))
+            except TypeError:  # a word that isn't clean
+                ids = None
+            if ids is None or words and text[: text.index(" ")][-1:].isspace():
+                ids = self.encode([text])[0]
+            out.append(ids)
         return out
 
 
