@@ -1,10 +1,11 @@
 """Substring deduplication: words covered by a window of WINDOW words that also starts earlier.
 
-1. Each window has an anchor: among its K-word hashes the smallest, of equals the
-   rightmost. Equal windows have equal anchors. Anchors that occur once are done.
-2. Windows in a row with one anchor make a passage. Equal passages are one, with
-   the earliest place; what remains is dealt out by anchor, so that equal windows
-   meet in one shard.
+1. Each window has an anchor: the smallest of its K-word hashes. Equal windows have
+   equal anchors. Anchors that occur once are done. Of documents with one and the
+   same text, all after the first lose all windows, and the first stands for them.
+2. Windows in a row with one anchor (up to SPAN) make a passage. Equal passages are
+   one, with the earliest place; what remains is dealt out by anchor, so that equal
+   windows meet in one shard.
 3. A shard builds compressed FM-indexes of whole anchors' passages and streams the
    passages through them: backward search over the wavelet matrix gives, for every
    window, the interval of suffixes that begin with it, and so its earliest place.
@@ -27,7 +28,6 @@ WINDOW, K, STRIDE = 20, 5, 5
 SPAN = WINDOW - K + 1
 INDEX_WORDS = 400_000  # an index holds about so many words, but always all of an anchor's
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
-PLACE = np.uint64((1 << 28) - 1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -36,7 +36,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: anchor's hash, its word, first window, number of windows."""
+    """Runs of up to SPAN windows with one anchor: anchor, first window, number of windows; and all K-word hashes."""
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 4
@@ -46,16 +46,16 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         g += hashes[j : j + grams] * np.uint64(ODD[j])
     g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
-    low = (g & ~PLACE) | (PLACE - (np.arange(grams, dtype=np.uint64) & PLACE))
-    width = 1
+    every, width = g.astype(np.int64), 1
     while width * 2 <= SPAN:
-        low = np.minimum(low[:-width], low[width:])
+        g = np.minimum(g[:-width], g[width:])
         width *= 2
     if width < SPAN:
-        low = np.minimum(low[: -(SPAN - width)], low[SPAN - width :])
-    at = (PLACE - (low & PLACE)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return g[at[start]].astype(np.int64), at[start], start, np.diff(start, append=n)
+        g = np.minimum(g[: -(SPAN - width)], g[SPAN - width :])
+    new = np.concatenate([[True], g[1:] != g[:-1]])
+    run = np.flatnonzero(new)
+    start = np.flatnonzero((np.arange(n) - run[np.cumsum(new) - 1]) % SPAN == 0)
+    return g[start].astype(np.int64), start, np.diff(start, append=n), every
 
 
 def earliest(passages: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -109,28 +109,33 @@ def earliest(passages: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tup
 
 
 def _anchor_rows(batches):
+    """Per document its anchors, each once, and whether their K words stand in it twice."""
     for batch in batches:
-        found = [[] for _ in range(4)]
+        found = [[] for _ in range(5)]
         for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
-            a, at, _, _ = anchors(word_hashes(t.split()))
-            if len(a):
-                for column, v in zip(found, (i, k, a, at)):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.list_(pa.int64())), pa.array(found[3], pa.list_(pa.int64()))], names=["id", "body", "anchors", "ats"])
+            a, _, _, every = anchors(word_hashes(t.split()))
+            each = np.unique(a)
+            if len(each):
+                place = np.minimum(np.searchsorted(each, every), len(each) - 1)
+                n = np.bincount(place[each[place] == every], minlength=len(each))
+            else:
+                n = each
+            for column, v in zip(found, (i, k, len(a) > 0, each, n > 1)):
+                column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_())))], names=["id", "body", "long", "anchors", "agains"])
 
 
 def _passage_rows(batches):
     for batch in batches:
         found = [[] for _ in range(6)]
-        for i, k, t, ats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
-            words = t.split()
-            wanted = set(ats)
-            for a, at, start, n in zip(*(x.tolist() for x in anchors(word_hashes(words)))):
-                if at in wanted:
+        for i, k, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
+            words, wanted = t.split(), set(wanted)
+            for a, start, n in zip(*(x.tolist() for x in anchors(word_hashes(words))[:3])):
+                if a in wanted:
                     passage = b" ".join(words[start : start + n + WINDOW - 1])
                     for column, v in zip(found, (i, k, start, a, xxhash.xxh3_128_digest(passage), passage)):
                         column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["id", "body", "start", "anchor", "key", "passage"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["id", "body", "start", "anchor", "key", "passage"])
 
 
 def _shard_rows(batches):
@@ -161,11 +166,16 @@ def _kept_rows(batches):
             gone = np.zeros(len(words) + 1, np.int32)
             for c in cuts or ():
                 start, mask = c["start"], c["mask"]
+                if start < 0:  # a document of this text came before
+                    gone[0] += 1
+                    continue
                 for k in range(SPAN):
                     if mask >> k & 1:
                         gone[start + k] += 1
                         gone[start + k + WINDOW] -= 1
             lost = np.cumsum(gone[:-1]) > 0
+            if len(words) < WINDOW:
+                lost[:] = False
             n = int(lost.sum())
             kept = b" ".join([w for w, x in zip(words, lost.tolist()) if not x] if n else words)
             for column, v in zip(out, (len(words), n, kept.decode())):
@@ -182,12 +192,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Other columns aren't looked at.
     """
     least = -(2**63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.mapInArrow(_anchor_rows, "id long, body long, anchors array<long>, ats array<long>")
-    each = found.select("id", "body", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("ats").alias("at"))).alias("a")).select("id", "body", F.col("a.anchor").alias("anchor"), F.col("a.at").cast("int").alias("at"))
-    twice = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = each.join(twice, "anchor").groupBy("id", "body").agg(F.collect_list("at").alias("ats"))
-    passages = rows.join(wanted, ["id", "body"]).select("id", "body", "text", "ats").mapInArrow(_passage_rows, "id long, body long, start long, anchor long, key binary, passage binary")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.unhex(F.md5(text)).alias("body"), text.alias("text"))
+    found = rows.mapInArrow(_anchor_rows, "id long, body binary, long boolean, anchors array<long>, agains array<boolean>")
+    each = found.select("id", "body", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("agains").alias("again"))).alias("a")).select("id", "body", "a.anchor", "a.again")
+    # anchors of one text only, once in it, are done, however many documents have that text
+    short = F.xxhash64("body")
+    twice = each.groupBy("anchor").agg(F.min(short).alias("low"), F.max(short).alias("high"), F.max("again").alias("again")).where("again or low != high").select("anchor")
+    same = rows.where(F.length("text") >= 2 * WINDOW - 1).groupBy("body").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("body", "first")
+    later = rows.select("id", "body").join(same, "body").where("id > first").select("id", "body").distinct()
+    wanted = each.select("id", "body", "anchor").join(twice, "anchor").groupBy("id", "body").agg(F.collect_list("anchor").alias("wanted"))
+    wanted = wanted.join(later, ["id", "body"], "left_anti")
+    passages = rows.join(wanted, ["id", "body"]).select("id", "body", "text", "wanted").mapInArrow(_passage_rows, "id long, body binary, start long, anchor long, key binary, passage binary")
     distinct = passages.groupBy("key", "anchor").agg(F.min(F.struct("id", "start")).alias("first"), F.first("passage").alias("passage"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.select("anchor", "key", "passage", "first.id", "first.start").repartition(shards, "anchor").sortWithinPartitions("anchor", "key")
@@ -195,6 +211,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     met = passages.select("id", "body", "start", "key").join(places, "key")
     before = lambda k: (F.get("docs", k) < F.col("id")) | ((F.get("docs", k) == F.col("id")) & (F.get("starts", k) < F.col("start") + k))
     mask = sum((F.when(before(F.lit(k)), 1 << k).otherwise(0) for k in range(1, SPAN)), F.when(before(F.lit(0)), 1).otherwise(0))
-    cuts = met.select("id", "body", "start", mask.alias("mask")).where("mask > 0").distinct().groupBy("id", "body").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
+    all_of = later.select("id", "body", F.lit(-1).cast("long").alias("start"), F.lit(0).alias("mask"))
+    cuts = met.select("id", "body", "start", mask.alias("mask")).where("mask > 0").distinct().unionByName(all_of).groupBy("id", "body").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
     kept = rows.join(cuts, ["id", "body"], "left").select("id", "text", "cuts").mapInArrow(_kept_rows, "id long, n_words long, n_removed long, kept string")
     return kept.select(F.nullif("id", F.lit(least)).alias("doc_id"), "n_words", "n_removed", "kept")
