@@ -1,45 +1,4 @@
-"""Registered queries of the network operators and their SQL oracles."""
+"""All registered queries of the network operators, with their SQL."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from roadweave.session import table
-
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-@query(
-    "drift_full_outer",
-    """
-    WITH live AS (SELECT l_orderkey AS way, l_linenumber AS ordinal, CAST(max(l_quantity) AS BIGINT) AS grade FROM lineitem WHERE l_partkey % 10 < 9 GROUP BY 1, 2),
-         retired AS (SELECT l_orderkey AS way, l_linenumber AS ordinal, CAST(max(l_quantity) AS BIGINT) AS grade FROM lineitem WHERE l_partkey % 10 > 0 GROUP BY 1, 2)
-    SELECT CAST(count(*) FILTER (live.way IS NULL) AS BIGINT) AS lost,
-           CAST(count(*) FILTER (retired.way IS NULL) AS BIGINT) AS added,
-           CAST(count(*) FILTER (live.grade <> retired.grade) AS BIGINT) AS regraded,
-           CAST(count(*) AS BIGINT) AS compared
-    FROM live FULL OUTER JOIN retired ON live.way = retired.way AND live.ordinal = retired.ordinal
-    """,
-)
-def drift_full_outer(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("ordinal"), "l_partkey", "l_quantity")
-    build = lambda keep, grade: line.where(keep).groupBy("way", "ordinal").agg(F.max("l_quantity").cast("long").alias(grade))
-    live, retired = build(F.col("l_partkey") % 10 < 9, "live"), build(F.col("l_partkey") % 10 > 0, "retired")
-    both = live.join(retired, ["way", "ordinal"], "full_outer")
-    return both.agg(
-        F.count_if(F.col("live").isNull()).alias("lost"),
-        F.count_if(F.col("retired").isNull()).alias("added"),
-        F.count_if(F.col("live") != F.col("retired")).alias("regraded"),
-        F.count("*").alias("compared"),
-    )
+from roadweave.plans import builds, feeds, lines, places  # noqa: F401
+from roadweave.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
