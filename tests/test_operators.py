@@ -1,0 +1,124 @@
+import itertools
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from roadweave.functions import geo, lines, rules
+from roadweave.operators import graph, joins, windows
+
+
+def metres(a, b):
+    p, q = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+    return 2 * 6_371_008.8 * math.asin(math.sqrt(h))
+
+
+def trace(rng, n):
+    x, y, out = -77.0, 38.9, []
+    for _ in range(n):
+        x, y = x + rng.uniform(-2e-4, 2e-4), y + rng.uniform(-2e-4, 2e-4)
+        out.append((x, y, rng.choice([None, rng.uniform(0, 60)])))
+    return out
+
+
+def test_folds_against_loops(spark):
+    rng = random.Random(4)
+    traces = [trace(rng, n) for n in (0, 1, 2, 3, 40, 130)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(traces)], "i int, p array<struct<lon double, lat double, ele double>>")
+    got = {r.i: r for r in df.select("i", lines.elevation_gain(F.transform("p", lambda s: s["ele"])).alias("gain"), lines.turns(F.col("p")).alias("turns"), lines.max_grade(F.col("p")).alias("grade"), lines.length(F.col("p")).alias("length"), F.transform(lines.pieces(F.col("p"), 10), lambda s: F.size(s)).alias("pieces")).collect()}
+    for i, t in enumerate(traces):
+        known, gain = [e for _, _, e in t if e is not None], 0.0
+        low = known[0] if known else 0
+        for h in known[1:]:
+            gain, low = (gain + h - low, h) if h > low + 3 else (gain, min(low, h))
+        assert abs(got[i].gain - gain) < 1e-9
+
+        def kept(least):
+            out = t[:1]
+            for p in t[1:]:
+                if metres(out[-1], p) >= least:
+                    out.append(p)
+            return out
+
+        grades = [abs(b[2] - a[2]) / metres(a, b) for a, b in itertools.pairwise(kept(30)) if a[2] is not None and b[2] is not None]
+        assert abs(got[i].grade - max(grades, default=0.0)) < 1e-9
+        assert abs(got[i].length - sum(metres(a, b) for a, b in itertools.pairwise(t))) < 1e-6
+        if len(t) > 1:
+            assert sum(got[i].pieces) == len(t) + len(got[i].pieces) - 1
+
+        def bearing(a, b):
+            p, q, d = math.radians(a[1]), math.radians(b[1]), math.radians(b[0] - a[0])
+            return math.degrees(math.atan2(math.sin(d) * math.cos(q), math.cos(p) * math.sin(q) - math.sin(p) * math.cos(q) * math.cos(d))) % 360
+
+        ways = [bearing(a, b) for a, b in itertools.pairwise(kept(5))]
+        assert got[i].turns == sum(abs((b - a + 180) % 360 - 180) > 40 for a, b in itertools.pairwise(ways))
+
+
+def test_geometry(spark):
+    line = F.array(*[geo.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (0.001, 0.0), (0.001, 0.001))])
+    row = spark.range(1).select(
+        geo.distance_to_line(geo.point(F.lit(0.0005), F.lit(0.0002)), line).alias("d"),
+        F.size(geo.densify(line, 20.0)).alias("n"),
+        geo.tile_bounds(F.lit(1), F.lit(0), 1).alias("b"),
+        rules.piecewise(F.lit(0.04), [(0.0, 0.0), (0.03, 12.0), (0.05, 13.0)]).alias("f"),
+        rules.effort_factor(F.lit(0.05)).alias("e"),
+        lines.sinuosity(line, 10.0).alias("s"),
+    ).first()
+    assert abs(row.d - metres((0, 0), (0, 0.0002))) < 0.01 and row.n == 13
+    assert row.b.west == 0 and abs(row.b.north - 85.0511) < 1e-3 and row.b.south == 0
+    assert row.f == 12.5 and row.e > 2 and abs(row.s - math.sqrt(2)) < 1e-3
+
+
+def test_joins_against_brute_force(spark):
+    rng = random.Random(8)
+    a = [(i, rng.randrange(-500, 500), rng.randrange(-500, 500)) for i in range(60)]
+    b = [(i, rng.randrange(-500, 500), rng.randrange(-500, 500)) for i in range(40)]
+    left, right = spark.createDataFrame(a, "id long, x long, y long"), spark.createDataFrame(b, "sid long, sx long, sy long")
+    d2 = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    got = {(r.id, r.sid) for r in joins.proximity_join(left, right, ("x", "y"), ("sx", "sy"), 100).collect()}
+    assert got == {(p[0], q[0]) for p in a for q in b if d2(p, q) <= 10000}
+    got = sorted((r.id, r["rank"], r.sid) for r in joins.knn_join(left, right, "id", ("x", "y"), ("sx", "sy"), ["sid"], 3, 20).collect())
+    assert got == sorted((p[0], k + 1, q[0]) for p in a for k, q in enumerate(sorted(b, key=lambda q: (d2(p, q), q[0]))[:3]))
+    assert joins.knn_join(left, right.limit(0), "id", ("x", "y"), ("sx", "sy"), ["sid"]).count() == 0
+    s = [(i, "l", lo, lo + rng.randrange(0, 90)) for i in range(60) for lo in [rng.randrange(-200, 400)]]
+    spans = spark.createDataFrame(s, "a long, l string, alo long, ahi long")
+    got = {(r.a, r.b) for r in joins.interval_overlap_join(spans, spans.toDF("b", "l", "blo", "bhi"), ["l"], ("alo", "ahi"), ("blo", "bhi"), 30).collect()}
+    assert got == {(p[0], q[0]) for p in s for q in s if p[2] < q[3] and q[2] < p[3] and p[2] < p[3] and q[2] < q[3]}
+
+
+def test_stop_order_against_permutations(spark):
+    rng = random.Random(3)
+    for n in (2, 3, 5, 7):
+        cost = [[rng.choice([rng.uniform(1, 9), None]) if rng.random() < 0.2 else rng.uniform(1, 9) for _ in range(n)] for _ in range(n)]
+        total = lambda o: sum(float("inf") if cost[a][b] is None else cost[a][b] for a, b in itertools.pairwise(o))
+        best = min(total([0, *p, n - 1]) for p in itertools.permutations(range(1, n - 1)))
+        c, order = graph.best_order(cost)
+        assert c == best or abs(c - best) < 1e-9
+        assert sorted(order) == list(range(n)) and (total(order) == c or abs(total(order) - c) < 1e-9)
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 300) if i % 100 != 99] + [(500, 400), (400, 500), (7, 7), (600, 700), (700, 650)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == i // 100 * 100 for i in range(300)) and got[500] == 400 and got[650] == 600 and got[300] == 200 + 0 * got[300] if 300 in got else True
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_loads_against_all_paths(spark):
+    rng = random.Random(6)
+    edges = [(u, v, float(rng.randrange(1, 9))) for u in range(8) for v in range(u) if rng.random() < 0.5]
+    cost, via = graph.least_costs(edges, 0)
+    reach = {0: 0.0}
+    for _ in range(8):
+        for u, v, c in edges:
+            for a, b in ((u, v), (v, u)):
+                if a in reach:
+                    reach[b] = min(reach.get(b, 1e9), reach[a] + c)
+    assert cost == reach and all(cost[d] > cost[p] for d, p in via.items())
+
+
+def test_doubt(spark):
+    df = spark.createDataFrame([([30, 31, 29], 3), ([30, 31, 29], 0), ([4, 4, 4], 0), ([30], 0), ([None, 30, 30, 30], 6)], "counts array<long>, found long")
+    usual = windows.usual_count(F.col("counts"))
+    assert [r.d for r in df.select(windows.doubt(usual, F.col("found")).alias("d")).collect()] == ["shrunk", "empty", None, None, None]
