@@ -89,3 +89,39 @@ def peak_load(spans: DataFrame, by: list[str], lo: str, hi: str, weight: str) ->
     held = cuts.groupBy(*by, "at").agg(F.sum("d").alias("d")).withColumn("held", F.sum("d").over(run))
     best = held.groupBy(*by).agg(F.min(F.struct((-F.col("held")).alias("h"), "at")).alias("m"))
     return best.select(*by, (-F.col("m.h")).alias("peak"), F.col("m.at").alias("at"))
+
+
+WINDOW_M = 300.0
+
+
+def effort_windows(profile: Column, least: float = WINDOW_M) -> Column:
+    """profile: array<struct<m, h>> in order -> array<struct<begin, end, rise>>: windows of `least` metres or more; a
+    missing height ends a run, and what is left of it is a window too."""
+    gap = F.lit(None).cast("struct<m:double,h:double>")
+    empty = F.array().cast("array<struct<begin:double,end:double,rise:double>>")
+    start = F.struct(empty.alias("out"), gap.alias("first"), gap.alias("last"))
+    piece = lambda a, b: F.array(F.struct(a["m"].alias("begin"), b["m"].alias("end"), (b["h"] - a["h"]).alias("rise")))
+    left = lambda acc: F.when(acc["last"]["m"] > acc["first"]["m"], F.concat(acc["out"], piece(acc["first"], acc["last"]))).otherwise(acc["out"])
+
+    def step(acc, s):
+        s = F.struct(s["m"].cast("double").alias("m"), s["h"].cast("double").alias("h"))
+        first = F.coalesce(acc["first"], s)
+        full = s["m"] - first["m"] >= least
+        on = F.struct(F.when(full, F.concat(acc["out"], piece(first, s))).otherwise(acc["out"]).alias("out"), F.when(full, s).otherwise(first).alias("first"), s.alias("last"))
+        return F.when(s["h"].isNull(), F.struct(left(acc).alias("out"), gap.alias("first"), gap.alias("last"))).otherwise(on)
+
+    return F.aggregate(profile, start, step, left)
+
+
+def waits(marks: Column, merge: float) -> Column:
+    """marks: array<struct<m, seconds>> in order -> seconds: marks within `merge` metres of the first of a run count once,
+    at the dearest."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("first"), F.lit(0.0).alias("dear"))
+
+    def step(acc, s):
+        near = s["m"] - acc["first"] <= merge
+        return F.when(near, F.struct(acc["total"].alias("total"), acc["first"].alias("first"), F.greatest(acc["dear"], s["seconds"].cast("double")).alias("dear"))).otherwise(
+            F.struct((acc["total"] + acc["dear"]).alias("total"), s["m"].cast("double").alias("first"), s["seconds"].cast("double").alias("dear"))
+        )
+
+    return F.aggregate(marks, start, step, lambda acc: acc["total"] + acc["dear"])
