@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadweave.llm.tokens import MEMO, tokenizer_path
+from roadweave.llm.tokens import tokenizer_path
 from roadweave.session import shared_dir
 
 SEGMENT = 1 << 20
+WORDS = 400_000  # words that a task remembers, about 400 bytes each with their stems; then it starts afresh
 LANES, STEPS = 1024, 256
 SCALE = 17
 LOW = np.uint64(1 << 31)
@@ -55,7 +56,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Remembers each word's ids after a space; None for words that aren't clean."""
-        if len(self.memo) + len(words) > MEMO:
+        if len(self.memo) + len(words) > WORDS:
             self.memo.clear()
             self.stems.clear()
         parts = {}
@@ -77,7 +78,7 @@ class Encoder:
         split = [t.split(" ") for t in texts]
         firsts, rest = self.encode([w.pop(0) for w in split]), set().union(*split)
         if missing := rest.difference(self.memo):
-            self.learn(missing if len(self.memo) + len(missing) <= MEMO else rest)
+            self.learn(missing if len(self.memo) + len(missing) <= WORDS else rest)
         look, out = self.memo.__getitem__, []
         for text, first, words in zip(texts, firsts, split):
             try:
