@@ -25,7 +25,8 @@ from roadweave.llm.tokens import tokenizer_path
 from roadweave.session import shared_dir
 
 SEGMENT = 1 << 20
-WORDS = 400_000  # words that a task remembers, about 400 bytes each with their stems; then it starts afresh
+WORDS = 200_000  # words of a generation, about 200 bytes each; a task remembers two generations
+TOGETHER = 1000  # words that are encoded as one text
 LANES, STEPS = 1024, 256
 SCALE = 17
 LOW = np.uint64(1 << 31)
@@ -37,10 +38,14 @@ class Encoder:
     """text -> token ids of the library, as bytes of 32-bit numbers.
 
     A space after a printed character starts a new word for byte-level vocabularies,
-    so a text is the first word followed by words that begin with a space. Signs that
-    end a word after a letter stand apart from it too. So the library encodes each
-    distinct stem and each distinct ending once. Texts where a space stands beside
-    other white space are encoded as a whole.
+    and a line break between printed characters stands alone, so a text is its first
+    word followed by words that begin with a space or a line break. Signs that end a
+    word after a letter stand apart from it too. So the library encodes each distinct
+    stem and each distinct ending once. Texts where white space stands beside a space
+    or a line break are encoded as a whole.
+
+    Words of the last one or two generations are remembered: a full generation
+    becomes the old one, from which words in use move on to the new one.
     """
 
     def __init__(self, path: str):
@@ -48,44 +53,80 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.memo: dict[str, bytes | None] = {}
-        self.stems: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if self.tokenizer.decode([i], skip_special_tokens=False)[:1] in (" ", "\n")]] = True
+        self.memo: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def split(self, word: str) -> tuple[str, str]:
+        """Stem and ending; the ending is empty where they can't be told apart."""
+        stem = word.rstrip(SIGNS)
+        if len(stem) == len(word) or not stem[-1:].isalpha() or not self.marks.isdisjoint(word):
+            return word, ""
+        return stem, word[len(stem) :]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of clean words after a space (or after their own line break): many make one text, whose ids are
+        cut where a token begins with a space or a line break."""
+        out = []
+        for a in range(0, len(words), TOGETHER):
+            part = words[a : a + TOGETHER]
+            text = "".join([w if w[0] == "\n" else " " + w for w in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            edges, data = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)], ids.tobytes()
+            out += [data[x:y] for x, y in zip(edges, edges[1:])] if len(edges) == len(part) + 1 else self.encode([w if w[0] == "\n" else " " + w for w in part])
+        return out
+
     def learn(self, words: set[str]) -> None:
-        """Remembers each word's ids after a space; None for words that aren't clean."""
-        if len(self.memo) + len(words) > WORDS:
-            self.memo.clear()
-            self.stems.clear()
-        parts = {}
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                self.memo[w] = None
+        """Remembers each word's ids after a space or line break; False for words that aren't clean."""
+        memo, old, new, ended = self.memo, self.old, set(), []
+        again = list(words & old.keys())
+        memo.update(zip(again, map(old.__getitem__, again)))
+        for w in words.difference(again):
+            if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace()):
+                memo[w] = False
                 continue
-            stem = w.rstrip(SIGNS)
-            if len(stem) == len(w) or not stem[-1:].isalpha() or not self.marks.isdisjoint(w):
-                parts[w] = (" " + w, "")
-            else:
-                parts[w] = (" " + stem, w[len(stem) :])
-        new = list({p for pair in parts.values() for p in pair}.difference(self.stems))
-        self.stems.update(zip(new, self.encode(new)))
-        for w, (stem, tail) in parts.items():
-            self.memo[w] = self.stems[stem] + self.stems[tail]
+            stem, tail = (w, "") if w[-1].isalpha() else self.split(w)
+            if tail:
+                ended.append((w, stem, tail))
+                if stem in old:
+                    memo[stem] = old[stem]
+            if stem not in memo:
+                new.add(stem)
+        order = list(new)
+        memo.update(zip(order, self.encode_words(order)))
+        if len(self.tails) > WORDS // 4:
+            self.tails.clear()
+        endings = list({t for _, _, t in ended}.difference(self.tails))
+        self.tails.update(zip(endings, self.encode(endings)))
+        for w, stem, tail in ended:
+            memo[w] = memo[stem] + self.tails[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        firsts, rest = self.encode([w.pop(0) for w in split]), set().union(*split)
-        if missing := rest.difference(self.memo):
-            self.learn(missing if len(self.memo) + len(missing) <= WORDS else rest)
-        look, out = self.memo.__getitem__, []
-        for text, first, words in zip(texts, firsts, split):
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        starts = [w.pop(0) for w in split]
+        firsts, known, missing = self.encode(starts), [], set()
+        for words in split:
+            known.append(found := list(map(self.memo.get, words)))
+            if None in found:
+                missing.update(w for w, ids in zip(words, found) if ids is None)
+        if len(self.memo) + len(missing) > WORDS:
+            self.old, self.memo = self.memo, {}
+        self.learn(missing)
+        memo, out = self.memo, []
+        for text, start, first, words, found in zip(texts, starts, firsts, split, known):
+            if None in found:
+                found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
             try:
-                ids = first + b"".join(map(look, words))
+                ids = first + b"".join(found)
             except TypeError:  # a word that isn't clean
                 ids = None
-            if ids is None or words and text[: text.index(" ")][-1:].isspace():
+            if ids is None or words and start[-1:].isspace():
                 ids = self.encode([text])[0]
             out.append(ids)
         return out
