@@ -16,13 +16,16 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm.fmindex import FMIndex
+from roadweave.session import cut
 
 WINDOW, K, STRIDE = 20, 5, 5
 SPAN = WINDOW - K + 1
@@ -183,6 +186,12 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.large_string()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, n_removed, kept string: the kept words joined by spaces) per row.
 
@@ -193,8 +202,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     least = -(2**63)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.unhex(F.md5(text)).alias("body"), text.alias("text"))
-    found = rows.mapInArrow(_anchor_rows, "id long, body binary, long boolean, anchors array<long>, agains array<boolean>")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("body"), text.alias("text"))  # never null: both joins of rows share a shuffle
+    found = cut(rows.mapInArrow(_anchor_rows, "id long, body binary, long boolean, anchors array<long>, agains array<boolean>").select("id", "body", "anchors", "agains"))
     each = found.select("id", "body", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("agains").alias("again"))).alias("a")).select("id", "body", "a.anchor", "a.again")
     # anchors of one text only, once in it, are done, however many documents have that text
     short = F.xxhash64("body")
@@ -202,7 +211,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     same = rows.where(F.length("text") >= 2 * WINDOW - 1).groupBy("body").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("body", "first")
     later = rows.select("id", "body").join(same, "body").where("id > first").select("id", "body").distinct()
     wanted = each.select("id", "body", "anchor").join(twice, "anchor").groupBy("id", "body").agg(F.collect_list("anchor").alias("wanted"))
-    wanted = wanted.join(later, ["id", "body"], "left_anti")
+    wanted = cut(wanted.join(later, ["id", "body"], "left_anti"))
+    release(docs.sparkSession)
     passages = rows.join(wanted, ["id", "body"]).select("id", "body", "text", "wanted").mapInArrow(_passage_rows, "id long, body binary, start long, anchor long, key binary, passage binary")
     distinct = passages.groupBy("key", "anchor").agg(F.min(F.struct("id", "start")).alias("first"), F.first("passage").alias("passage"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
