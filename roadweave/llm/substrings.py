@@ -4,8 +4,8 @@
    equal anchors. Anchors that occur once are done. Of documents with one and the
    same text, all after the first lose all windows, and the first stands for them.
 2. Windows in a row with one anchor (up to SPAN) make a passage. Equal passages are
-   one, with the earliest place; what remains is dealt out by anchor, so that equal
-   windows meet in one shard.
+   one, with the earliest place, first inside each task and then where they are dealt
+   out by anchor, so that equal windows meet in one shard.
 3. A shard builds compressed FM-indexes of whole anchors' passages and streams the
    passages through them: backward search over the wavelet matrix gives, for every
    window, the interval of suffixes that begin with it, and so its earliest place.
@@ -16,12 +16,10 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm.fmindex import FMIndex
@@ -30,6 +28,7 @@ from roadweave.session import cut
 WINDOW, K, STRIDE = 20, 5, 5
 SPAN = WINDOW - K + 1
 INDEX_WORDS = 400_000  # an index holds about so many words, but always all of an anchor's
+COMBINE = 50_000  # passages that a task combines before it sends them
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -114,7 +113,7 @@ def earliest(passages: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tup
 def _anchor_rows(batches):
     """Per document its anchors, each once, and whether their K words stand in it twice."""
     for batch in batches:
-        found = [[] for _ in range(5)]
+        found = [[] for _ in range(4)]
         for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
             a, _, _, every = anchors(word_hashes(t.split()))
             each = np.unique(a)
@@ -123,40 +122,70 @@ def _anchor_rows(batches):
                 n = np.bincount(place[each[place] == every], minlength=len(each))
             else:
                 n = each
-            for column, v in zip(found, (i, k, len(a) > 0, each, n > 1)):
+            for column, v in zip(found, (i, k, each, n > 1)):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_())))], names=["id", "body", "long", "anchors", "agains"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())))], names=["id", "short", "anchors", "agains"])
+
+
+def _each_passage(batch):
+    for i, k, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
+        words, wanted = t.split(), set(wanted)
+        for a, start, n in zip(*(x.tolist() for x in anchors(word_hashes(words))[:3])):
+            if a in wanted:
+                passage = b" ".join(words[start : start + n + WINDOW - 1])
+                yield i, k, start, a, xxhash.xxh3_128_digest(passage), passage
 
 
 def _passage_rows(batches):
+    """Where each passage stands, by its key."""
+    for batch in batches:
+        found = list(zip(*((i, k, start, key) for i, k, start, _, key, _ in _each_passage(batch)))) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "short", "start", "key"])
+
+
+def _combined_rows(batches):
+    """Passages, each with its earliest place so far: once for each COMBINE different ones of a task."""
+    first: dict[bytes, tuple] = {}
+
+    def rows():
+        columns = list(zip(*((a, key, i, start, passage) for key, (i, start, a, passage) in first.items())))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "key", "id", "start", "passage"])
+
     for batch in batches:
-        found = [[] for _ in range(6)]
-        for i, k, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
-            words, wanted = t.split(), set(wanted)
-            for a, start, n in zip(*(x.tolist() for x in anchors(word_hashes(words))[:3])):
-                if a in wanted:
-                    passage = b" ".join(words[start : start + n + WINDOW - 1])
-                    for column, v in zip(found, (i, k, start, a, xxhash.xxh3_128_digest(passage), passage)):
-                        column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["id", "body", "start", "anchor", "key", "passage"])
+        for i, _, start, a, key, passage in _each_passage(batch):
+            known = first.get(key)
+            if known is None or (i, start) < known[:2]:
+                first[key] = (i, start, a, passage)
+            if len(first) >= COMBINE:
+                yield rows()
+                first.clear()
+    if first:
+        yield rows()
 
 
 def _shard_rows(batches):
-    """Passages by ascending anchor -> per passage the earliest places of its windows."""
+    """Passages by ascending anchor and key -> per passage its earliest place, its number of windows, and the earliest
+    places of these; none where each window's is in the passage's own."""
     held: list[tuple] = []
-    size, last = 0, None
+    size, last, latest = 0, None, None
 
     def index():
-        docs, starts = earliest([p for _, p, _, _ in held], np.array([d for _, _, d, _ in held]), np.array([s for _, _, _, s in held]))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _, _ in held], pa.binary()), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))], names=["key", "docs", "starts"])
+        ids, begins = (np.array([h[k] for h in held]) for k in (2, 3))
+        docs, starts = earliest([p for _, p, _, _ in held], ids, begins)
+        own = [bool((d == i).all() and (s == b + np.arange(len(s))).all()) for d, s, i, b in zip(docs, starts, ids, begins)]
+        places = [pa.array([None if o else v for v, o in zip(values, own)], pa.list_(pa.int64())) for values in (docs, starts)]
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array(ids), pa.array(begins), pa.array(list(map(len, docs)), pa.int32()), *places], names=["key", "first_id", "first_start", "n", "docs", "starts"])
 
     for batch in batches:
         for anchor, key, passage, doc, start in zip(*(c.to_pylist() for c in batch.columns)):
+            if key == latest:  # sent by another task too
+                held[-1] = (key, passage, *min(held[-1][2:], (doc, start)))
+                continue
             if size >= INDEX_WORDS and anchor != last:
                 yield index()
                 held, size = [], 0
             held.append((key, passage, doc, start))
-            size, last = size + passage.count(b" ") + 1, anchor
+            size, last, latest = size + passage.count(b" ") + 1, anchor, key
     if held:
         yield index()
 
@@ -186,12 +215,6 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.large_string()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, n_removed, kept string: the kept words joined by spaces) per row.
 
@@ -202,26 +225,30 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     least = -(2**63)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("body"), text.alias("text"))  # never null: both joins of rows share a shuffle
-    found = cut(rows.mapInArrow(_anchor_rows, "id long, body binary, long boolean, anchors array<long>, agains array<boolean>").select("id", "body", "anchors", "agains"))
-    each = found.select("id", "body", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("agains").alias("again"))).alias("a")).select("id", "body", "a.anchor", "a.again")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.xxhash64(text).alias("short"), text.alias("text"))  # keys aren't null: both joins of rows share a shuffle
+    found = cut(rows.mapInArrow(_anchor_rows, "id long, short long, anchors array<long>, agains array<boolean>"))
+    each = found.select("id", "short", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("agains").alias("again"))).alias("a"))
     # anchors of one text only, once in it, are done, however many documents have that text
-    short = F.xxhash64("body")
-    twice = each.groupBy("anchor").agg(F.min(short).alias("low"), F.max(short).alias("high"), F.max("again").alias("again")).where("again or low != high").select("anchor")
-    same = rows.where(F.length("text") >= 2 * WINDOW - 1).groupBy("body").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("body", "first")
-    later = rows.select("id", "body").join(same, "body").where("id > first").select("id", "body").distinct()
-    wanted = each.select("id", "body", "anchor").join(twice, "anchor").groupBy("id", "body").agg(F.collect_list("anchor").alias("wanted"))
-    wanted = cut(wanted.join(later, ["id", "body"], "left_anti"))
-    release(docs.sparkSession)
-    passages = rows.join(wanted, ["id", "body"]).select("id", "body", "text", "wanted").mapInArrow(_passage_rows, "id long, body binary, start long, anchor long, key binary, passage binary")
-    distinct = passages.groupBy("key", "anchor").agg(F.min(F.struct("id", "start")).alias("first"), F.first("passage").alias("passage"))
+    other = F.when(F.col("a.again"), F.bitwise_not("short")).otherwise(F.col("short"))
+    twice = each.groupBy(F.col("a.anchor").alias("anchor")).agg(F.min(F.least("short", other)).alias("low"), F.max(F.greatest("short", other)).alias("high")).where("low != high").select("anchor")
+    bodies = rows.where(F.length("text") >= 2 * WINDOW - 1).select("id", "short", F.md5("text").alias("body"))
+    same = bodies.groupBy("body").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("body", "first")
+    later = cut(bodies.join(same, "body").where("id > first").select("id", "short").distinct())
+    wanted = each.select("id", "short", F.col("a.anchor").alias("anchor")).join(twice, "anchor").groupBy("id", "short").agg(F.collect_list("anchor").alias("wanted"))
+    wanted = cut(wanted.join(later, ["id", "short"], "left_anti"))
+    searched = rows.join(wanted, ["id", "short"]).select("id", "short", "text", "wanted")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select("anchor", "key", "passage", "first.id", "first.start").repartition(shards, "anchor").sortWithinPartitions("anchor", "key")
-    places = dealt.mapInArrow(_shard_rows, "key binary, docs array<long>, starts array<long>")
-    met = passages.select("id", "body", "start", "key").join(places, "key")
-    before = lambda k: (F.get("docs", k) < F.col("id")) | ((F.get("docs", k) == F.col("id")) & (F.get("starts", k) < F.col("start") + k))
-    mask = sum((F.when(before(F.lit(k)), 1 << k).otherwise(0) for k in range(1, SPAN)), F.when(before(F.lit(0)), 1).otherwise(0))
-    all_of = later.select("id", "body", F.lit(-1).cast("long").alias("start"), F.lit(0).alias("mask"))
-    cuts = met.select("id", "body", "start", mask.alias("mask")).where("mask > 0").distinct().unionByName(all_of).groupBy("id", "body").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
-    kept = rows.join(cuts, ["id", "body"], "left").select("id", "text", "cuts").mapInArrow(_kept_rows, "id long, n_words long, n_removed long, kept string")
+    combined = searched.mapInArrow(_combined_rows, "anchor long, key binary, id long, start long, passage binary")
+    dealt = combined.repartition(shards, "anchor").sortWithinPartitions("anchor", "key").select("anchor", "key", "passage", "id", "start")
+    places = dealt.mapInArrow(_shard_rows, "key binary, first_id long, first_start long, n int, docs array<long>, starts array<long>")
+    met = searched.mapInArrow(_passage_rows, "id long, short long, start long, key binary").join(places, "key")
+
+    def before(k: int):
+        doc, start = F.coalesce(F.get("docs", F.lit(k)), "first_id"), F.coalesce(F.get("starts", F.lit(k)), F.col("first_start") + k)
+        return (F.col("n") > k) & ((doc < F.col("id")) | ((doc == F.col("id")) & (start < F.col("start") + k)))
+
+    mask = sum((F.when(before(k), 1 << k).otherwise(0) for k in range(1, SPAN)), F.when(before(0), 1).otherwise(0))
+    all_of = later.select("id", "short", F.lit(-1).cast("long").alias("start"), F.lit(0).alias("mask"))
+    cuts = met.select("id", "short", "start", mask.alias("mask")).where("mask > 0").distinct().unionByName(all_of).groupBy("id", "short").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
+    kept = rows.join(cuts, ["id", "short"], "left").select("id", "text", "cuts").mapInArrow(_kept_rows, "id long, n_words long, n_removed long, kept string")
     return kept.select(F.nullif("id", F.lit(least)).alias("doc_id"), "n_words", "n_removed", "kept")
