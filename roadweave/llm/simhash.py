@@ -127,14 +127,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 COPY_SHINGLE, SIMILARITY, COPY_RADIUS, KEYS = 5, 0.8, 26, 8
 SMALL_SET = 500_000  # lists of up to so many ids are broadcast
-PERMUTATIONS = [((0xD1B54A32D192ED03 * (2 * k + 1)) | 1) % 2**64 for k in range(KEYS)]
+SEEDS = [xxhash.xxh64_intdigest(bytes([k])) for k in range(KEYS)]
+
+
+def permuted(h: np.ndarray, seed: int) -> np.ndarray:
+    """A permutation of 64-bit numbers; multiples of one another would all have the same smallest element."""
+    z = (h ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93)
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(32))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, body: hash of the words, keys: array<long> of KEYS smallest permuted shingle hashes)."""
 
     def run(batches):
-        mult = np.array(PERMUTATIONS, np.uint64)
         for batch in batches:
             fps, bodies, keys = [], [], []
             for t in batch.column(1).cast(pa.large_binary()).to_pylist():
@@ -143,8 +149,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(h):
                     ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                     fps.append(signed(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])))
-                    mixed = h ^ (h >> np.uint64(31))
-                    keys.append([int((mixed * m ^ (mixed * m >> np.uint64(29))).min().view(np.int64)) for m in mult])
+                    keys.append([int(permuted(h, seed).min().view(np.int64)) for seed in SEEDS])
                 else:
                     fps.append(0)
                     keys.append([])
