@@ -172,6 +172,38 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_SET else df
 
 
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose sets have a Jaccard similarity of SIMILARITY or more."""
+    both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common >= SIMILARITY * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+def unmet(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """sets(node, s), found(node, component) -> pairs (u, v) of different components, among them all of SIMILARITY or more.
+
+    Each set is ordered by how many of the sets hold a shingle. Two sets of n <= m shingles at similarity t have
+    t / (1 + t) * (n + m) or more in common, so the first common one is among the first n / 9 (t = 0.8) of the smaller
+    and the first m / 5 of the larger, and as many must follow it in both. Members of one component needn't meet: under
+    a shingle those of its most frequent component meet only the others.
+    """
+    each = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("h"))
+    held = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    order = each.join(held, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o")).withColumn("alone", F.col("n") - F.size("o"))
+    first = lambda share: F.floor(F.col("n") * share + 1e-9).cast("int")
+    rows = order.select("node", "n", "alone", F.posexplode(F.slice("o", F.lit(1), F.greatest(first(1 - SIMILARITY) + 1 - F.col("alone"), F.lit(0)))).alias("at", "x"))
+    rows = rows.select("node", "n", (F.col("alone") + F.col("at")).alias("at"), "x.h").join(found, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
+    rows = cut(rows)
+    top = rows.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "g")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    live = rows.join(top.select("h", "top.g").toDF("h", "most"), "h").withColumn("other", F.col("g") != F.col("most"))
+    meets = F.when(F.col("other"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    a = live.where(F.col("at") <= first((1 - SIMILARITY) / (1 + SIMILARITY))).select("h", F.explode(meets).alias("other"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("pu"), F.col("g").alias("gu"))
+    b = live.select("h", "other", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("pv"), F.col("g").alias("gv"))
+    sized = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    enough = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("nu") + F.col("nv")) - 1e-6
+    return a.join(b, ["h", "other"]).where((F.col("gu") != F.col("gv")) & sized & enough).select("u", "v").distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component): documents of equal words, and chains of documents whose five-word shingles
     have a Jaccard similarity of SIMILARITY or more; component is the smallest id of the group.
@@ -180,7 +212,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     So partners meet under one of KEYS smallest permuted shingle hashes (two texts at 0.8 miss all of them
     once in 400,000 pairs), the pivot table discards what lies further apart than COPY_RADIUS bits, and the
     exact similarity decides. Under a key that more than SMALL texts share, each text meets the one of
-    smallest id and the one nearest to the bitwise majority of their fingerprints.
+    smallest id and the one nearest to the bitwise majority of their fingerprints; what these leave apart
+    among all texts of such keys is joined exactly, without sketches (unmet).
 
     Texts without words are equal. Rows that repeat a doc_id are one document; null ids stay out.
     """
@@ -206,11 +239,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     apart = F.array_max(F.zip_with("nu", "nv", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
     wanted = pairs.unionByName(star).where((apart <= COPY_RADIUS) & (distance(F.col("fu"), F.col("fv")) <= COPY_RADIUS))
     wanted = cut(wanted.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    ids = cut(wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).distinct())
+    hot = cut(large.select("node").distinct())
+    ids = cut(wanted.select(F.col("u").alias("doc_id")).union(wanted.select("v")).union(hot).distinct())
     sets = cut(shingle_sets(docs.join(few(ids), "doc_id")).dropDuplicates(["node"]))
-    both = wanted.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    linked = both.where(common >= SIMILARITY * (F.size("su") + F.size("sv") - common)).select("u", "v")
-    found = components(linked)
-    groups = equal.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    found = cut(components(alike(wanted, sets)))
+    rest = alike(cut(unmet(sets.join(few(hot), "node"), found)), sets)
+    met = found.toDF("u", "gu"), found.toDF("v", "gv")
+    joined = components(rest.join(met[0], "u", "left").join(met[1], "v", "left").select(F.coalesce("gu", "u").alias("u"), F.coalesce("gv", "v").alias("v")))
+    groups = equal.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
+    groups = groups.join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     return groups.groupBy("doc_id").agg(F.min("component").alias("component"))

@@ -76,3 +76,31 @@ def test_large_group_by_common_neighbours(spark):
 
 def test_empty(spark):
     assert answer(spark, []) == []
+
+
+def test_near_copies_with_a_passage_shared_by_hundreds(spark):
+    # more than SMALL texts under most sketch keys: 75 to 88% of the shingles are one passage, and each text has a near copy
+    rng = random.Random(11)
+    passage, rows = [f"p{i}" for i in range(100)], []
+    for k in range(250):
+        own = [f"o{k}x{i}" for i in range(rng.randrange(14, 34))]
+        at = rng.randrange(len(own) + 1)
+        words = own[:at] + passage + own[at:]
+        copy = words[:-1] + [f"c{k}"]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(copy))]
+    rows += [(5000 + k, " ".join(f"z{k}x{i}" for i in range(60))) for k in range(40)]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    parent = {d: d for d in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: root(d) for d in sets} and len(set(got.values())) > 200
