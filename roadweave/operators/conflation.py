@@ -1,7 +1,7 @@
 """Matching agency records onto ways: candidates by sampled points, a total rank, exclusive stretches.
 
-Claims are greedy by rank. Ways and records that are candidates of one another form
-components; no claim reaches out of one, so each component is decided on its own and
+Claims are greedy by rank. They are decided in rounds of joins: rows that come first
+both for their way and on their stretch of the feature hold, their rivals leave, and
 the outcome equals one greedy pass over everything.
 """
 
@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from roadweave.operators.graph import components
 from roadweave.operators.joins import proximity_join
+from roadweave.session import cut
 
 # Metres, share of the way, degrees.
 SEPARATION, OVERLAP, BEARING = 20.0, 0.5, 25.0
+FINISH = 20_000  # rows of claims that one pass decides
 
 
 def candidates(way_points: DataFrame, feature_points: DataFrame, separation: float = SEPARATION, overlap: float = OVERLAP, bearing: float = BEARING) -> DataFrame:
@@ -45,14 +47,36 @@ def greedy_claims(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[kept]
 
 
-def claim(found: DataFrame) -> DataFrame:
-    """(way long, feature long, precedence int, share, lo, hi, apart) -> the rows that hold after exclusive claims."""
-    far = F.lit(2**62)
-    links = found.select(F.col("way").alias("u"), (far + F.col("feature")).alias("v"))
-    labels = components(links).toDF("way", "component")
-    placed = found.join(labels, "way")
-    columns, kinds = found.columns, ", ".join(f"{c} {t}" for c, t in found.dtypes)
-    return placed.groupBy("component").applyInPandas(lambda pdf: greedy_claims(pdf)[columns], kinds)
+def claim(found: DataFrame, finish: int = FINISH) -> DataFrame:
+    """(way long, feature long, precedence int, share, lo, hi, apart) -> the rows that hold after exclusive claims.
+
+    A round takes every row of least rank both for its way and in every cell of the feature that its stretch touches;
+    cells are as long as the mean stretch. Then the ways taken and the stretches that overlap one taken leave. When
+    `finish` rows or fewer are left, one greedy pass decides them.
+    """
+    last = lambda c, x: [(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"no_{c}"), x.alias(f"by_{c}")]  # noqa: E731  nulls come last
+    rank = F.struct(*last("precedence", F.col("precedence")), *last("share", -F.col("share")), *last("apart", F.col("apart")), "way", "feature", *[c for c in found.columns if c not in ("way", "feature")])
+    width = found.agg(F.avg(F.abs(F.col("hi") - F.col("lo")))).first()[0]
+    width = width if width and 0 < width < float("inf") else 1.0
+    cell = lambda f: F.floor(f("lo", "hi") / width)
+    live = cut(found.distinct().select("way", "feature", "lo", "hi", rank.alias("rank"), F.sequence(cell(F.least), cell(F.greatest)).alias("cells")))
+    held, columns = None, found.columns
+    while (left := live.count()) > finish:
+        spread = live.withColumn("cell", F.explode_outer("cells"))
+        of_cell = spread.groupBy("feature", "cell").agg(F.min(F.struct("rank", F.size("cells").alias("n"))).alias("m"))
+        on_feature = of_cell.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m.n")).select("m.rank")
+        of_way = live.groupBy("way").agg(F.min("rank").alias("rank"))
+        # rows of one rank are one row
+        taken = cut(live.join(of_way.select("rank").join(on_feature, "rank"), "rank", "left_semi"))
+        held = taken if held is None else held.unionByName(taken)
+        spans = taken.select("feature", F.col("lo").alias("a"), F.col("hi").alias("b"), F.explode("cells").alias("cell"))
+        beaten = live.withColumn("cell", F.explode("cells")).join(spans, ["feature", "cell"]).where("lo < b and a < hi").select("rank").distinct()
+        live = cut(live.join(taken.select("way"), "way", "left_anti").join(beaten, "rank", "left_anti"))
+    rest = live.select(*[f"rank.{c}" for c in columns])
+    if left:
+        kinds = ", ".join(f"{c} {t}" for c, t in found.dtypes)
+        rest = rest.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda pdf: greedy_claims(pdf)[columns], kinds)
+    return rest if held is None else rest.unionByName(held.select(*[f"rank.{c}" for c in columns]))
 
 
 def worst_rating(shares: DataFrame, least_m: float = 160.0) -> DataFrame:

@@ -11,7 +11,7 @@ from roadweave.session import table
 
 @query()
 def exclusive_claims(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(
+    line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("way"), F.col("l_suppkey").alias("feature"), (F.col("l_partkey") % 3).cast("int").alias("precedence"),
         (F.col("l_quantity") / 50).alias("share"), (F.col("l_partkey") * 37 % 1000).cast("double").alias("lo"), (F.col("l_partkey") * 37 % 1000 + 90).cast("double").alias("hi"), F.col("l_discount").alias("apart"),
     )

@@ -172,6 +172,26 @@ def test_claims_equal_one_greedy_pass(spark):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())) and len(got) > 20
 
 
+def test_claims_in_rounds_over_every_line(spark):
+    from roadweave.operators import conflation
+    from roadweave.plans import network
+
+    rng = random.Random(5)
+    rows = {}
+    for _ in range(120):
+        w, f, lo = rng.randrange(50), rng.randrange(12), rng.uniform(0, 200)
+        rows[w, f] = (w, f, rng.randrange(3), rng.choice([0.5, 0.7, 1.0]), lo, lo + rng.choice([0.0, 5.0, rng.uniform(1, 90)]), rng.choice([rng.uniform(0, 20), 3.0]))
+    import pandas as pd
+
+    want = conflation.greedy_claims(pd.DataFrame(list(rows.values()), columns=["way", "feature", "precedence", "share", "lo", "hi", "apart"]))
+    found = spark.createDataFrame(list(rows.values()), "way long, feature long, precedence int, share double, lo double, hi double, apart double")
+    assert sorted(map(tuple, conflation.claim(found, 20).toPandas().values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    assert conflation.claim(found.limit(0), 0).count() == 0
+    # the query takes every order, not those of some ids
+    ways = [r.way for r in network.exclusive_claims(spark, "/root/testdata/sf0.001").select("way").collect()]
+    assert len(ways) == len(set(ways)) and any(w % 20 for w in ways)
+
+
 def test_candidates_and_rings(spark):
     from roadweave.operators import conflation
 
