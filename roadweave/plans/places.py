@@ -96,6 +96,14 @@ def components(spark, sf_dir):
     return graph.components(c.where("c_custkey % 4 < 3").select(F.col("c_custkey").alias("u"), (100000000 + F.col("c_custkey") * 31 % m).alias("v")))
 
 
+@query()
+def components_all(spark, sf_dir):
+    """`components` over every customer; its SQL would not finish."""
+    c = table(spark, sf_dir, "customer")
+    m = c.count() * 9 // 10
+    return graph.components(c.select(F.col("c_custkey").alias("u"), (100000000 + F.col("c_custkey") * 31 % m).alias("v")))
+
+
 @query(
     """WITH p AS (SELECT l_orderkey AS junction, a, b, abs(x - y) AS turn FROM (SELECT s.l_orderkey, s.l_partkey AS a, t.l_partkey AS b, s.l_partkey * 7 % 360 AS x, t.l_partkey * 7 % 360 AS y FROM lineitem s JOIN lineitem t ON s.l_orderkey = t.l_orderkey AND s.l_partkey < t.l_partkey)),
     d AS (SELECT DISTINCT junction, a, b, turn FROM p WHERE turn <= 60),
@@ -122,6 +130,17 @@ def split_edges(spark, sf_dir):
     return graph.split_at(points, "line", "vertex", "vertex", graph.shared_vertices(points, "line", "vertex")).select("line", "vertex", F.col("piece").cast("long").alias("piece"))
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT l_orderkey AS line, l_suppkey AS vertex FROM lineitem), s AS (SELECT vertex FROM p GROUP BY 1 HAVING count(DISTINCT line) > 1),
+    f AS (SELECT p.line, p.vertex, s.vertex IS NOT NULL AS shared FROM p LEFT JOIN s USING (vertex))
+    SELECT line, vertex, CAST(coalesce(sum(CASE WHEN shared THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY vertex ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS piece FROM f"""
+)
+def split_edges_all(spark, sf_dir):
+    """`split_edges` over every line."""
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_suppkey").alias("vertex")).distinct()
+    return graph.split_at(points, "line", "vertex", "vertex", graph.shared_vertices(points, "line", "vertex")).select("line", "vertex", F.col("piece").cast("long").alias("piece"))
+
+
 @query()
 def corridor_loads(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderkey < 3000")

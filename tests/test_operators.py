@@ -205,3 +205,34 @@ def test_candidates_and_rings(spark):
     inner = spark.createDataFrame([(1, 10, None), (1, 11, None), (2, 11, "gate"), (2, 12, "gate"), (3, 20, "gate"), (3, 21, "gate")], "way long, node long, reason string")
     got = conflation.through_networks(inner, spark.createDataFrame([(10,), (12,), (20,)], "node long")).collect()
     assert [(r.network, r.ways, r.entries) for r in got] == [(1, 2, 2)]
+
+
+def test_components_and_networks_over_whole_tables(spark):
+    from roadweave.plans import network, places
+    from roadweave.session import table
+
+    sf = "/root/testdata/sf0.001"
+
+    def roots(edges):
+        parent = {}
+
+        def root(i):
+            while parent.setdefault(i, i) != i:
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        return {i: root(i) for i in list(parent)}
+
+    keys = [r.c_custkey for r in table(spark, sf, "customer").select("c_custkey").collect()]
+    want = roots((k, 100000000 + k * 31 % (len(keys) * 9 // 10)) for k in keys)
+    assert {r.node: r.component for r in places.components_all(spark, sf).collect()} == want
+    lines_ = [(r.l_orderkey, 1000000 + r.l_partkey % 97, r.l_returnflag == "R") for r in table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").collect()]
+    of, seen = roots((w, n) for w, n, _ in lines_), {}
+    for w, n, gate in lines_:
+        x = seen.setdefault(of[w], (set(), set(), set()))
+        x[0].add(w), x[2].add(gate)
+        x[1].update({n} if n % 3 == 0 else ())
+    assert sorted((r.network, r.ways, r.entries) for r in network.through_networks(spark, sf).collect()) == sorted((k, len(a), len(b)) for k, (a, b, c) in seen.items() if len(b) > 1 and True in c)
