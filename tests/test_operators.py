@@ -236,3 +236,24 @@ def test_components_and_networks_over_whole_tables(spark):
         x[0].add(w), x[2].add(gate)
         x[1].update({n} if n % 3 == 0 else ())
     assert sorted((r.network, r.ways, r.entries) for r in network.through_networks(spark, sf).collect()) == sorted((k, len(a), len(b)) for k, (a, b, c) in seen.items() if len(b) > 1 and True in c)
+
+
+def test_corridor_loads_of_every_order(spark):
+    from roadweave.plans import places
+    from roadweave.session import table
+
+    sf, edges, load = "/root/testdata/sf0.01", {}, {}
+    keys = [r.o_orderkey for r in table(spark, sf, "orders").select("o_orderkey").collect()]
+    assert max(keys) > 3000
+    for k in keys:
+        q = k // 5
+        edges.setdefault(k % 5, set()).add((q % 40, q * 7 % 40, 1.0 + q % 9))
+    for box, e in edges.items():
+        trees = {o: graph.least_costs([x for x in e if x[0] != x[1]], o) for o in range(40)}
+        for k in keys:
+            o, d = k // 5 * 3 % 40, k // 5 * 11 % 40
+            while k % 5 == box and d != o and d in trees[o][1]:
+                via = trees[o][1][d]
+                at = box, min(d, via), max(d, via)
+                load[at], d = load.get(at, 0) + 1, via
+    assert {(r.box, r.u, r.v): r.load for r in places.corridor_loads(spark, sf).collect()} == load
