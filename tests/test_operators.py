@@ -257,3 +257,20 @@ def test_corridor_loads_of_every_order(spark):
                 at = box, min(d, via), max(d, via)
                 load[at], d = load.get(at, 0) + 1, via
     assert {(r.box, r.u, r.v): r.load for r in places.corridor_loads(spark, sf).collect()} == load
+
+
+def test_stop_order_of_every_customer_and_of_large_groups(spark, monkeypatch):
+    from roadweave.plans import places
+
+    rows = places.stop_order(spark, "/root/testdata/sf0.001").collect()
+    assert sum(len(r.stops) for r in rows) == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    rng = random.Random(9)
+    at = [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(22)]
+    cost = [[math.dist(a, b) for b in at] for a in at]
+    c, order = graph.best_order(cost)
+    assert order[0] == 0 and order[-1] == 21 and sorted(order) == list(range(22)) and abs(c - sum(cost[a][b] for a, b in itertools.pairwise(order))) < 1e-9
+    assert graph.best_order(cost) == (c, order) and c < 0.6 * sum(cost[i][i + 1] for i in range(21))
+    small = [row[:9] for row in cost[:9]]
+    exact = graph.best_order(small)[0]
+    monkeypatch.setattr(graph, "EXACT_STOPS", 3)
+    assert exact - 1e-9 <= graph.best_order(small)[0] <= 1.01 * exact
