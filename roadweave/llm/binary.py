@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from roadweave.llm.tokens import tokenizer_path
 from roadweave.session import shared_dir
 
 SEGMENT = 1 << 20
-WORDS = 200_000  # words of a generation, about 200 bytes each; a task remembers two generations
+WORDS = 200_000  # stems of a generation, about 200 bytes each; a task remembers two generations
+LONG = 64  # characters of a stem that is remembered
+CHUNK = 4_000_000  # characters encoded at once, in whole texts
 TOGETHER = 1000  # words that are encoded as one text
 LANES, STEPS = 1024, 256
 SCALE = 17
@@ -34,6 +37,16 @@ END_ID = 2
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def whole_rows(texts: list[str | None], chars: int):
+    """Bounds of runs of texts of some chars characters together; each text is in one run."""
+    begin = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= chars or i == len(texts):
+            yield begin, i
+            begin, size = i, 0
+
+
 class Encoder:
     """text -> token ids of the library, as bytes of 32-bit numbers.
 
@@ -41,11 +54,13 @@ class Encoder:
     and a line break between printed characters stands alone, so a text is its first
     word followed by words that begin with a space or a line break. Signs that end a
     word after a letter stand apart from it too. So the library encodes each distinct
-    stem and each distinct ending once. Texts where white space stands beside a space
-    or a line break are encoded as a whole.
+    stem and each distinct ending of some CHUNK characters once, and the texts' ids are
+    gathered by word number. Texts where white space stands beside a space or a line
+    break are encoded as a whole.
 
-    Words of the last one or two generations are remembered: a full generation
-    becomes the old one, from which words in use move on to the new one.
+    Words of up to LONG characters are remembered, for one or two generations: a full
+    generation becomes the old one, from which words in use move on to the new one.
+    Longer words are encoded wherever they stand, so that memory stays bounded.
     """
 
     def __init__(self, path: str):
@@ -58,18 +73,10 @@ class Encoder:
         self.begins[[i for t, i in vocabulary.items() if self.tokenizer.decode([i], skip_special_tokens=False)[:1] in (" ", "\n")]] = True
         self.memo: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
-        self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def split(self, word: str) -> tuple[str, str]:
-        """Stem and ending; the ending is empty where they can't be told apart."""
-        stem = word.rstrip(SIGNS)
-        if len(stem) == len(word) or not stem[-1:].isalpha() or not self.marks.isdisjoint(word):
-            return word, ""
-        return stem, word[len(stem) :]
-
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of clean words after a space (or after their own line break): many make one text, whose ids are
         cut where a token begins with a space or a line break."""
@@ -82,53 +89,72 @@ class Encoder:
             out += [data[x:y] for x, y in zip(edges, edges[1:])] if len(edges) == len(part) + 1 else self.encode([w if w[0] == "\n" else " " + w for w in part])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Remembers each word's ids after a space or line break; False for words that aren't clean."""
-        memo, old, new, ended = self.memo, self.old, set(), []
-        again = list(words & old.keys())
-        memo.update(zip(again, map(old.__getitem__, again)))
-        for w in words.difference(again):
-            if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace()):
-                memo[w] = False
+    def learn(self, words: list[str]) -> list[bytes | bool]:
+        """Each word's ids after a space or line break; False for words that aren't clean."""
+        memo, old, marks = self.memo, self.old, self.marks
+        stems, tails = list(words), {}
+        for i, w in enumerate(words):
+            if w.isalpha():
                 continue
-            stem, tail = (w, "") if w[-1].isalpha() else self.split(w)
-            if tail:
-                ended.append((w, stem, tail))
-                if stem in old:
-                    memo[stem] = old[stem]
-            if stem not in memo:
-                new.add(stem)
-        order = list(new)
-        memo.update(zip(order, self.encode_words(order)))
-        if len(self.tails) > WORDS // 4:
-            self.tails.clear()
-        endings = list({t for _, _, t in ended}.difference(self.tails))
-        self.tails.update(zip(endings, self.encode(endings)))
-        for w, stem, tail in ended:
-            memo[w] = memo[stem] + self.tails[tail]
+            if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace()):
+                stems[i] = ""
+            elif not w[-1].isalpha():
+                stem = w.rstrip(SIGNS)
+                if stem != w and stem[-1:].isalpha() and marks.isdisjoint(w):
+                    stems[i], tails[i] = stem, w[len(stem) :]
+        wanted = set(stems).difference(memo, ("",))
+        again = wanted & old.keys()
+        memo.update(zip(again, map(old.__getitem__, again)))
+        fresh = list(wanted.difference(again))
+        known = dict(zip(fresh, self.encode_words(fresh)))
+        memo.update((w, ids) for w, ids in known.items() if len(w) <= LONG)
+        known[""] = False
+        out = [memo.get(w) or known[w] for w in stems]
+        endings = list(set(tails.values()))
+        ended = dict(zip(endings, self.encode(endings)))
+        for i, t in tails.items():
+            out[i] += ended[t]
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        starts = [w.pop(0) for w in split]
-        firsts, known, missing = self.encode(starts), [], set()
-        for words in split:
-            known.append(found := list(map(self.memo.get, words)))
-            if None in found:
-                missing.update(w for w, ids in zip(words, found) if ids is None)
-        if len(self.memo) + len(missing) > WORDS:
+    def ids_of(self, words: list[str]) -> list[bytes | bool]:
+        if len(self.memo) > WORDS:
             self.old, self.memo = self.memo, {}
-        self.learn(missing)
-        memo, out = self.memo, []
-        for text, start, first, words, found in zip(texts, starts, firsts, split, known):
-            if None in found:
-                found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
-            try:
-                ids = first + b"".join(found)
-            except TypeError:  # a word that isn't clean
-                ids = None
-            if ids is None or words and start[-1:].isspace():
-                ids = self.encode([text])[0]
-            out.append(ids)
+        found = list(map(self.memo.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self.learn([words[i] for i in missing])):
+            found[i] = ids
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [ids for a, b in whole_rows(texts, CHUNK) for ids in self.chunk(texts[a:b])]
+
+    def chunk(self, texts: list[str]) -> list[bytes]:
+        pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        edges, values = pieces.offsets.to_numpy(), pieces.values
+        first = edges[:-1]
+        starts = values.take(pa.array(first)).to_pylist()
+        later = np.ones(len(values), bool)
+        later[first] = False
+        coded = values.filter(pa.array(later)).dictionary_encode()
+        found = self.ids_of(coded.dictionary.to_pylist())
+        table = [ids or b"" for ids in found] + self.encode(starts)
+        codes = np.empty(len(values), np.int64)
+        codes[later] = coded.indices.to_numpy(zero_copy_only=False)
+        codes[first] = np.arange(len(found), len(table))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        data = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + each, each) + np.arange(int(ends[-1]))].tobytes()
+        unclean = np.zeros(len(table), bool)
+        unclean[[i for i, ids in enumerate(found) if ids is False]] = True
+        whole = np.add.reduceat(unclean[codes], first, dtype=np.int64) > 0
+        whole |= [s[-1:].isspace() for s in starts] & (np.diff(edges) > 1)
+        cuts = (4 * np.concatenate([[0], ends[edges[1:] - 1]])).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        again = np.flatnonzero(whole).tolist()
+        for i, ids in zip(again, self.encode([texts[i] for i in again])):
+            out[i] = ids
         return out
 
 
@@ -231,23 +257,25 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part, seq, before = encoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0, 0
+        encode, part, seq, before, size = encoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[int, bytes]] = []
 
         def segment():
-            nonlocal seq, before, held
+            nonlocal seq, before, held, size
             ids = np.frombuffer(b"".join(d for _, d in held), "<u4").astype(np.int64)
             lengths = [len(d) // 4 for _, d in held]
             row = [[part], [seq], [before], [len(ids)], [[i for i, _ in held]], [lengths], [encode_segment(ids)]]
-            seq, before, held = seq + 1, before + len(ids), []
+            seq, before, held, size = seq + 1, before + len(ids), [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), 256):
-                held += zip(ids[a : a + 256], (e + tail for e in encode([t or "" for t in texts[a : a + 256]])))
-                if sum(len(d) for _, d in held) >= 4 * SEGMENT:
-                    yield segment()
+            for a, b in whole_rows(texts, CHUNK):
+                for i, e in zip(ids[a:b], encode.chunk([t or "" for t in texts[a:b]])):
+                    held.append((i, e + tail))
+                    size += len(e) + len(tail)
+                    if size >= 4 * SEGMENT:
+                        yield segment()
         if held:
             yield segment()
 
