@@ -4,21 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 LIMIT = 2048
-MEMO = 1_000_000  # words remembered by a task; then it starts afresh
+MEMO = 400_000  # words, and parts of words, remembered by a task; then it starts afresh
+LONG = 64  # characters of a word that is remembered: about 100 bytes for each
 
-# What regular expressions of the library take for white space.
-WHITE = r"\t-\r \x85\xa0  -     　"
-# Fixed value: the split pattern of the word-end vocabulary, as its file has it.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+# Fixed value: the split pattern of the word-end vocabulary, as its file has it, for ASCII.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z]+|[0-9]|[^\t-\r a-zA-Z0-9]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,14 +35,20 @@ class Counter(dict):
     """space-free word -> number of tokens."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["model"]["merges"])}
         self.end = model["model"].get("end_of_word_suffix") or ""
         special = [t["content"] for t in model["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.signs = {s[0] for s in special}
-        self.letters = byte_letters()
+        white = {*range(9, 14), 32}
+        self.signs_of_control = {b: c for b, c in enumerate(byte_letters()[:128]) if b not in white}
+        self.parts: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> int:
         """Symbols left when the adjacent pair of lowest rank, leftmost of equals, is merged again and again."""
@@ -71,17 +74,31 @@ class Counter(dict):
                 heappush(heap, (r, h))
         return left
 
-    def piece(self, word: str) -> int:
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return self.merged(symbols)
+    def pieces(self, word: str) -> list[str]:
+        """The word's parts, in the letters of their bytes. Beyond ASCII the library lower-cases, composes and
+        splits, by its own Unicode tables; it gives byte letters itself."""
+        if word.isascii():
+            return PIECES.findall(word.lower().translate(self.signs_of_control))
+        return [part for part, _ in self.split(self.normal(word)) if part]
+
+    def symbols_left(self, piece: str) -> int:
+        n = self.parts.get(piece)
+        if n is None:
+            symbols = list(piece)
+            symbols[-1] += self.end
+            n = self.merged(symbols)
+            if len(piece) <= LONG:
+                if len(self.parts) >= MEMO:
+                    self.parts.clear()
+                self.parts[piece] = n
+        return n
 
     def __missing__(self, word: str) -> int:
-        plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        n = sum(map(self.piece, PIECES.findall(plain.lower())))
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = n
+        n = sum(map(self.symbols_left, self.pieces(word)))
+        if len(word) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -100,7 +117,8 @@ def count(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LI
     """docs(doc_id, text) -> (doc_id, n_bytes, n_tokens long, over_limit boolean) per row.
 
     A null text counts as empty, with no tokens. Each row is counted alone: repeated rows get equal
-    answers, an empty table none. Other columns aren't looked at. tokenizer: the vocabulary file's name.
+    answers, an empty table none. A very long text is counted whole, word by word; a long word is merged
+    but not remembered. Other columns aren't looked at. tokenizer: the vocabulary file's name.
     """
 
     def run(batches):

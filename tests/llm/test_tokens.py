@@ -28,6 +28,25 @@ def test_counts_equal_the_library():
         assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
 
 
+def test_any_code_points():
+    # new capitals, unassigned code points, marks after them
+    path, rng = tokens.tokenizer_path("word_bpe_49k.json"), random.Random(8)
+    t, c = Tokenizer.from_file(path), tokens.Counter(path)
+    some = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+    fuzz = ["".join(chr(rng.choice(some if rng.random() < 0.3 else range(32, 0x3000))) for _ in range(rng.randrange(1, 6))) for _ in range(6000)]
+    for x in ["a\ua7cbb", "a\ua7dcb", "\U0003fa04\u0e20", "\u094d\U0003d66c", *fuzz]:
+        assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
+
+
+def test_long_words_are_not_remembered():
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    t, c = Tokenizer.from_file(path), tokens.Counter(path)
+    long = "中文" * 20_000
+    assert c.count(long) == len(t.encode(long, add_special_tokens=False).ids) and not c and not c.parts
+    e = binary.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    assert e(["start " + long]) and not e.memo
+
+
 def test_encoder_equals_the_library():
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), binary.Encoder(path)
