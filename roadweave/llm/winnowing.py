@@ -53,7 +53,8 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns, parts: int) -> DataFrame:
     """docs(key long not null, ...) -> adds next_<c> of the row with the next larger key (ties: by the
     columns' order); the last row gets the first. Each row goes to one range of keys; the first row of
-    a range also goes, as a guest, to the range before it, so no step sees all rows in one task."""
+    a range also goes, as a guest, to the range before it, so no step sees all rows in one task.
+    Ranges are dealt by number, one to a partition."""
     at = [i / parts for i in range(1, parts)]
     found = docs.agg(F.min("key").alias("low"), F.expr(f"approx_percentile(key, array({', '.join(map(repr, at))}), 10000)").alias("cuts") if at else F.array().alias("cuts")).first()
     if found["low"] is None:
@@ -66,7 +67,7 @@ def with_next(docs: DataFrame, columns, parts: int) -> DataFrame:
         F.array(F.struct(F.col("part").alias("range"), F.lit(0).alias("guest")), F.struct(guest.alias("range"), F.lit(1).alias("guest")))
     )
     rows = docs.withColumn("part", part).withColumn("place", F.explode(place))
-    rows = rows.select("*", "place.range", "place.guest").drop("part", "place").repartition(parts, "range")
+    rows = rows.select("*", "place.range", "place.guest").drop("part", "place").repartitionById(parts, "range")
     return rows
 
 
@@ -75,7 +76,8 @@ def fingerprints(docs: DataFrame, parts: int | None = None, k: int = K, w: int =
     replaced by the beginning of the next document), choices, edited_choices, near_edited, near_next.
 
     A null text counts as empty. Null doc_ids come first in order. Rows that repeat a doc_id follow one
-    another, by text. One document is its own next. An empty table gives an empty table.
+    another, by text. One document is its own next. An empty table gives an empty table. Very long texts are
+    fingerprinted whole, in one row. Other columns aren't looked at.
     """
     parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
