@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LIMIT = 2048
-MEMO = 400_000  # words, and parts of words, remembered by a task; then it starts afresh
+MEMO = 700_000  # words, and parts of words, remembered by a task; then it starts afresh
 LONG = 64  # characters of a word that is remembered: about 100 bytes for each
 
 # Fixed value: the split pattern of the word-end vocabulary, as its file has it, for ASCII.
