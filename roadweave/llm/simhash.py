@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.components import components
+from roadweave.operators.graph import components
 from roadweave.session import cut
 
 RADIUS = 2
@@ -100,7 +100,8 @@ def links(fps: DataFrame) -> DataFrame:
     b = few.select("key", F.col("fp").alias("fb"), F.col("node").alias("v"), F.col("near").alias("nb"))
     apart = F.array_max(F.zip_with("na", "nb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
     pairs = a.join(b, "key").where((F.col("fa") < F.col("fb")) & (apart <= RADIUS) & (distance(F.col("fa"), F.col("fb")) <= RADIUS)).select("u", "v")
-    many = live.where(F.col("n") > SMALL).select("node", "fp").distinct()
+    # each becomes 65 rows: spread out first, whatever the partitions of the checkpoint
+    many = live.where(F.col("n") > SMALL).select("node", "fp").distinct().repartition("fp")
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
     points = many.select("node", F.explode(around).alias("point"))
     centre = points.groupBy("point").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
