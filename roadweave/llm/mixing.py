@@ -80,12 +80,15 @@ def mix(docs: DataFrame, keep=(), weights=WEIGHTS, cap: int = CAP, schedules=SCH
 
     Null and empty texts have size 0 and are taken 0 words; a null source is a
     source of its own, last in order. Rows that repeat a doc_id count as documents;
-    ties in the order are between equal rows. An empty table gives an empty table.
+    ties in the order are between equal rows. An empty table gives an empty table. Words of
+    very long texts are all counted. Columns other than these and keep's aren't looked at.
     keep: further columns of docs to carry along.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *keep)
     order = F.md5(F.col("doc_id").cast("string"))
     sized = sized.withColumns({"order": order, "bucket": F.substring(order, 1, 3)})
+    if not keep:  # narrow rows: sizes are read twice, texts once
+        sized = cut(sized)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sums.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).drop("size")
@@ -109,7 +112,10 @@ def mix(docs: DataFrame, keep=(), weights=WEIGHTS, cap: int = CAP, schedules=SCH
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
     """docs (doc_id, text, source and others) as the mix takes them, in training order: a row for each
-    copy, with docs' columns. The copy that reaches a source's target holds its first words only."""
+    copy, with docs' columns. The copy that reaches a source's target holds its first words only.
+
+    Documents without words (null, empty) aren't taken. Rows that repeat a doc_id are documents each. Columns of
+    any other name are carried unchanged; an empty table gives an empty table."""
     columns = docs.columns
     kept = docs.select(F.struct(*columns).alias("document"), "doc_id", "text", "source")
     mixed = mix(kept, ("document",), weights, cap, schedules).where("taken > 0")
