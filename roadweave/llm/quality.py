@@ -1,14 +1,16 @@
 """Quality classifier: Naive Bayes support vectors over n-gram indicators.
 
-Features of a text are the presence of its byte 1-, 2- and 3-grams (lower-cased
-words, white space kept), and of patterns of its words: how large a share repeats
-the word before, and how large a share is new, by the text's length. Each
+N-grams are those of bytes, not of words: features of a text are the presence of its
+byte 1-, 2- and 3-grams (lower-cased, white space kept), and of patterns of its words:
+how large a share repeats the word before, and how large a share is new, by the
+text's length. Each
 indicator is scaled by its class log-count ratio and by the text's number of
 features; a linear hinge-loss model is fitted to these by dual coordinate descent;
 a logistic curve through margins of rows kept aside turns margins into scores.
 
-The model is fitted on at most SAMPLE labelled rows, chosen by a hash of their
-ids, in one task; its size doesn't depend on the corpus. Scoring reads whole texts.
+The model is fitted on at most SAMPLE labelled rows, those of the smallest hash of
+id and text, in one task; its size doesn't depend on the corpus. Scoring reads whole
+texts.
 """
 
 from __future__ import annotations
@@ -112,24 +114,29 @@ def train(texts: list[bytes], good: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
-    """docs(doc_id, text), labels(doc_id, quality 0/1) -> model. Rows with null ids or labels aren't used;
-    without any usable row every score is 0.5."""
+    """docs(doc_id, text), labels(doc_id, quality 0/1) -> model, from at most sample rows of docs. Rows with null
+    ids or labels aren't used; equal rows count once; without any usable row every score is 0.5. Texts are used
+    whole, however long; null ones are empty. Either table may be empty."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).dropna()
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # ids may repeat: again at most sample rows
+    rows = rows.select("doc_id", "text", "good").distinct().orderBy(F.xxhash64("doc_id", "text"), "doc_id", "good").limit(sample)
 
     def learn(batches):
         found = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist())]
         found.sort(key=lambda r: (r[0] * 2654435761 % 2**32, r[1] or b""))  # the same rows in the same order, however they arrive
-        w, bias, a, b = train([t or b"" for _, t, _ in found[: 2 * sample]], np.array([g for _, _, g in found[: 2 * sample]], bool))
+        w, bias, a, b = train([t or b"" for _, t, _ in found], np.array([g for _, _, g in found], bool))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())] + [pa.array([float(x)]) for x in (bias, a, b)], names=["w", "bias", "a", "b"])
 
-    m = rows.select("doc_id", "text", "good").repartition(1).mapInArrow(learn, "w binary, bias double, a double, b double").first()
+    m = rows.repartition(1).mapInArrow(learn, "w binary, bias double, a double, b double").first()
     return (m["w"], m["bias"], m["a"], m["b"]) if m else (np.zeros(SIZE, np.float32).tobytes(), 0.0, 0.0, 0.0)
 
 
 def score(docs: DataFrame, model: tuple, column: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 by its whole text (null: empty); other columns stay."""
+    """docs with a score from 0 to 1 by its whole text (null: empty); other columns stay, but for one called column,
+    which the score replaces. Every row is scored alone, whatever its length: repeated rows get equal scores, an
+    empty table gives an empty table."""
     kept = [c for c in docs.columns if c != column]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
