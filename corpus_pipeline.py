@@ -10,42 +10,66 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm import binary, decontamination, mixing, quality, simhash
 from roadweave.session import cut, shared_dir, table
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, fitted on the labelled ones, rejects. Null texts count as empty."""
+    """Drops documents that the classifier, fitted on the labelled ones, rejects. Null texts count as empty; rows that
+    repeat an id are scored each; further columns stay, whatever their names."""
     marked = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    model = quality.fit(table(spark, sf_dir, "documents"), marked)
-    return quality.score(docs, model, "quality_score").where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    model, score = quality.fit(table(spark, sf_dir, "documents"), marked), unused(docs, "quality_score")
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays; of rows that repeat an id, one."""
-    groups = cut(simhash.near_copies(docs))
-    gone = groups.where("doc_id != component").select("doc_id")
-    kept = docs.join(simhash.few(gone), "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.where("doc_id is not null").agg(F.count("*").alias("n")).first()["n"]
-    return kept if ids == groups.count() else kept.dropDuplicates(["doc_id"])
+    """Of each group of near copies the document of smallest id stays.
+
+    Rows without an id stay all. Rows that repeat id and text are one document, of which one row stays. Rows of one
+    id with different texts are documents of their own, in the order of their texts' hashes. Texts are compared
+    whole; further columns stay.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        groups = cut(simhash.near_copies(docs))
+        gone = groups.where("doc_id != component").select("doc_id")
+        return docs.join(simhash.few(gone), "doc_id", "left_anti").select(*docs.columns)
+    columns, body, node, turn = docs.columns, unused(docs, "body"), unused(docs, "node"), unused(docs, "turn")
+    rows = docs.withColumn(body, F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    each = rows.where("doc_id is not null").select("doc_id", body).distinct().repartitionByRange("doc_id", body).sortWithinPartitions("doc_id", body)
+    each = cut(each.withColumn(node, F.monotonically_increasing_id()))
+    named = rows.join(each, ["doc_id", body])
+    groups = cut(simhash.near_copies(named.select(F.col(node).alias("doc_id"), "text")))
+    kept = named.join(groups.where("doc_id = component").select(F.col("doc_id").alias(node)), node, "left_semi")
+    one = kept.withColumn(turn, F.row_number().over(Window.partitionBy(node).orderBy(F.xxhash64(*columns)))).where(F.col(turn) == 1)
+    return one.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item: all rows of their ids. Rows without an id or text, and further
+    columns, stay."""
     leaked = cut(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(simhash.few(leaked), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the curriculum takes them: repeated, cut at a source's target, in training order."""
+    """The documents as the curriculum takes them: repeated, cut at a source's target, in training order. Documents
+    without words aren't taken; further columns stay."""
     return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes all rows to token-id files and reads those: doc_id, start, n_tokens, ids_crc32."""
+    """Encodes all rows to token-id files, by id and text, and reads those: doc_id, start, n_tokens, ids_crc32."""
     return binary.round_trip(docs)
 
 
