@@ -106,3 +106,16 @@ def test_odd_rows(spark):
             assert out.columns == docs.columns and len(rows) <= 3 * df.count()
     left = stage(spark, 1, docs).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in left) == [(False, 0), (True, 1), (True, 5)]
+
+
+def test_repeated_ids_null_ids_and_further_columns(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, "x", "mine"), (None, "y", "mine"), (7, one, "p"), (7, two, "q"), (7, one, "r"), (8, two + " more", "s"), (9, one, "t")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t), "body", 5, 0.25) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, turn int, quality_score double")
+    first, second = (sorted(map(tuple, stage(spark, 1, docs).collect()), key=str) for _ in range(2))
+    assert first == second and sorted(((r[0], r[1]) for r in first), key=str) == sorted([(None, "x"), (None, "y"), (7, one), (7, two)], key=str)
+    kept = stage(spark, 0, docs)
+    assert kept.columns == docs.columns and all(r.quality_score == 0.25 for r in kept.collect())
+    for k in (2, 3):
+        out = stage(spark, k, docs)
+        assert out.columns == docs.columns and {(r.node, r.turn) for r in out.collect()} == {("body", 5)}
