@@ -26,9 +26,9 @@ from roadweave.llm.tokens import tokenizer_path
 from roadweave.session import shared_dir
 
 SEGMENT = 1 << 20
-WORDS = 200_000  # stems of a generation, about 200 bytes each; a task remembers two generations
+WORDS = 100_000  # stems of a generation, about 200 bytes each; a task remembers two generations
 LONG = 64  # characters of a stem that is remembered
-CHUNK = 4_000_000  # characters encoded at once, in whole texts
+CHUNK = 1_500_000  # bytes of text encoded at once, in whole texts
 TOGETHER = 1000  # words that are encoded as one text
 LANES, STEPS = 1024, 256
 SCALE = 17
@@ -37,12 +37,12 @@ END_ID = 2
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def whole_rows(texts: list[str | None], chars: int):
-    """Bounds of runs of texts of some chars characters together; each text is in one run."""
+def whole_rows(sizes: list[int], most: int):
+    """Bounds of runs of rows of some most bytes together; each row is in one run."""
     begin = size = 0
-    for i, t in enumerate(texts, 1):
-        size += len(t or "")
-        if size >= chars or i == len(texts):
+    for i, n in enumerate(sizes, 1):
+        size += n
+        if size >= most or i == len(sizes):
             yield begin, i
             begin, size = i, 0
 
@@ -126,7 +126,7 @@ class Encoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [ids for a, b in whole_rows(texts, CHUNK) for ids in self.chunk(texts[a:b])]
+        return [ids for a, b in whole_rows(list(map(len, texts)), CHUNK) for ids in self.chunk(texts[a:b])]
 
     def chunk(self, texts: list[str]) -> list[bytes]:
         pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
@@ -269,9 +269,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in whole_rows(texts, CHUNK):
-                for i, e in zip(ids[a:b], encode.chunk([t or "" for t in texts[a:b]])):
+            ids, sizes = batch.column(0).to_pylist(), pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in whole_rows(sizes, CHUNK):
+                for i, e in zip(ids[a:b], encode.chunk([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])):
                     held.append((i, e + tail))
                     size += len(e) + len(tail)
                     if size >= 4 * SEGMENT:
