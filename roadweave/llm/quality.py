@@ -52,7 +52,7 @@ def features(text: bytes) -> np.ndarray:
     if len(a) > 2:
         seen = np.unique(a[:-2] << 16 | a[1:-1] << 8 | a[2:])
         out.append(np.unique(seen * np.uint32(2654435761) >> np.uint32(32 - BITS)) + np.uint32(PATTERNS + 256 + 65536))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out).astype(np.int32)
 
 
 def log_count_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
@@ -64,17 +64,19 @@ def log_count_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
 
 def descend(rows, good, ratio, epochs: int = EPOCHS, cost=COST, seed: int = 1):
     """Dual coordinate descent for the hinge loss: weights (already times ratio) and bias."""
-    x = [ratio[f] / math.sqrt(len(f)) for f in rows]
+    shrink = [1 / math.sqrt(len(f)) for f in rows]  # a row's features are ratio[f] * shrink, not kept: they'd take more room than the texts
     y = np.where(good, 1.0, -1.0)
     top = np.where(good, cost[True], cost[False])
-    square = np.array([v @ v + 1 for v in x])
-    w, bias, alpha, order = np.zeros(SIZE), 0.0, np.zeros(len(x)), np.random.default_rng(seed)
+    square = np.array([(ratio[f] @ ratio[f]) * c * c + 1 for f, c in zip(rows, shrink)])
+    w, bias, alpha, order = np.zeros(SIZE), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            gradient = y[i] * (w[rows[i]] @ x[i] + bias) - 1
+        for i in order.permutation(len(rows)):
+            f = rows[i]
+            x = ratio[f] * shrink[i]
+            gradient = y[i] * (w[f] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), top[i])
             if step := (new - alpha[i]) * y[i]:
-                w[rows[i]] += step * x[i]
+                w[f] += step * x
                 bias += step
                 alpha[i] = new
     return w * ratio, bias
@@ -96,12 +98,11 @@ def curve(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(k[0]), float(k[1])
 
 
-def train(texts: list[bytes], good: np.ndarray):
-    """(weights float32, bias, a, b); without both classes the score is a constant."""
+def train(rows: list[np.ndarray], good: np.ndarray):
+    """Features and labels -> (weights float32, bias, a, b); without both classes the score is a constant."""
     if good.all() or not good.any():
         share = (good.sum() + 1) / (len(good) + 2)
         return np.zeros(SIZE, np.float32), 0.0, 0.0, math.log(share / (1 - share))
-    rows = [features(t) for t in texts]
     aside = np.arange(len(rows)) % 4 == 3
     if len({*good[aside]}) < 2 or len({*good[~aside]}) < 2:
         aside[:] = False
@@ -126,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     def learn(batches):
         found = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist())]
         found.sort(key=lambda r: (r[0] * 2654435761 % 2**32, r[1] or b""))  # the same rows in the same order, however they arrive
-        w, bias, a, b = train([t or b"" for _, t, _ in found], np.array([g for _, _, g in found], bool))
+        rows, good = [features(t or b"") for _, t, _ in found], np.array([g for _, _, g in found], bool)
+        found.clear()
+        w, bias, a, b = train(rows, good)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())] + [pa.array([float(x)]) for x in (bias, a, b)], names=["w", "bias", "a", "b"])
 
     m = rows.repartition(1).mapInArrow(learn, "w binary, bias double, a double, b double").first()

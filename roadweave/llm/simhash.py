@@ -55,7 +55,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """Bit i is 1 if over half of the shingle hashes have it; no words: 0."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is 1 if over half of the hashes have it. Long texts are counted part by part."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -148,8 +152,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = np.unique(shingle_hashes(t or b"", COPY_SHINGLE))
                 bodies.append(signed(xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split()))))
                 if len(h):
-                    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                    fps.append(signed(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])))
+                    fps.append(signed(majority(h)))
                     keys.append([int(permuted(h, seed).min().view(np.int64)) for seed in SEEDS])
                 else:
                     fps.append(0)
@@ -227,8 +230,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     counters = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(0x0000000100000001))).alias(f"l{k}") for k in range(32)]
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), *counters).where("n > 1")
     met = met.withColumn("lanes", F.array(*[f"l{k}" for k in range(32)])).drop(*[f"l{k}" for k in range(32)])
-    majority = F.expr("aggregate(sequence(0, 31), 0L, (all, k) -> all | if(2 * (lanes[k] & 4294967295) > n, shiftleft(1L, k), 0L) | if(2 * shiftrightunsigned(lanes[k], 32) > n, shiftleft(1L, k + 32), 0L))")
-    live = cut(keyed.join(met.select("key", "n", "least", majority.alias("middle")), "key"))
+    middle_bits = F.expr("aggregate(sequence(0, 31), 0L, (all, k) -> all | if(2 * (lanes[k] & 4294967295) > n, shiftleft(1L, k), 0L) | if(2 * shiftrightunsigned(lanes[k], 32) > n, shiftleft(1L, k + 32), 0L))")
+    live = cut(keyed.join(met.select("key", "n", "least", middle_bits.alias("middle")), "key"))
     small = live.where(F.col("n") <= SMALL).select("key", "node", "fp", "near")
     a, b = small.toDF("key", "u", "fu", "nu"), small.toDF("key", "v", "fv", "nv")
     pairs = a.join(b, "key").where("u < v")

@@ -52,7 +52,7 @@ def test_stages_against_brute_force(spark):
     good = stage(spark, 0, docs).cache()
     labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
     marked = sorted((d for d in labels if zlib.crc32(str(d).encode()) % 5 and d in texts), key=lambda d: (d * 2654435761 % 2**32, (texts[d] or "").encode()))
-    w, bias, a, b = quality.train([(texts[d] or "").encode() for d in marked], np.array([labels[d] == 1 for d in marked], bool))
+    w, bias, a, b = quality.train([quality.features((texts[d] or "").encode()) for d in marked], np.array([labels[d] == 1 for d in marked], bool))
     score = {d: 1 / (1 + np.exp(-(a * quality.margin(quality.features((t or "").encode()), w, bias) + b))) for d, t in texts.items()}
     kept = {r.doc_id for r in good.collect()}
     assert good.columns == columns and kept == {d for d, s in score.items() if s >= 0.3}
