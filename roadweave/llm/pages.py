@@ -1,11 +1,22 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page becomes a tree of elements, and its texts become blocks: runs of text
-without a block-level boundary. A linear classifier over a block's surroundings
-gives it a cost of being boilerplate (source capacity) and a cost of being content
-(sink capacity). Neighbouring blocks, and blocks of one parent, are joined by
-smoothness edges that are paid when the two get different labels. The minimum cut
-is found by augmenting paths; blocks on the source's side are content.
+without a block-level boundary. A linear classifier over a block's text and
+surroundings gives it a cost of being boilerplate (source capacity) and a cost of
+being content (sink capacity). Neighbouring blocks, and blocks of one parent, are
+joined by smoothness edges that are paid when the two get different labels. The
+minimum cut is found by augmenting paths; blocks on the source's side are content.
+
+The classifier is a logistic regression fitted to the corpus: in a bounded sample
+of pages the semantic elements (article and main, against nav, aside, footer,
+header, form and the like) label blocks, and the weights of everything else
+(length, sentences, links, tags) are learned from blocks with these elements
+hidden, near starting values that stand where the sample says nothing.
+
+Names (class, id, role) count word by word: "sidebar", "site-footer" or
+"comments-area" speak against a part, "no-sidebar", "comments-open" or
+"tag-python" are properties of the page and say nothing. What speaks against an
+element with the page's main heading or <main> and half of its words is ignored.
 """
 
 from __future__ import annotations
@@ -14,54 +25,74 @@ import re
 from collections import deque
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title button select textarea option datalist input".split())
+SILENT = frozenset("script style noscript template iframe svg canvas audio video head title button select textarea option datalist".split())
+# Silent elements that hold no blocks: one that is left open ends where a block begins.
+PHRASING = frozenset("button select option datalist svg canvas textarea".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ALIKE = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 
 # Words of class, id and role names, by what they speak for.
-AGAINST = re.compile(r"(?:^|[\W_])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|cookies?|consent|copyright|disqus|disclaimer|foot|footer|gdpr|head|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|related|replies|reply|recommend\w*|share|sharing|side|sidebar|sidenav|signup|skip|social|sponsor\w*|subscri\w*|tags?|toc|toolbar|tooltip|topbar|widgets?)(?:$|[\W_])|navbar|navigation|contentinfo|complementary|sidebar|cookie", re.I)
-TOWARD = re.compile(r"(?:^|[\W_])(?:article|body|content|entry|main|post|story|text)(?:$|[\W_])", re.I)
-
-# The classifier's weights, per block; positive speaks for content.
-BIAS, WORDS, SENTENCE, LINKS = -0.4, 0.12, 0.6, -5.0
-INSIDE = {"article": 4.0, "main": 3.0, "nav": -9.0, "aside": -8.0, "footer": -8.0, "form": -8.0, "dialog": -8.0, "menu": -8.0, "search": -8.0, "fieldset": -6.0}
-TAG = {"p": 1.5, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.4, "blockquote": 1.0, "pre": 1.0, "li": 0.0, "td": 0.0}
-NAMED_AGAINST, NAMED_TOWARD, HIDDEN = -8.0, 1.5, -20.0
+AGAINST = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus disclaimer foot footer gdpr header login masthead menu modal nav navbar navigation notice notices notification newsletter pager pagination popup promo promotion related replies reply respond recommended recommendations share sharing side sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar tooltip topbar widget widgets contentinfo complementary".split())
+TOWARD = frozenset("article body content entry main post story text".split())
+# Words beside these that leave their meaning as it is, and ones before them that turn it into a property.
+FORM = frozenset("area articles bar block blocks bottom box button buttons col column container div global group holder icon icons inner item items left level link links list main menu outer page panel posts primary right row secondary section site slot stories text top unit wrap wrapper".split())
+PROPERTY = frozenset("has hide is no not show single toggle with without".split())
+TITLES = frozenset("header head heading".split())
+
+# The classifier's features with their starting weights; positive speaks for content.
+START = {"bias": -0.4, "words": 3.0, "sentence": 0.6, "links": -5.0, "p": 1.5, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.4, "blockquote": 1.0, "pre": 1.0, "li": 0.0, "td": 0.0, "div": 0.0}
+PLACE = {k: i for i, k in enumerate(START)}
+# Weights of the elements and names that blocks stand in.
+INSIDE = {"article": 4.0, "main": 3.0, "nav": -9.0, "aside": -8.0, "footer": -8.0, "form": -8.0, "dialog": -8.0, "menu": -8.0, "search": -8.0, "fieldset": -6.0, "header": -6.0}
+NAMED_AGAINST, NAMED_TOWARD, HIDDEN, HIGHEST = -8.0, 1.5, -20.0, 6.0
 NEXT, SIBLING = 1.0, 0.6
+SAMPLE, NEAR = 500, 0.25  # pages that the weights are fitted on; variance of a weight around its start
+
+
+def speaks(names: str) -> int:
+    """-1 if a word among the names speaks against content, 1 if one speaks for it, else 0."""
+    found = 0
+    for name in names.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)]
+        if not words or words[0] in PROPERTY:
+            continue
+        if words[0] in TOWARD and words[-1] in TITLES:  # an article's own heading
+            found = 1
+            continue
+        first, last = words[0] in AGAINST, words[-1] in AGAINST
+        if last or first and all(w in FORM or w in AGAINST or w in TOWARD for w in words[1:]):
+            return -1
+        if words[0] in TOWARD and all(w in FORM or w in TOWARD for w in words[1:]) or words[-1] in TOWARD:
+            found = 1
+    return found
 
 
 class Node:
-    __slots__ = ("tag", "parent", "lean", "silent", "depth")
+    __slots__ = ("tag", "parent", "silent", "depth", "block", "in_article", "own", "hidden", "lean", "words", "chief")
 
     def __init__(self, tag: str, parent: Node | None, attributes):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.silent = tag in SILENT or bool(parent and parent.silent)
+        self.block = self if tag in BLOCKS or parent is None else parent.block
+        self.in_article = bool(parent and (parent.in_article or parent.tag == "article"))
+        self.words, self.chief, self.lean = 0, tag in ("main", "h1"), 0.0
         values = dict(attributes)
-        named = " ".join(values.get(k) or "" for k in ("class", "id", "role", "itemtype"))
-        lean = parent.lean if parent else 0.0
-        inner = tag == "header" and any_above(parent, "article")  # an article's own heading
-        own = 0.0 if inner else INSIDE.get(tag, -6.0 if tag == "header" else 0.0)
-        if named.strip() and tag not in ("body", "html", "article", "main"):
-            own += NAMED_AGAINST if AGAINST.search(named) else NAMED_TOWARD if TOWARD.search(named) else 0.0
-        if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", ""):
-            own += HIDDEN
-        # a part against stays against, whatever stands inside it
-        self.lean = min(lean, own) if min(lean, own) < -3 else lean + own if lean + own < 6 else 6.0
-
-
-def any_above(node: Node | None, tag: str) -> bool:
-    while node:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+        own = 0.0 if tag == "header" and self.in_article else INSIDE.get(tag, 0.0)
+        if tag not in ("body", "html", "article", "main"):
+            said = speaks(" ".join(values.get(k) or "" for k in ("class", "id", "role", "itemtype")))
+            own += NAMED_AGAINST if said < 0 else NAMED_TOWARD if said > 0 else 0.0
+        self.own = own
+        self.hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "")
 
 
 class Block:
@@ -77,26 +108,25 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.at = Node("html", None, ())
+        self.nodes = [self.at]  # parents before children
+        self.open: dict[str, list[Node]] = {}
         self.found: list[Block] = []
         self.parts: list[str] = []
-        self.linked = self.anchors = 0
-        self.owner = self.at
+        self.linked = 0
+        self.owner: Node | None = None
 
     def end_block(self) -> None:
-        text = " ".join("".join(self.parts).split(None)) if self.parts else ""
+        text = " ".join("".join(self.parts).split(None)) if self.owner else ""
         if text:
             self.found.append(Block(text, self.owner, self.linked, max(1, sum(map(len, self.parts)))))
-        self.parts, self.linked = [], 0
+        self.parts, self.linked, self.owner = [], 0, None
 
     def open_above(self, tag: str, until: frozenset | set = frozenset()) -> Node | None:
-        node = self.at
-        while node.parent:
-            if node.tag == tag:
-                return node
-            if node.tag in until:
-                return None
-            node = node.parent
-        return None
+        """The innermost open element of this tag, if none of the others is open inside it."""
+        stack = self.open.get(tag)
+        if not stack or any(self.open.get(u) and self.open[u][-1].depth > stack[-1].depth for u in until):
+            return None
+        return stack[-1]
 
     def close(self):
         super().close()
@@ -104,16 +134,19 @@ class Blocks(HTMLParser):
 
     def leave(self, node: Node) -> None:
         while True:
-            if self.at.tag == "a":
-                self.anchors -= 1
-            if self.at is node:
+            last = self.at
+            self.open[last.tag].pop()
+            self.at = last.parent
+            if last is node:
                 break
-            self.at = self.at.parent
-        self.at = node.parent or node
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.end_block()
+            if self.at.silent:
+                for t in PHRASING:
+                    if node := self.open_above(t):
+                        self.leave(node)
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -123,8 +156,8 @@ class Blocks(HTMLParser):
         if tag in ALIKE and (same := self.open_above(tag, set(ALIKE[tag].split()))):
             self.leave(same)
         self.at = Node(tag, self.at, attrs)
-        if tag == "a":
-            self.anchors += 1
+        self.nodes.append(self.at)
+        self.open.setdefault(tag, []).append(self.at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -140,25 +173,62 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if self.at.silent or not data:
             return
-        if not self.parts or not data.isspace():
-            if not any(not x.isspace() for x in self.parts):
-                self.owner = self.block_of(self.at)
+        if self.owner is None and not data.isspace():
+            self.owner = self.at.block
         self.parts.append(data)
-        if self.anchors > 0:
+        if self.open.get("a"):
             self.linked += len(data)
 
-    @staticmethod
-    def block_of(node: Node) -> Node:
-        while node.parent and node.tag not in BLOCKS:
-            node = node.parent
-        return node
+
+def weigh(nodes: list[Node], found: list[Block]) -> None:
+    """Sets each node's lean: what the elements and names above a block say."""
+    whole = 0
+    for b in found:
+        n = (b.text.count(" ") + 1) * (2 * b.linked < b.chars)
+        b.node.words += n
+        whole += n
+    for node in reversed(nodes):
+        if node.parent:
+            node.parent.words += node.words
+            node.parent.chief |= node.chief
+    for node in nodes:
+        own = node.own
+        if own < 0 and node.chief and node.tag not in ("main", "h1") and 2 * node.words >= whole:
+            own = 0.0
+        if node.hidden:
+            own += HIDDEN
+        above = node.parent.lean if node.parent else 0.0
+        # a part against stays against, whatever stands inside it
+        node.lean = min(above, own) if min(above, own) < -3 else min(above + own, HIGHEST)
+
+
+def features(block: Block) -> np.ndarray:
+    """The block by itself: length, sentence, links and tag."""
+    x = np.zeros(len(START))
+    x[0] = 1
+    x[PLACE["words"]] = min(block.text.count(" ") + 1, 25) / 25
+    x[PLACE["sentence"]] = block.text[-1] in ".!?…:;"
+    x[PLACE["links"]] = min(1.0, block.linked / block.chars)
+    if block.node.tag in PLACE:
+        x[PLACE[block.node.tag]] = 1
+    return x
 
 
-def lean(block: Block) -> float:
-    """Evidence for content, from the block's surroundings, length and links."""
-    words = block.text.count(" ") + 1
-    x = BIAS + TAG.get(block.node.tag, 0.0) + block.node.lean + min(words, 25) * WORDS
-    return x + (SENTENCE if block.text[-1] in ".!?…:;" else 0.0) + LINKS * min(1.0, block.linked / block.chars)
+def start() -> np.ndarray:
+    return np.array(list(START.values()))
+
+
+def learn(x: np.ndarray, content: np.ndarray, near: float = NEAR) -> np.ndarray:
+    """Weights of largest posterior probability: logistic regression, normal around the starting weights."""
+    w = start()
+    if not len(x):
+        return w
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / near
+        step = np.linalg.solve(h, x.T @ (p - content) + (w - start()) / near)
+        w = w - np.clip(step, -1, 1)
+    return w
 
 
 def cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -203,13 +273,15 @@ def cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
 
 
 def blocks(html: str) -> list[Block]:
+    """The page's blocks, their nodes weighed."""
     parser = Blocks()
     parser.feed(html)
     parser.close()
+    weigh(parser.nodes, parser.found)
     return parser.found
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(found: list[Block], weights: np.ndarray) -> list[bool]:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -220,27 +292,50 @@ def label(found: list[Block]) -> list[bool]:
         if parent in last:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    return cut([lean(b) for b in found], edges)
+    alone = (np.array([features(b) for b in found]) @ weights).tolist() if found else []
+    return cut([b.node.lean + (x if b.node.lean > -3 else 0.0) for b, x in zip(found, alone)], edges)
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: np.ndarray | None = None) -> str:
     """Content blocks in page order, joined by line breaks; '' if there are none."""
     if not html:
         return ""
     found = blocks(html)
-    return "\n".join(b.text for b, keep in zip(found, label(found)) if keep)
+    return "\n".join(b.text for b, keep in zip(found, label(found, start() if weights is None else weights)) if keep)
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights from at most sample pages(page_id, html), those of smallest hash, in one task."""
+    chosen = pages.where("html is not null").select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
+
+    def run(batches):
+        x, y = [], []
+        for batch in batches:
+            for html in batch.column(0).to_pylist():
+                for b in blocks(html):
+                    if b.node.lean < -3 or b.node.lean >= INSIDE["main"]:
+                        x.append(features(b))
+                        y.append(b.node.lean > 0)
+        w = learn(np.array(x).reshape(-1, len(START)), np.array(y, float))
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["w"])
+
+    found = chosen.repartition(1).mapInArrow(run, "w array<double>").first()
+    return np.array(found["w"]) if found else start()
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, url, text, n_chars long) per row.
+def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """pages(page_id, url, html) -> (page_id, url, text, n_chars long) per row; weights: of fit, else the starting ones.
 
-    Null and empty html give ''; repeated rows get equal answers; an empty table gives an empty table.
-    Other columns aren't looked at.
+    Null and empty html give ''; repeated rows get equal answers; an empty table gives an empty table. Very long and
+    deeply nested pages are read whole, in time that grows with their size. Other columns aren't looked at.
     """
+    weights = start() if weights is None else weights
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = [main_text(h, weights) for h in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pc.cast(pc.utf8_length(pa.array(texts, pa.string())), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

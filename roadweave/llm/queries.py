@@ -106,7 +106,8 @@ def op10_token_output(spark, sf_dir):
 
 @query
 def op3_main_text(spark, sf_dir):
-    return pages.extract(table(spark, sf_dir, "pages"))
+    found = table(spark, sf_dir, "pages")
+    return pages.extract(found, pages.fit(found))
 
 
 @query
