@@ -90,7 +90,8 @@ def op4_winnowing(spark, sf_dir):
 
 @query
 def op6_secrets(spark, sf_dir):
-    found = secrets.find(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs, secrets.fit(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

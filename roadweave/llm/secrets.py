@@ -4,20 +4,31 @@ Base findings are three fixed patterns. From labelled credentials of each kind a
 prefix tree of character classes with counts is built, and its states are merged
 where their next-symbol frequencies are compatible by the Hoeffding bound (red and
 blue states, merges folded down the tree). The outcome is a probabilistic
-automaton for each kind. Every candidate word of a text is scored by its best
-log-likelihood per symbol against a background of ordinary words; candidates that
-score high and that no base finding covers are findings of kind "format".
+automaton for each kind. Labels come from two places: the corpus, where the values
+of base findings are credentials of their kind and all other candidates ordinary
+words, in samples of bounded size; and a list of public token formats, of which
+the corpus may hold none. Every candidate of a text is scored by its best
+log-likelihood per character against a background of ordinary words; candidates
+above the margin that no base finding covers are findings of kind "format". The
+margin is the score that all but FALSE of the ordinary words stay below.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadweave.session import cut
 
 # The three base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -27,6 +38,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # [0-9a-f]+ of 24 or more: runs are tak
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 KINDS = ("assign", "access", "hex", "format")
 ALPHA, MARGIN, END = 0.05, 0.3, "$"
+FALSE = 0.002  # share of ordinary candidates that may lie above the margin
+LABELS, PLAIN = 200, 2000  # credentials of each kind, and ordinary words, that are learned from
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,9 +106,9 @@ class Automaton:
 
     def merged(self, alpha: float = ALPHA) -> Automaton:
         """Red states stay; a blue state, next to them, joins a compatible red one or turns red."""
-        red = [0]
-        while blue := sorted((r, s, c) for r in red for s, c in self.to[r].items() if c not in red):
-            r, s, c = blue[0]
+        red, inside = [0], {0}
+        while blue := min(((r, s, c) for r in red for s, c in self.to[r].items() if c not in inside), default=None):
+            r, s, c = blue
             for other in red:
                 if self.compatible(other, c, alpha):
                     self.to[r][s] = other
@@ -103,6 +116,7 @@ class Automaton:
                     break
             else:
                 red.append(c)
+                inside.add(c)
         return self
 
     def table(self) -> list[dict]:
@@ -114,34 +128,86 @@ class Automaton:
         return out
 
 
-def labelled(seed: int = 11, each: int = 160) -> dict[str, list[str]]:
-    """Credentials of known formats, generated by their public shapes, with labels; and ordinary words."""
+# Public formats of tokens, as prefix, letters (u: capitals, l: small, d: digits, others as they are) and length.
+FORMATS = """ghp_ uld 36, gho_ uld 36, ghs_ uld 36, github_pat_ uld_ 82, glpat- uld_- 20, sk_live_ uld 24, pk_live_ uld 24, rk_live_ uld 24,
+xoxb- d 12 - d 12 - uld 24, xoxp- d 12 - d 12 - d 12 - ld 32, AIza uld_- 35, npm_ uld 36, pypi- uld_- 150, SG. uld_- 22 . uld_- 43, SK ld 32, shpat_ ld 32,
+AKIA ud 16, ASIA ud 16, ya29. uld_- 60, eyJ uld 33 . eyJ uld 40 . uld_- 43, dop_v1_ ld 64, hf_ ul 34"""
+LETTERS = {"u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "l": "abcdefghijklmnopqrstuvwxyz", "d": "0123456789"}
+
+
+def shaped(rng: random.Random, shape: list[str]) -> str:
+    """A random token of a format: literal parts, and letters followed by a number of them."""
+    out, i = "", 0
+    while i < len(shape):
+        if i + 1 < len(shape) and shape[i + 1].isdigit():
+            letters = "".join(LETTERS.get(c, c) for c in shape[i])
+            out += "".join(rng.choice(letters) for _ in range(int(shape[i + 1])))
+            i += 2
+        else:
+            out += shape[i]
+            i += 1
+    return out
+
+
+def known_formats(seed: int = 11, each: int = 60) -> dict[str, list[str]]:
+    """Tokens of the public formats, and ordinary words of the kinds that texts may hold, under ""."""
     rng = random.Random(seed)
-    upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    shapes = {
-        "access": lambda: "AKIA" + of(upper + digit, 16),
-        "hex": lambda: of("0123456789abcdef", rng.choice((32, 40, 64))),
-        "prefixed": lambda: rng.choice(("ghp_", "gho_", "ghs_")) + of(upper + lower + digit, 36),
-        "live": lambda: rng.choice(("sk_live_", "pk_live_", "rk_live_")) + of(upper + lower + digit, 24),
-        "mixed": lambda: of(upper + lower + digit + "+/", rng.choice((32, 40, 44))),
-        "three": lambda: "eyJ" + of(upper + lower + digit, 33) + ".eyJ" + of(upper + lower + digit, 40) + "." + of(upper + lower + digit + "_-", 43),
-    }
-    syllables = ("the", "an", "er", "on", "in", "ti", "ou", "re", "st", "ed", "la", "que", "ver", "ción", "ment", "sch")
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(5, 12))).replace("ó", "o")
-    plain = [rng.choice((word(), word().title(), word().upper(), f"{word()}-{word()}", f"www.{word()}.com/{word()}", f"{word()}_{rng.randrange(10000)}", "-" * rng.randrange(16, 60), "=" * 30, f"{rng.randrange(10**17, 10**18)}")) for _ in range(6 * each)]
-    return {k: [f() for _ in range(each)] for k, f in shapes.items()} | {"": plain}
-
-
-@cache
-def grammar():
-    samples = labelled()
-    models = {k: Automaton(["".join(map(symbol, w)) for w in words]).merged().table() for k, words in samples.items() if k}
-    pairs = defaultdict(lambda: defaultdict(int))
-    for w in samples[""]:
-        for a, b in zip(" " + w, w + " "):
-            pairs[a.lower()][b.lower()] += 1
-    return models, {a: {b: n / (sum(to.values()) + 8) for b, n in to.items()} for a, to in pairs.items()}
+    shapes = [f.split() for f in FORMATS.replace("\n", " ").split(",")]
+    found = {" ".join(f): [shaped(rng, f) for _ in range(each)] for f in shapes}
+    found["mixed"] = [shaped(rng, ["uld+/", str(rng.choice((32, 40, 44)))]) for _ in range(4 * each)]
+    syllables = ("the", "an", "er", "on", "in", "ti", "ou", "re", "st", "ed", "la", "que", "ver", "cion", "ment", "sch")
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(5, 12)))
+    uuid = lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))
+    path = lambda: f"{word()}/{word()}-{rng.randrange(2000, 2030)}/{word()}.html"
+    plain = (word, lambda: word().title(), lambda: word().upper(), lambda: f"{word()}-{word()}", lambda: f"www.{word()}.com/{word()}", path, lambda: f"{word()}_{rng.randrange(10000)}", lambda: "-" * rng.randrange(16, 60), lambda: f"{rng.randrange(10**17, 10**18)}", uuid, lambda: f"2024-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{rng.randrange(10, 24)}.00.00Z")
+    found[""] = [f() for f in plain for _ in range(2 * each)]
+    return found
+
+
+def candidates(text: str):
+    """(start, end, word) of what may be a credential: 16 or more of its letters in a row."""
+    for m in CANDIDATE.finditer(text):
+        w = m[0].strip(".=-")
+        if len(w) >= 16:
+            a = m.start() + m[0].index(w)
+            yield a, a + len(w), w
+
+
+def labels_of(text: str):
+    """(kind, word): values of base findings of 16 or more characters, and the other candidates under ""."""
+    base = base_spans(text)
+    for a, b, kind in base:
+        value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
+        if len(value) >= 16:
+            yield kind, value
+    for a, b, w in candidates(text):
+        if not any(x < b and a < y for x, y, _ in base):
+            yield "", w
+
+
+class Grammar:
+    """Automata of the kinds, a background of ordinary words, and the margin between them."""
+
+    def __init__(self, samples: dict[str, list[str]]):
+        self.tables = [Automaton(["".join(map(symbol, w)) for w in words]).merged().table() for k, words in samples.items() if k and words]
+        pairs = defaultdict(lambda: defaultdict(int))
+        for w in samples.get("", ()):
+            for a, b in zip(" " + w, w + " "):
+                pairs[a.lower()][b.lower()] += 1
+        self.pairs = {a: {b: math.log(n / (sum(to.values()) + 8)) for b, n in to.items()} for a, to in pairs.items()}
+        plain = sorted(map(self.likelihood, samples.get("", ())))
+        self.margin = max([MARGIN, *plain[int(len(plain) * (1 - FALSE)) :][:1]])
+
+    def likelihood(self, word: str) -> float:
+        """Best log-likelihood ratio per character of the automata against ordinary words."""
+        symbols = "".join(map(symbol, word))
+        best = max((_log_likelihood(t, symbols) for t in self.tables), default=-math.inf) - sum(map(_size, symbols))
+        low, none = word.lower(), -math.log(300)
+        plain = sum(self.pairs.get(a, {}).get(b, none) for a, b in zip(" " + low, low + " "))
+        return (best - plain) / (len(word) + 1)
+
+    def is_secret(self, word: str) -> bool:
+        return self.likelihood(word) > self.margin
 
 
 def _log_likelihood(table: list[dict], symbols: str) -> float:
@@ -153,38 +219,62 @@ def _log_likelihood(table: list[dict], symbols: str) -> float:
     return total
 
 
-@cache
+# Log number of characters in a class: a class-level model spreads evenly over them.
+SIZES = {"d": math.log(10), "h": math.log(6), "l": math.log(20), "C": math.log(26)}
+
+
 def _size(s: str) -> float:
-    """Log number of characters in a class: a class-level model spreads evenly over them."""
-    return math.log({"d": 10, "h": 6, "l": 20, "C": 26}.get(s, 1))
+    return SIZES.get(s, 0.0)
+
+
+def labelled(docs: DataFrame, labels: int = LABELS, plain: int = PLAIN) -> dict[str, list[str]]:
+    """Credentials of each base kind and ordinary words in docs(text), the smallest by a hash: at most labels of each
+    kind, and plain words."""
+
+    most = {k: labels if k else plain for k in (*KINDS[:3], "")}
+
+    def run(batches):
+        # the smallest of this task, of each kind
+        held = {k: set() for k in most}
 
+        def cut_back():
+            for k, found in held.items():
+                held[k] = set(heapq.nsmallest(most[k], found))
 
-def likelihood(word: str) -> float:
-    """Best log-likelihood ratio per character of the automata against ordinary words."""
-    models, pairs = grammar()
-    symbols = "".join(map(symbol, word))
-    spread = sum(map(_size, symbols))
-    best = max(_log_likelihood(t, symbols) for t in models.values()) - spread
-    low = word.lower()
-    plain = sum(math.log(pairs.get(a, {}).get(b, 0) or 1 / 300) for a, b in zip(" " + low, low + " "))
-    return (best - plain) / (len(word) + 1)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for k, w in labels_of(t or ""):
+                    held[k].add((xxhash.xxh3_64_intdigest(w) >> 1, w))
+                if any(len(found) > 2 * most[k] + 1000 for k, found in held.items()):
+                    cut_back()
+        cut_back()
+        rows = [(k, h, w) for k, found in held.items() for h, w in found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.string(), pa.int64(), pa.string()))], names=["kind", "h", "word"])
+
+    each = cut(docs.select("text").mapInArrow(run, "kind string, h long, word string").distinct())
+    return {k: [r.word for r in each.where(F.col("kind") == k).orderBy("h", "word").limit(n).collect()] for k, n in most.items()}
 
 
-def _telling(word: str) -> bool:
-    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+def fit(docs: DataFrame | None = None) -> Grammar:
+    """The grammar of the public formats and of docs' own labels."""
+    samples = known_formats()
+    for kind, words in (labelled(docs) if docs is not None else {}).items():
+        samples[kind] = samples.get(kind, []) + words
+    return Grammar(samples)
 
 
-def scan(text: str) -> tuple[list, list]:
+def scan(text: str, is_secret) -> tuple[list, list]:
     """(base spans, all spans). An empty text has none."""
     base = base_spans(text)
     spans = list(base)
-    for m in CANDIDATE.finditer(text):
-        w = m[0].strip(".=-")
-        if len(w) >= 16 and _telling(w):
-            a = m.start() + m[0].index(w)
-            b = a + len(w)
-            if not any(x < b and a < y for x, y, _ in base) and likelihood(w) > MARGIN:
-                spans.append((a, b, "format"))
+    ends = [0]
+    for _, b, _ in base:
+        ends.append(max(ends[-1], b))
+    begins = [a for a, _, _ in base]
+    for a, b, w in candidates(text):
+        # base findings that begin before b, the furthest end of which lies beyond a, overlap
+        if ends[bisect_left(begins, b)] <= a and is_secret(w):
+            spans.append((a, b, "format"))
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -192,17 +282,21 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def find(docs):
+def find(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, base string, spans string, n_assign, n_access, n_hex long) per row.
 
     Spans are kind:start:end, joined by commas; a null or empty text has none. Each row is scanned
-    alone: repeated rows get equal answers, an empty table none. Other columns aren't looked at.
+    alone and whole, however long: repeated rows get equal answers, an empty table none. Other columns
+    aren't looked at. grammar: of fit, else that of the public formats alone.
     """
+    grammar = docs.sparkSession.sparkContext.broadcast(grammar or fit())
+
     def run(batches):
+        is_secret = lru_cache(50_000)(grammar.value.is_secret)
         for batch in batches:
             out = [[] for _ in range(5)]
             for t in batch.column(1).to_pylist():
-                base, spans = scan(t or "")
+                base, spans = scan(t or "", is_secret)
                 kinds = [k for _, _, k in base]
                 for column, v in zip(out, (joined(base), joined(spans), *(kinds.count(k) for k in KINDS[:3]))):
                     column.append(v)
