@@ -28,31 +28,33 @@ def elevation_gain(heights: Column, hysteresis: float = GAIN_HYSTERESIS) -> Colu
     return F.aggregate(known, start, step, lambda acc: F.coalesce(acc["gain"], F.lit(0.0)))
 
 
-def _anchored(points: Column, minimum: float) -> Column:
-    """The points kept when each must lie `minimum` metres or more from the one kept before."""
-    first = F.slice(points, F.lit(1), F.lit(1))
-    far = lambda kept, p: haversine(F.element_at(kept, -1), p) >= minimum
-    return F.aggregate(points, first, lambda kept, p: F.when(far(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
-
-
 def _steps(kept: Column, f) -> Column:
     """f(a, b) for neighbours of an array."""
     return F.transform(F.sequence(F.lit(1), F.size(kept) - 1), lambda i: f(F.get(kept, i - 1), F.get(kept, i)))
 
 
 def turns(points: Column, segment: float = TURN_SEGMENT, degrees: float = TURN_BEARING) -> Column:
-    """Bends of more than `degrees` between segments of `segment` metres or more; points: array<struct<lon, lat, ...>>."""
-    kept = _anchored(points, segment)
-    ways = F.when(F.size(kept) > 1, _steps(kept, bearing)).otherwise(F.array().cast("array<double>"))
-    bends = F.when(F.size(ways) > 1, _steps(ways, bearing_delta)).otherwise(F.array().cast("array<double>"))
-    return F.size(F.filter(bends, lambda b: b > degrees)).cast("long")
+    """Bends of more than `degrees` between segments of `segment` metres or more; points: array<struct<lon, lat, ...>>.
+    Each segment ends at the first point that far from its start, where the next begins."""
+    start = F.struct(F.get(points, F.lit(0)).alias("last"), F.lit(None).cast("double").alias("way"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, p):
+        way = bearing(acc["last"], p)
+        bend = F.when(acc["way"].isNotNull() & (bearing_delta(acc["way"], way) > degrees), 1).otherwise(0)
+        return F.when(haversine(acc["last"], p) >= segment, F.struct(p.alias("last"), way.alias("way"), (acc["n"] + bend).alias("n"))).otherwise(acc)
+
+    return F.coalesce(F.aggregate(points, start, step, lambda acc: acc["n"]), F.lit(0).cast("long"))
 
 
 def max_grade(points: Column, run: float = GRADE_RUN) -> Column:
     """Steepest rise over runs of `run` metres or more; runs with a missing height at an end are left out."""
-    kept = _anchored(points, run)
-    grade = lambda a, b: F.abs(b["ele"] - a["ele"]) / haversine(a, b)
-    return F.coalesce(F.when(F.size(kept) > 1, F.array_max(F.concat(F.array(F.lit(0.0)), _steps(kept, grade)))), F.lit(0.0))
+    start = F.struct(F.get(points, F.lit(0)).alias("last"), F.lit(0.0).alias("best"))
+
+    def step(acc, p):
+        grade = F.abs(p["ele"] - acc["last"]["ele"]) / haversine(acc["last"], p)
+        return F.when(haversine(acc["last"], p) >= run, F.struct(p.alias("last"), F.greatest(acc["best"], F.coalesce(grade, F.lit(0.0))).alias("best"))).otherwise(acc)
+
+    return F.coalesce(F.aggregate(points, start, step, lambda acc: acc["best"]), F.lit(0.0))
 
 
 def length(points: Column) -> Column:
@@ -75,8 +77,8 @@ def pieces(points: Column, most: int = PIECE) -> Column:
 def smooth_counts(ways: DataFrame) -> DataFrame:
     """ways(way, street, x, y, length, aadt): those whose count stands above its street's median nearby, lowered to it."""
     a = ways.select("way", "street", "x", "y", F.col("aadt").alias("raw"))
-    b = ways.select(F.col("street").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"), "length", F.col("aadt").alias("value"))
-    near = proximity_join(a, b, ("x", "y"), ("bx", "by"), SMOOTH_WINDOW, F.col("street") == F.col("other"))
+    b = ways.select("street", F.col("x").alias("bx"), F.col("y").alias("by"), "length", F.col("aadt").alias("value"))
+    near = proximity_join(a, b, ("x", "y"), ("bx", "by"), SMOOTH_WINDOW, on=("street",))
     enough = near.groupBy("way", "raw").agg(F.count("*").alias("n"), F.sum("length").alias("metres")).where((F.col("n") >= SMOOTH_WAYS) & (F.col("metres") >= SMOOTH_LENGTH))
     median = weighted_median(near, ["way"], "value", "length", "smoothed")
     return enough.join(median, "way").where("smoothed < raw").select("way", "raw", "smoothed", "n", "metres")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.session import cut
+
 
 def with_cells(df: DataFrame, x: str, y: str, size: float, around: bool = False) -> DataFrame:
     """Adds cell: the square of side `size` that holds (x, y), or it and the eight around it, a row each."""
@@ -15,38 +17,40 @@ def with_cells(df: DataFrame, x: str, y: str, size: float, around: bool = False)
     return df.withColumn("cell", F.explode(F.array(*near)))
 
 
-def proximity_join(left: DataFrame, right: DataFrame, lxy, rxy, radius: float, keep: Column | None = None) -> DataFrame:
+def proximity_join(left: DataFrame, right: DataFrame, lxy, rxy, radius: float, keep: Column | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within `radius` (planar, inclusive), with squared distance d2. The larger side isn't
-    multiplied: give it as `right`. Rows without coordinates join nothing."""
+    multiplied: give it as `right`. Rows without coordinates join nothing. on: columns of both sides that must be
+    equal too; they are join keys, so that a busy cell is split by them."""
     (lx, ly), (rx, ry) = lxy, rxy
     near = with_cells(left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()), lx, ly, radius, around=True)
-    pairs = near.join(with_cells(right, rx, ry, radius), "cell").drop("cell")
+    pairs = near.join(with_cells(right, rx, ry, radius), ["cell", *on]).drop("cell")
     d2 = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
     pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     return pairs if keep is None else pairs.where(keep)
 
 
-def knn_join(left: DataFrame, right: DataFrame, lid: str, lxy, rxy, tie: list[str], k: int = 1, radius: float = 64.0) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, lid: str, lxy, rxy, tie: list[str], k: int = 1, radius: float | None = None) -> DataFrame:
     """The k nearest rows of right for each row of left (lid unique), nearest first, ties by `tie`: rank 1..k.
 
     Searches within a radius that doubles for the rows that have found fewer than k, until all have, or
-    the radius spans everything.
+    the radius spans everything. It starts at twice what k rows of right take up on average. What is found and
+    what is open is cut each round, so no round repeats the ones before.
     """
     box = right.agg(F.min(rxy[0]), F.max(rxy[0]), F.min(rxy[1]), F.max(rxy[1]), F.count("*")).first()
     own = left.agg(F.min(lxy[0]), F.max(lxy[0]), F.min(lxy[1]), F.max(lxy[1])).first()
     order = Window.partitionBy(lid).orderBy("d2", *tie)
-    empty = proximity_join(left, right, lxy, rxy, radius).withColumn("rank", F.lit(1).cast("long")).limit(0)
-    if not box[4] or own[0] is None:
-        return empty
+    if not box[4] or own[0] is None or box[0] is None:
+        return proximity_join(left, right, lxy, rxy, radius or 1.0).withColumn("rank", F.lit(1).cast("long")).limit(0)
     span = max(box[1], own[1]) - min(box[0], own[0]) + max(box[3], own[3]) - min(box[2], own[2]) + 1
-    found, open_ = empty, left
+    radius = radius or max(2 * ((box[1] - box[0] + 1) * (box[3] - box[2] + 1) * k / box[4]) ** 0.5, span / 2**20)
+    found, open_ = None, left
     while True:
-        near = proximity_join(open_, right, lxy, rxy, radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        near = cut(proximity_join(open_, right, lxy, rxy, radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
+        done = near if radius >= span else near.join(near.where(F.col("rank") == k).select(lid), lid, "left_semi")
+        found = done if found is None else found.unionByName(done)
         if radius >= span:
-            return found.unionByName(near)
-        full = near.groupBy(lid).agg(F.max("rank").alias("n")).where(F.col("n") == k).select(lid)
-        found = found.unionByName(near.join(full, lid, "left_semi"))
-        open_ = open_.join(full, lid, "left_anti")
+            return found
+        open_ = cut(open_.join(near.where(F.col("rank") == k).select(lid), lid, "left_anti"))
         if open_.isEmpty():
             return found
         radius *= 2
@@ -64,13 +68,27 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, ri
 
 
 def interval_overlap_join(left: DataFrame, right: DataFrame, on: list[str], l_span, r_span, width: float) -> DataFrame:
-    """Pairs of equal `on` whose half-open intervals overlap (a.lo < b.hi and b.lo < a.hi). Intervals are cut
-    into buckets of `width`; a pair is given once, in the bucket where its overlap begins."""
+    """Pairs of equal `on` whose half-open intervals overlap (a.lo < b.hi and b.lo < a.hi).
+
+    An interval has a level: 0 up to `width`, one more for each doubling. At its own level and above it lies in two
+    buckets at most, of width * 2^level, so a long interval isn't cut into many. A pair meets at the higher of
+    its levels, and is given once, in the bucket where its overlap begins.
+    """
     (la, lb), (ra, rb) = l_span, r_span
-    cut = lambda df, a, b: df.where(F.col(a) < F.col(b)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / width), F.ceil(F.col(b) / width) - 1)))
-    pairs = cut(left, la, lb).join(cut(right, ra, rb), [*on, "bucket"])
-    first = F.floor(F.greatest(la, ra) / width)
-    return pairs.where((F.col(la) < F.col(rb)) & (F.col(ra) < F.col(lb)) & (F.col("bucket") == first)).drop("bucket")
+    levels = lambda a, b: F.greatest(F.ceil(F.log2((F.col(b) - F.col(a)) / width)), F.lit(0)).cast("int")
+    left = left.where(F.col(la) < F.col(lb)).withColumn("__l", levels(la, lb))
+    right = right.where(F.col(ra) < F.col(rb)).withColumn("__r", levels(ra, rb))
+    top = max(left.agg(F.max("__l")).first()[0] or 0, right.agg(F.max("__r")).first()[0] or 0)
+
+    def buckets(df, own, a, b):
+        df = df.withColumn("level", F.explode(F.sequence(F.col(own), F.lit(top)))) if top else df.withColumn("level", F.lit(0))
+        w = F.lit(width) * F.pow(F.lit(2), F.col("level"))
+        return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / w), F.ceil(F.col(b) / w) - 1)))
+
+    pairs = buckets(left, "__l", la, lb).join(buckets(right, "__r", ra, rb), [*on, "level", "bucket"])
+    first = F.floor(F.greatest(la, ra) / (F.lit(width) * F.pow(F.lit(2), F.col("level"))))
+    met = (F.col("level") == F.greatest("__l", "__r")) & (F.col(la) < F.col(rb)) & (F.col(ra) < F.col(lb)) & (F.col("bucket") == first)
+    return pairs.where(met).drop("level", "bucket", "__l", "__r")
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list) -> DataFrame:

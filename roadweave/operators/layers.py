@@ -66,9 +66,9 @@ def chains(lines: DataFrame, gap: float) -> DataFrame:
     # several lines of one name at one place are linked to the first of them
     spot = named.groupBy("name", "x", "y").agg(F.min("id").alias("first"))
     same = named.join(spot, ["name", "x", "y"]).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    a = spot.select(F.col("name").alias("na"), F.col("first").alias("u"), "x", "y")
-    b = spot.select(F.col("name").alias("nb"), F.col("first").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = proximity_join(a, b, ("x", "y"), ("bx", "by"), gap, keep=(F.col("na") == F.col("nb")) & (F.col("u") < F.col("v")))
+    a = spot.select("name", F.col("first").alias("u"), "x", "y")
+    b = spot.select("name", F.col("first").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    near = proximity_join(a, b, ("x", "y"), ("bx", "by"), gap, keep=F.col("u") < F.col("v"), on=("name",))
     found = cut(components(near.select("u", "v").unionByName(same)))
     of = named.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("chain", F.coalesce("component", "id"))
     sums = of.groupBy("chain").agg(F.sum("length").alias("run"))
@@ -156,9 +156,9 @@ def names_at(vertices: DataFrame) -> DataFrame:
 def opposite_carriageways(lines: DataFrame, distance: float, degrees: float) -> DataFrame:
     """lines(line, name, x, y, bearing) of one-way roads -> (a, b) of one name that run within distance of one another the
     other way round, give or take degrees."""
-    other = lines.select(F.col("line").alias("b"), F.col("name").alias("__n"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("bearing").alias("__b"))
+    other = lines.select(F.col("line").alias("b"), "name", F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("bearing").alias("__b"))
     turn = F.abs(F.pmod(F.col("bearing") - F.col("__b") + 180, F.lit(360)) - 180)
-    pairs = proximity_join(lines, other, ("x", "y"), ("__x", "__y"), distance, keep=(F.col("name") == F.col("__n")) & (F.col("line") < F.col("b")) & (turn >= 180 - degrees))
+    pairs = proximity_join(lines, other, ("x", "y"), ("__x", "__y"), distance, keep=(F.col("line") < F.col("b")) & (turn >= 180 - degrees), on=("name",))
     return pairs.select(F.col("line").alias("a"), "b")
 
 

@@ -85,20 +85,9 @@ def merged_features(spark, sf_dir):
     return merged.select("p_brand", "tier", "n", F.array_join("p", " ").alias("parts"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS u, 100000000 + c_custkey * 31 % (SELECT count(*) * 9 // 10 FROM customer) AS v FROM customer WHERE c_custkey % 4 < 3),
-    edges AS (SELECT u, v FROM e UNION SELECT v, u FROM e), walk AS (SELECT DISTINCT u AS node, u AS seen FROM edges UNION SELECT w.node, b.v FROM walk w JOIN edges b ON b.u = w.seen)
-    SELECT node, CAST(min(seen) AS BIGINT) AS component FROM walk GROUP BY 1"""
-)
-def components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    m = c.count() * 9 // 10
-    return graph.components(c.where("c_custkey % 4 < 3").select(F.col("c_custkey").alias("u"), (100000000 + F.col("c_custkey") * 31 % m).alias("v")))
-
-
 @query()
-def components_all(spark, sf_dir):
-    """`components` over every customer; its SQL would not finish."""
+def components(spark, sf_dir):
+    """Groups of customers linked through shared nodes; SQL over all of them would not finish."""
     c = table(spark, sf_dir, "customer")
     m = c.count() * 9 // 10
     return graph.components(c.select(F.col("c_custkey").alias("u"), (100000000 + F.col("c_custkey") * 31 % m).alias("v")))
@@ -120,23 +109,12 @@ def mutual_continuation(spark, sf_dir):
     return first.groupBy("junction", "a", "b", "turn").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
-@query(
-    """WITH p AS (SELECT DISTINCT l_orderkey AS line, l_suppkey AS vertex FROM lineitem WHERE l_orderkey % 5 = 0), s AS (SELECT vertex FROM p GROUP BY 1 HAVING count(DISTINCT line) > 1),
-    f AS (SELECT p.line, p.vertex, s.vertex IS NOT NULL AS shared FROM p LEFT JOIN s USING (vertex))
-    SELECT line, vertex, CAST(coalesce(sum(CASE WHEN shared THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY vertex ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS piece FROM f"""
-)
-def split_edges(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("line"), F.col("l_suppkey").alias("vertex")).distinct()
-    return graph.split_at(points, "line", "vertex", "vertex", graph.shared_vertices(points, "line", "vertex")).select("line", "vertex", F.col("piece").cast("long").alias("piece"))
-
-
 @query(
     """WITH p AS (SELECT DISTINCT l_orderkey AS line, l_suppkey AS vertex FROM lineitem), s AS (SELECT vertex FROM p GROUP BY 1 HAVING count(DISTINCT line) > 1),
     f AS (SELECT p.line, p.vertex, s.vertex IS NOT NULL AS shared FROM p LEFT JOIN s USING (vertex))
     SELECT line, vertex, CAST(coalesce(sum(CASE WHEN shared THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY vertex ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS piece FROM f"""
 )
-def split_edges_all(spark, sf_dir):
-    """`split_edges` over every line."""
+def split_edges(spark, sf_dir):
     points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_suppkey").alias("vertex")).distinct()
     return graph.split_at(points, "line", "vertex", "vertex", graph.shared_vertices(points, "line", "vertex")).select("line", "vertex", F.col("piece").cast("long").alias("piece"))
 

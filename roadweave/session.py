@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one, else (single-machine tests) a folder of this session."""
+    cluster names one, else, with a local master, a folder of this session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="roadweave-"))
     return context._jsc.sc().getCheckpointDir().get()
 

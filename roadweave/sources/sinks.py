@@ -18,19 +18,26 @@ def write_build(df: DataFrame, root: str, build: str, live: str | None = None, p
     return path
 
 
-def promote(spark: SparkSession, root: str, build: str) -> None:
-    """Makes a build the live one: a one-row pointer table is replaced as a whole, and keeps the build before."""
+def pointer(spark: SparkSession, root: str):
+    """The latest row of the pointer table (version, live, previous), or none."""
     try:
-        before = spark.read.parquet(f"{root}/pointer").first()["live"]
+        return spark.read.parquet(f"{root}/pointer").orderBy(F.desc("version")).first()
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        before = None
-    spark.createDataFrame([(build, before)], "live string, previous string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
+        return None
+
+
+def promote(spark: SparkSession, root: str, build: str) -> None:
+    """Makes a build the live one, by a new version of the pointer: the one before stays until the new one is there."""
+    last = pointer(spark, root)
+    version = last["version"] + 1 if last else 0
+    row = spark.createDataFrame([(build, last["live"] if last else None)], "live string, previous string")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer/version={version}")
 
 
 def live_build(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/build_id={spark.read.parquet(f'{root}/pointer').first()['live']}")
+    return spark.read.parquet(f"{root}/build_id={pointer(spark, root)['live']}")
 
 
 def insert_new(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,19 +74,18 @@ def take_if_fits(asks: DataFrame, limit: int, width: int) -> DataFrame:
 
 
 def keep_last_good(stream: DataFrame, path: str, key: str, order: str):
-    """Writes, batch by batch, the latest good row of each key to a table at path; keys absent from a batch keep theirs."""
+    """Writes, batch by batch, the latest good row of each key to a table at path/batch; keys absent from a batch keep
+    theirs. A batch needs the table of the one before and fails without it, rather than lose what was known. Tables
+    before that one are removed."""
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(f"{path}/{_ - 1}") if _ else None
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        rows = batch if known is None else batch.unionByName(known)
+        rows = batch.unionByName(spark.read.parquet(f"{path}/{n - 1}")) if n else batch
         last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/{_}")
+        last.write.mode("overwrite").parquet(f"{path}/{n}")
+        if n > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n - 2}")
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).trigger(availableNow=True)
 

@@ -228,7 +228,7 @@ def test_components_and_networks_over_whole_tables(spark):
 
     keys = [r.c_custkey for r in table(spark, sf, "customer").select("c_custkey").collect()]
     want = roots((k, 100000000 + k * 31 % (len(keys) * 9 // 10)) for k in keys)
-    assert {r.node: r.component for r in places.components_all(spark, sf).collect()} == want
+    assert {r.node: r.component for r in places.components(spark, sf).collect()} == want
     lines_ = [(r.l_orderkey, 1000000 + r.l_partkey % 97, r.l_returnflag == "R") for r in table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").collect()]
     of, seen = roots((w, n) for w, n, _ in lines_), {}
     for w, n, gate in lines_:

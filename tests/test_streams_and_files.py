@@ -59,7 +59,7 @@ def test_builds_and_sinks(spark, tmp_path):
     sinks.write_build(a.limit(1), root, "b2", live="b1")
     sinks.promote(spark, root, "b2")
     assert sinks.live_build(spark, root).count() == 1
-    assert spark.read.parquet(f"{root}/pointer").first()["previous"] == "b1"
+    assert sinks.pointer(spark, root)["previous"] == "b1"
     assert [r.way for r in sinks.insert_new(spark.createDataFrame([(2, "z"), (3, "w"), (3, "w")], "way long, name string"), a, ["way"]).collect()] == [3]
     sinks.write_csv(spark.createDataFrame([(1, 'a "b", c')], "id int, t string").coalesce(1), f"file://{tmp_path}/csv", "open licence")
     lines = [r.value for r in spark.read.text(f"file://{tmp_path}/csv").collect()]
