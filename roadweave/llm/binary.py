@@ -26,9 +26,9 @@ from roadweave.llm.tokens import tokenizer_path
 from roadweave.session import shared_dir
 
 SEGMENT = 1 << 20
-WORDS = 100_000  # stems of a generation, about 200 bytes each; a task remembers two generations
+WORDS = 60_000  # stems of a generation, about 200 bytes each; a task remembers two generations
 LONG = 64  # characters of a stem that is remembered
-CHUNK = 1_500_000  # bytes of text encoded at once, in whole texts
+CHUNK = 4_000_000  # bytes of text encoded at once, in whole texts
 TOGETHER = 1000  # words that are encoded as one text
 LANES, STEPS = 1024, 256
 SCALE = 17
@@ -145,7 +145,10 @@ class Encoder:
         flat = np.frombuffer(b"".join(table), "<u4")
         each = sizes[codes]
         ends = np.cumsum(each)
-        data = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + each, each) + np.arange(int(ends[-1]))].tobytes()
+        at = np.int32 if max(len(flat), ends[-1]) < 2**31 else np.int64
+        places = np.repeat(((np.cumsum(sizes) - sizes)[codes] - ends + each).astype(at), each)
+        places += np.arange(len(places), dtype=at)
+        data = flat[places].tobytes()
         unclean = np.zeros(len(table), bool)
         unclean[[i for i, ids in enumerate(found) if ids is False]] = True
         whole = np.add.reduceat(unclean[codes], first, dtype=np.int64) > 0
