@@ -18,6 +18,9 @@ TRAIL_NETWORK = ("cycleway", "path", "bridleway")
 OPEN_BY_DEFAULT = ("cycleway", "path")
 ONEWAY, ONEWAY_JUNCTIONS = ("yes", "1", "-1", "true"), ("roundabout", "circular")
 SHOULDER_ABSENT = ("no", "none")
+# What keeps a bicycle apart from traffic, and the tags of a trail that name it.
+PHYSICAL = ("flex_post", "bollard", "kerb", "planter", "jersey_barrier", "concrete_barrier", "fence", "guard_rail", "parking_lane", "vertical_panel", "hedge", "tree_row", "yes")
+TRAIL_SEPARATION = ("separation", "separation:left", "separation:right", "separation:both")
 
 
 def tag(tags: Column, key: str) -> Column:
@@ -104,7 +107,7 @@ def closed_to_motor(tags: Column) -> Column:
     )
 
 
-def trail_facility(tags: Column, beside_road: Column, separation=("separation", "cycleway:separation"), physical=("bollard", "kerb", "barrier", "fence", "guard_rail")) -> Column:
+def trail_facility(tags: Column, beside_road: Column, separation=TRAIL_SEPARATION, physical=PHYSICAL) -> Column:
     """path, protected or none of a trail-class way."""
     highway, bicycle = tag(tags, "highway"), tag(tags, "bicycle")
     said = F.array(tag(tags, "footway"), tag(tags, "path"), tag(tags, "cycleway"))

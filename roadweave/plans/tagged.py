@@ -30,18 +30,18 @@ TAGS = (
 )
 
 
-def sql_tags() -> str:
+def sql_tags(tags=TAGS) -> str:
     """The same tags as columns."""
     cases = []
-    for name, n, values in TAGS:
+    for name, n, values in tags:
         whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
         cases.append(f"CASE (p_partkey // {len(name)}) % {n} {whens} END AS \"{name}\"")
     return f"t AS (SELECT p_partkey, p_size, {', '.join(cases)} FROM part)"
 
 
-def tagged(spark, sf_dir):
+def tagged(spark, sf_dir, tags=TAGS):
     pairs = []
-    for name, n, values in TAGS:
+    for name, n, values in tags:
         at = F.floor(F.col("p_partkey") / len(name)) % n
         value = F.get(F.array(*[F.lit(v).cast("string") for v in values]), at.cast("int"))
         pairs.append(F.struct(F.lit(name).alias("k"), value.alias("v")))
