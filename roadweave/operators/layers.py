@@ -189,3 +189,26 @@ def one_per_place(answers: DataFrame, query: str, place: list[str], box: tuple[f
     w = Window.partitionBy(query, *place).orderBy(F.desc("score"), "id")
     best = inside.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "id")))
+
+
+def held_lengths(rows: DataFrame, by: list[str], length: str, **holds: Column) -> DataFrame:
+    """Of each group the whole length, and the length for which each named condition holds (null doesn't)."""
+    n = F.coalesce(F.col(length), F.lit(0))
+    sums = [F.sum(F.when(condition, n).otherwise(0)).alias(name) for name, condition in holds.items()]
+    return rows.groupBy(*by).agg(F.sum(n).alias("total"), *sums)
+
+
+def level_share(rows: DataFrame, expected: DataFrame, by: str, share: float, least: float) -> DataFrame:
+    """rows(by, level, length), expected(by, want, at_least) -> of each expected group its length, the length at the
+    wanted level (or above, where at_least), and whether it reads: unread below `least` of length, else ok or off."""
+    met = F.when(F.col("at_least"), F.col("level") >= F.col("want")).otherwise(F.col("level") == F.col("want"))
+    # levels are few: what is joined is a row for each group and level
+    few = rows.groupBy(by, "level").agg(F.sum("length").alias("length"))
+    found = held_lengths(expected.join(few, by, "left"), [by, "want", "at_least"], "length", held=met)
+    state = F.when(F.col("total") < least, "unread").when(F.col("held") >= share * F.col("total"), "ok").otherwise("off")
+    return found.withColumn("state", state)
+
+
+def counted_lengths(rows: DataFrame, by: list[str], length: str) -> DataFrame:
+    """Rows and their length by class."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(length).alias("length"))
