@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from roadweave.llm import binary, decontamination, mixing, pages, quality, secrets, simhash, substrings, tokens, winnowing
+from roadweave.llm import audit, binary, decontamination, language, mixing, pages, periods, quality, secrets, simhash, substrings, tokens, winnowing
 from roadweave.session import table
 
 QUERIES = {}
@@ -115,3 +117,66 @@ def op3_main_text(spark, sf_dir):
 def op8_substrings(spark, sf_dir):
     kept = substrings.deduplicate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs.where(~aside)))
+    return found.select("doc_id", F.coalesce(aside, F.lit(False)).alias("held_out"), "lang_pred", "score", "distant")
+
+
+ORACLE_SQL["op12_filter_orders"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY 1),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+masked AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(worded.doc_id > first, false)::INT AS mask
+    FROM worded JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+groups AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, bit)),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (SELECT filter_order, s.step, bits[s.step] AS bit, coalesce(list_sum(bits[1:s.step - 1]), 0)::INT AS before FROM orders, range(1, 6) s(step)),
+told AS (
+    SELECT part, filter_order, step, bit,
+        sum(n) FILTER ((mask & (before | bit)) = 0) AS kept, sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS removed,
+        sum(n) FILTER ((mask & before) > 0 AND (mask & bit) > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+        sum(good) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS good_lost, sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS toxic_lost
+    FROM groups, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+    coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM told
+"""
+
+
+@query
+def op12_filter_orders(spark, sf_dir):
+    return audit.orders_of_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_echo(doc_id, words):
+    """Of every tenth document by checksum the words from some place on repeat with a period."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periods.find(table(spark, sf_dir, "documents"), with_echo)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return told.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
