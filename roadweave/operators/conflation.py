@@ -8,7 +8,7 @@ the outcome equals one greedy pass over everything.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.graph import components
@@ -17,7 +17,9 @@ from roadweave.session import cut
 
 # Metres, share of the way, degrees.
 SEPARATION, OVERLAP, BEARING = 20.0, 0.5, 25.0
+REUSE = 0.25  # of its own stretch a way may share with one before it
 FINISH = 20_000  # rows of claims that one pass decides
+CELLS = 1_000  # a stretch lies in so many cells at most
 
 
 def candidates(way_points: DataFrame, feature_points: DataFrame, separation: float = SEPARATION, overlap: float = OVERLAP, bearing: float = BEARING) -> DataFrame:
@@ -79,6 +81,65 @@ def claim(found: DataFrame, finish: int = FINISH) -> DataFrame:
     return rest if held is None else rest.unionByName(held.select(*[f"rank.{c}" for c in columns]))
 
 
+def greedy_spans(rows: pd.DataFrame, reuse: float) -> pd.DataFrame:
+    """Rows in the order of `place`: one for each owner, and none of which a stretch lies over one before it by more than
+    `reuse` of its own length."""
+    taken: dict = {}
+    done: set = set()
+    kept = []
+    for i, owner, spans in zip(rows.index, rows["owner"], rows["spans"]):
+        fits = all(min(s["hi"], b) - max(s["lo"], a) <= max(0.0, reuse * (s["hi"] - s["lo"])) for s in spans for a, b in taken.get(s["feature"], ()))
+        if owner not in done and fits:
+            done.add(owner)
+            kept.append(i)
+            for s in spans:
+                taken.setdefault(s["feature"], []).append((s["lo"], s["hi"]))
+    return rows.loc[kept]
+
+
+def exclusive(found: DataFrame, reuse: float = REUSE, held: DataFrame | None = None, finish: int = FINISH) -> DataFrame:
+    """found(owner, rank, spans array of (feature, lo, hi), any others) -> the rows that hold after greedy claims by rank
+    (any orderable value, no two rows alike): an owner takes one row, a row takes all its stretches or is refused, and it
+    is refused where a stretch lies over one taken before by more than `reuse` of its own length. held(owner, spans):
+    what is taken already. Rows without stretches are refused.
+
+    In rounds, as `claim`: rows of least rank for their owner and in every cell that they touch hold, then the owners
+    taken and the rows refused for them leave. When `finish` rows or fewer are left, one pass decides them.
+    """
+    size = found.select(F.explode("spans").alias("s")).agg(F.avg(F.col("s.hi") - F.col("s.lo")), F.max(F.col("s.hi") - F.col("s.lo"))).first()
+    width = max(size[0] or 0.0, (size[1] or 0.0) / CELLS) or 1.0
+    cells = lambda lo, hi: F.sequence(F.floor(lo / width), F.floor(hi / width))
+    touched = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.transform(cells(s["lo"], s["hi"]), lambda c: F.struct(s["feature"].alias("feature"), c.alias("cell"))))))
+
+    def by_cell(df):
+        return df.select("rank" if "rank" in df.columns else F.lit(0), F.explode("spans").alias("s")).select("*", F.explode(cells(F.col("s.lo"), F.col("s.hi"))).alias("cell"))
+
+    def left_by(live, taken):
+        """live without the owners of taken, and without the rows that its stretches refuse."""
+        over = by_cell(taken.select("spans")).select(F.col("s.feature").alias("feature"), "cell", F.col("s.lo").alias("a"), F.col("s.hi").alias("b"))
+        shared = F.least("s.hi", "b") - F.greatest("s.lo", "a")
+        met = by_cell(live).withColumn("feature", F.col("s.feature")).join(over, ["feature", "cell"])
+        refused = met.where((shared > 0) & (shared > reuse * (F.col("s.hi") - F.col("s.lo")))).select("rank").distinct()
+        return cut(live.join(taken.select("owner"), "owner", "left_anti").join(refused, "rank", "left_anti"))
+
+    live = cut(found.where(F.size("spans") > 0).withColumn("__cells", touched))
+    if held is not None:
+        live = left_by(live, held)
+    kept = None
+    while (left := live.count()) > finish:
+        least = live.select("rank", F.size("__cells").alias("n"), F.explode("__cells").alias("c")).groupBy("c").agg(F.min(F.struct("rank", "n")).alias("m"))
+        first = least.groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") == F.col("m.n")).select("m.rank")
+        taken = cut(live.join(live.groupBy("owner").agg(F.min("rank").alias("rank")).select("rank").join(first, "rank"), "rank", "left_semi"))
+        kept = taken if kept is None else kept.unionByName(taken)
+        live = left_by(live, taken)
+    if left:
+        # at most `finish` rows, in one order
+        placed = live.withColumn("place", F.row_number().over(Window.orderBy("rank"))).withColumn("__all", F.lit(0)).select("__all", "place", "owner", "spans")
+        hold = placed.groupBy("__all").applyInPandas(lambda pdf: greedy_spans(pdf.sort_values("place"), reuse)[["place"]], "place int")
+        live = live.withColumn("place", F.row_number().over(Window.orderBy("rank"))).join(hold, "place", "left_semi").drop("place")
+    return (live if kept is None else live.unionByName(kept)).drop("__cells")
+
+
 def worst_rating(shares: DataFrame, least_m: float = 160.0) -> DataFrame:
     """shares(way, agency, record, share, length, level, ban) -> one record for each way and agency: a ban of the most
     covering record stands; else the highest level among records over `least_m` or half of the way (and the most
