@@ -1,8 +1,8 @@
 """Polygons as edges in cells: which areas hold a point, what share of a line they hold, and where a route crosses them.
 
 An area is the edges of all its rings, holes among them, in any order: a point is inside if a ray from it meets an odd number.
-Cells of a grid hold, for each area, whether their centre is inside and the edges that come near. A point is then tested by
-the edges between it and the centre of its own cell alone, and a cell without edges needs no test. Points are planar.
+Cells of a grid hold, for each area, whether a mark near their middle is inside and the edges that come near. A point is then
+tested by the edges between it and the mark of its own cell alone, and a cell without edges needs no test. Points are planar.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from roadweave.operators.matching import in_cells
 
 # Metres between samples of a route, reach of an area's edge, shortest shared stretch, shortest crossing.
 STEP, REACH, SHARED_RUN, LEAST_CROSSING = 25.0, 2.0, 50.0, 160.9344
+#: Where a cell's mark is, on both sides: irrational, so that it isn't level with corners and edges at round places.
+MARK = 2**0.5 - 1
 EDGE = ("ax", "ay", "bx", "by")
 
 
@@ -26,26 +28,26 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 
 
 def area_cells(edges: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
-    """edges(area, ax, ay, bx, by) -> (area, cell, inside, edges): cells of side `size` whose centre the area holds, or
-    that an edge comes within `reach` of, with those edges. Inner cells come from lines through the centres of a row
+    """edges(area, ax, ay, bx, by) -> (area, cell, inside, edges): cells of side `size` whose mark the area holds, or
+    that an edge comes within `reach` of, with those edges. Inner cells come from lines through the marks of a row
     of cells: between one crossing and the next, in order, lie the cells inside."""
     border = in_cells(edges, reach, size).groupBy("area", "cell").agg(F.collect_list(F.struct(*EDGE)).alias("edges"))
-    rows = F.sequence(F.ceil(F.least("ay", "by") / size - 0.5), F.ceil(F.greatest("ay", "by") / size - 0.5) - 1)
-    crossed = edges.where(F.ceil(F.least("ay", "by") / size - 0.5) < F.ceil(F.greatest("ay", "by") / size - 0.5)).withColumn("row", F.explode(rows))
-    y = (F.col("row") + 0.5) * size
+    rows = F.sequence(F.ceil(F.least("ay", "by") / size - MARK), F.ceil(F.greatest("ay", "by") / size - MARK) - 1)
+    crossed = edges.where(F.ceil(F.least("ay", "by") / size - MARK) < F.ceil(F.greatest("ay", "by") / size - MARK)).withColumn("row", F.explode(rows))
+    y = (F.col("row") + MARK) * size
     crossed = crossed.select("area", "row", (F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))).alias("x"))
     order = Window.partitionBy("area", "row").orderBy("x")
     spans = crossed.withColumn("k", F.row_number().over(order)).withColumn("x2", F.lead("x").over(order)).where("k % 2 = 1 AND x2 IS NOT NULL")
-    spans = spans.select("area", "row", (F.floor(F.col("x") / size - 0.5) + 1).alias("i"), F.floor(F.col("x2") / size - 0.5).alias("j")).where("i <= j")
+    spans = spans.select("area", "row", (F.floor(F.col("x") / size - MARK) + 1).alias("i"), F.floor(F.col("x2") / size - MARK).alias("j")).where("i <= j")
     inner = spans.select("area", "row", F.explode(F.sequence("i", "j")).alias("cx")).select("area", F.struct("cx", F.col("row").alias("cy")).alias("cell"), F.lit(True).alias("inside"))
     both = border.join(inner, ["area", "cell"], "full")
     return both.select("area", "cell", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("edges", F.array().cast("array<struct<ax: double, ay: double, bx: double, by: double>>")).alias("edges"))
 
 
 def holds(x: Column, y: Column, cell: Column, inside: Column, edges: Column, size: float) -> Column:
-    """Whether an area holds a point of the cell: as the cell's centre, changed by each edge between, along the row
+    """Whether an area holds a point of the cell: as the cell's mark, changed by each edge between, along the row
     first and then along the column; points on an edge are held."""
-    cx, cy = (cell["cx"] + 0.5) * size, (cell["cy"] + 0.5) * size
+    cx, cy = (cell["cx"] + MARK) * size, (cell["cy"] + MARK) * size
 
     def met(e):
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
