@@ -8,10 +8,12 @@ all of the item's weight; from 0.8 the document leaks the item.
 
 Where windows stand: a text that holds 0.8 of an item's m shingles holds at least
 one of any floor(0.2 m) + 1 of them. The item's anchors are those that the
-fewest items have. A window is formed where an anchor of an item of that size
-stands, so that the anchor has the same place in both. Texts without any anchor
-can't reach the threshold. (Words put in or left out before the anchor move the
-window by as many words.)
+fewest items have; texts without any anchor can't reach the threshold. Around
+an anchor, a window is formed where the anchor has the same place in both, and
+wherever the item's shingles stand close enough: a window that reaches the
+threshold can be moved on to the next shingle of the item without losing one, and
+from there as many of the item's shingles as the threshold asks for lie within
+its length. So words put in, left out or changed anywhere move no window out of sight.
 
 Which items a window is compared with: the SimHash of its shingles is looked up
 in a multi-index of the items' fingerprints, BLOCKS blocks of 64 / BLOCKS bits
@@ -101,12 +103,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     starts = cut(hits.select("doc", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n_words", "item").distinct())
     parts = starts.select("doc", (F.col("start") / PART).cast("int").alias("part"), "start", "n_words").distinct()
     by_doc = cut(parts.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")))
-    # the shingles of each window, from its document again
+    # the shingles around each anchor, from its document again: all of every window that has the anchor inside
     again = with_shingles(texts.join(small(by_doc), "doc").dropDuplicates(["doc", "part"]), "text", width)
-    windows = again.withColumn("window", F.explode("windows")).select("doc", "window.start", F.col("window.n_words").alias("n_words"), "s").where(F.col("start") < F.size("s"))
     size = F.greatest(F.col("n_words") - width + 1, F.lit(1))
+    around = again.withColumn("window", F.explode("windows")).select("doc", "window.start", F.col("window.n_words").alias("n_words"), "s", F.size("s").alias("all")).where(F.col("start") < F.col("all"))
+    around = around.withColumn("low", F.greatest(F.col("start") - size + 1, F.lit(0)))
+    around = around.select("doc", "n_words", "all", "low", F.posexplode(F.slice("s", F.col("low") + 1, F.col("start") + 2 * size - F.col("low"))).alias("p", "h"))
+    around = cut(around.select("doc", "n_words", "all", (F.col("low") + F.col("p")).alias("p"), "h").distinct())
+    # from one of the item's shingles as many as it takes, within its length
+    of_item = ["doc", "item", "n_words"]
+    own = around.join(starts.select(*of_item).distinct(), ["doc", "n_words"]).join(small(weights.select("item", "n_words", "h")), ["item", "n_words", "h"])
+    own = cut(own.withColumn("k", F.row_number().over(Window.partitionBy(*of_item).orderBy("p"))))
+    takes = prints.select("item", "n_words", F.greatest(F.ceil(F.col("whole") * similarity - 1e-9), F.lit(1)).alias("takes"))
+    first = own.join(small(takes), ["item", "n_words"]).select(*of_item, "all", "p", (F.col("k") + F.col("takes") - 1).alias("k"))
+    close = first.join(own.select(*of_item, "k", F.col("p").alias("end")), [*of_item, "k"]).where(F.col("end") - F.col("p") < size)
+    starts = cut(starts.unionByName(close.select("doc", F.least(F.col("p"), F.greatest(F.col("all") - size, F.lit(0))).alias("start"), "n_words", "item")).distinct())
     window = ["doc", "start", "n_words"]
-    inside = windows.select(*window, F.explode_outer(F.slice("s", F.col("start") + 1, size)).alias("h")).where("h is not null")
+    # a window meets the shingles of its own block of positions and of the next
+    block = lambda c: F.floor(F.col(c) / size)
+    windows = starts.select(*window).distinct().withColumn("block", F.explode(F.array(block("start"), block("start") + 1)))
+    inside = windows.join(around.withColumn("block", block("p")).drop("all"), ["doc", "n_words", "block"]).where((F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + size))
     inside = cut(inside.groupBy(*window, "h").agg(F.count("*").cast("int").alias("n")))
     found = cut(simhashes(inside, window).select(*window, "fp"))
 

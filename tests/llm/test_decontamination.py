@@ -106,6 +106,35 @@ def test_recall_between_the_threshold_and_085(spark):
     assert len(want) > 150 and got == want
 
 
+def test_insertions_and_deletions(spark):
+    """Words put in near the start and in the middle, or put in and left out at random: all that brute force finds."""
+    rng = random.Random(23)
+    new = lambda: f"new{rng.randrange(10**6)}"
+    items = [(i, [f"v{i}x{rng.randrange(10**6)}" for _ in range(60)]) for i in range(60)]
+    docs = []
+    for i, w in items:
+        at = rng.choice([3, 4, 5])
+        docs.append((i, " ".join([new() for _ in range(rng.randrange(40))] + w[:at] + [new()] + w[at:30] + [new()] + w[30:] + [new() for _ in range(rng.randrange(40))])))
+    for i, w in items:
+        u = list(w)
+        for _ in range(rng.choice([1, 2])):
+            k = rng.randrange(len(u))
+            u[k : k + (rng.random() < 0.5)] = [] if rng.random() < 0.5 else [new()]
+        docs.append((100 + i, " ".join([new()] * rng.randrange(3) + u)))
+    texts = [(i, " ".join(w)) for i, w in items]
+    want = {}
+    for d, t in docs:
+        want |= brute([(d, t)], [texts[d % 100]])
+    got = found(spark, docs, texts)
+    assert sum(d < 100 for d, _ in want) == 60 and sum(d >= 100 for d, _ in want) > 50
+    assert got == want
+    starts = {(r.doc_id, r.item_id): (r.start, r.n_words) for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")).collect()}
+    of = dict(docs)
+    for (d, i), (start, n) in starts.items():
+        have, item = shingles(words(of[d])[start : start + n]), shingles(items[i][1])
+        assert sum((have & item).values()) / sum(item.values()) == want[d, i]
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(4)
     rows = []
