@@ -9,9 +9,16 @@ minimum cut is found by augmenting paths; blocks on the source's side are conten
 
 The classifier is a logistic regression fitted to the corpus: in a bounded sample
 of pages the semantic elements (article and main, against nav, aside, footer,
-header, form and the like) label blocks, and the weights of everything else
-(length, sentences, links, tags) are learned from blocks with these elements
-hidden, near starting values that stand where the sample says nothing.
+header, form and the like) label blocks, and the weights of length, sentences and
+links are learned from blocks with these elements hidden, near starting values
+that stand where the sample says nothing. Weights of tags hardly move: which
+of them an article is written with says more of the corpus than of its pages.
+
+Where articles (or main) hold half of the page's words or more, what stands outside
+them isn't content, whatever it is called, but for a main heading that they lack;
+an article in an article is a comment on it. Elements that end by themselves in
+HTML end here too: a head at the first thing that can't stand in it, and one that
+hides its content but is never closed hides nothing.
 
 Names (class, id, role) count word by word: "sidebar", "site-footer" or
 "comments-area" speak against a part, "no-sidebar", "comments-open" or
@@ -22,7 +29,7 @@ element with the page's main heading or <main> and half of its words is ignored.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,32 +44,49 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template iframe svg canvas audio video head title button select textarea option datalist".split())
 # Silent elements that hold no blocks: one that is left open ends where a block begins.
 PHRASING = frozenset("button select option datalist svg canvas textarea".split())
+WHOLE = ("article", "main")
+# What may stand in a head; and silent elements that hide nothing where they are never closed.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+CLOSED = ("noscript", "iframe", "video", "audio", "template", "head")
 CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ALIKE = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 
 # Words of class, id and role names, by what they speak for.
-AGAINST = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus disclaimer foot footer gdpr header login masthead menu modal nav navbar navigation notice notices notification newsletter pager pagination popup promo promotion related replies reply respond recommended recommendations share sharing side sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar tooltip topbar widget widgets contentinfo complementary".split())
+AGAINST = frozenset("ad ads alert alerts advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright discussion discussions disqus disclaimer foot footer gdpr header login masthead menu modal nav navbar navigation notice notices notification newsletter pager pagination popup promo promotion related replies reply respond recommended recommendations share sharing side sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar tooltip topbar widget widgets contentinfo complementary".split())
 TOWARD = frozenset("article body content entry main post story text".split())
 # Words beside these that leave their meaning as it is, and ones before them that turn it into a property.
 FORM = frozenset("area articles bar block blocks bottom box button buttons col column container div global group holder icon icons inner item items left level link links list main menu outer page panel posts primary right row secondary section site slot stories text top unit wrap wrapper".split())
+# Words that name topics as well: in an article they say nothing of a part with this many words that aren't links.
+TOPICS, PROSE = frozenset("alert alerts banner discussion discussions header login notice notices promo promotion share sharing side social sponsor toolbar top widget widgets".split()), 25
 PROPERTY = frozenset("has hide is no not show single toggle with without".split())
 TITLES = frozenset("header head heading".split())
 
 # The classifier's features with their starting weights; positive speaks for content.
-START = {"bias": -0.4, "words": 3.0, "sentence": 0.6, "links": -5.0, "p": 1.5, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.4, "blockquote": 1.0, "pre": 1.0, "li": 0.0, "td": 0.0, "div": 0.0}
+START = {"bias": -0.4, "words": 3.0, "sentence": 0.6, "links": -5.0, "p": 1.5, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.4, "blockquote": 1.0, "pre": 1.0, "li": 0.5, "td": 0.5, "th": 0.5, "dd": 0.5, "dt": 0.5, "figcaption": 0.3, "div": 0.0}
 PLACE = {k: i for i, k in enumerate(START)}
 # Weights of the elements and names that blocks stand in.
 INSIDE = {"article": 4.0, "main": 3.0, "nav": -9.0, "aside": -8.0, "footer": -8.0, "form": -8.0, "dialog": -8.0, "menu": -8.0, "search": -8.0, "fieldset": -6.0, "header": -6.0}
-NAMED_AGAINST, NAMED_TOWARD, HIDDEN, HIGHEST = -8.0, 1.5, -20.0, 6.0
+NAMED_AGAINST, NAMED_TOWARD, HIDDEN, HIGHEST, OUTSIDE, NESTED = -8.0, 1.5, -20.0, 6.0, -5.0, -6.0
 NEXT, SIBLING = 1.0, 0.6
-SAMPLE, NEAR = 500, 0.25  # pages that the weights are fitted on; variance of a weight around its start
+LINKS_INSIDE = 0.65  # links count so much less in an article or main
+SAMPLE = 500  # pages that the weights are fitted on
+NEAR = np.array([{"links": 0.25, "words": 0.02, "sentence": 0.005}.get(k, 0.001) for k in START])  # variance of a weight around its start
+
+
+def parts(word: str) -> list[str]:
+    """A word that is a name and a form written together ("commentlist") as the two."""
+    if word not in AGAINST:
+        for k in range(3, len(word) - 2):
+            if word[:k] in AGAINST and word[k:] in FORM:
+                return [word[:k], word[k:]]
+    return [word]
 
 
 def speaks(names: str) -> int:
     """-1 if a word among the names speaks against content, 1 if one speaks for it, else 0."""
     found = 0
     for name in names.split():
-        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)]
+        words = [part for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name) for part in parts(w.lower())]
         if not words or words[0] in PROPERTY:
             continue
         if words[0] in TOWARD and words[-1] in TITLES:  # an article's own heading
@@ -77,7 +101,7 @@ def speaks(names: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "silent", "depth", "block", "in_article", "own", "hidden", "lean", "words", "chief")
+    __slots__ = ("tag", "parent", "silent", "depth", "block", "in_article", "own", "hidden", "lean", "words", "chief", "topic", "within", "holds", "bad")
 
     def __init__(self, tag: str, parent: Node | None, attributes):
         self.tag, self.parent = tag, parent
@@ -85,13 +109,18 @@ class Node:
         self.silent = tag in SILENT or bool(parent and parent.silent)
         self.block = self if tag in BLOCKS or parent is None else parent.block
         self.in_article = bool(parent and (parent.in_article or parent.tag == "article"))
-        self.words, self.chief, self.lean = 0, tag in ("main", "h1"), 0.0
+        self.words, self.chief, self.lean, self.topic = 0, tag in ("main", "h1"), 0.0, False
+        self.within = bool(parent and (parent.within or parent.tag in WHOLE))
+        self.holds = False
         values = dict(attributes)
         own = 0.0 if tag == "header" and self.in_article else INSIDE.get(tag, 0.0)
         if tag not in ("body", "html", "article", "main"):
-            said = speaks(" ".join(values.get(k) or "" for k in ("class", "id", "role", "itemtype")))
+            called = " ".join(values.get(k) or "" for k in ("class", "id", "role", "itemtype"))
+            said = speaks(called)
             own += NAMED_AGAINST if said < 0 else NAMED_TOWARD if said > 0 else 0.0
+            self.topic = said < 0 and self.in_article and tag not in INSIDE and speaks(" ".join(c for c in called.split() if c.lower() not in TOPICS)) >= 0
         self.own = own
+        self.bad = own < -3 or bool(parent and parent.bad)
         self.hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "")
 
 
@@ -105,8 +134,9 @@ class Block:
 class Blocks(HTMLParser):
     """Collects the blocks of a page, leniently: unclosed and stray tags are put right as browsers do, roughly."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.ends = Counter(m.lower() for m in re.findall(rf"</({'|'.join(CLOSED)})(?=[\s/>])", html, re.I))  # end tags still to come
         self.at = Node("html", None, ())
         self.nodes = [self.at]  # parents before children
         self.open: dict[str, list[Node]] = {}
@@ -140,7 +170,15 @@ class Blocks(HTMLParser):
             if last is node:
                 break
 
+    def end_head(self) -> None:
+        if head := self.open_above("head"):
+            self.leave(head)
+
     def handle_starttag(self, tag, attrs):
+        if tag in CLOSED and tag != "head" and not self.ends[tag]:
+            return
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCKS:
             self.end_block()
             if self.at.silent:
@@ -165,12 +203,16 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in CLOSED:
+            self.ends[tag] -= 1
         if tag in BLOCKS:
             self.end_block()
         if node := self.open_above(tag):
             self.leave(node)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and not data.isspace():
+            self.end_head()
         if self.at.silent or not data:
             return
         if self.owner is None and not data.isspace():
@@ -191,8 +233,17 @@ def weigh(nodes: list[Node], found: list[Block]) -> None:
         if node.parent:
             node.parent.words += node.words
             node.parent.chief |= node.chief
+            node.parent.holds |= node.holds or node.tag in WHOLE
+    articles = 2 * sum(n.words for n in nodes if n.tag in WHOLE and not n.within and not n.bad) >= max(whole, 1)
+    headed = any(n.tag == "h1" and n.within and not n.bad for n in nodes)
     for node in nodes:
         own = node.own
+        if node.topic and node.words >= PROSE:
+            own = 0.0
+        if node.tag == "article" and node.in_article and 2 * node.words < whole:
+            own = NESTED
+        if articles and node.block is node and not (node.holds or node.within or node.tag in WHOLE) and (headed or node.tag != "h1"):
+            own = min(own, OUTSIDE)
         if own < 0 and node.chief and node.tag not in ("main", "h1") and 2 * node.words >= whole:
             own = 0.0
         if node.hidden:
@@ -208,7 +259,7 @@ def features(block: Block) -> np.ndarray:
     x[0] = 1
     x[PLACE["words"]] = min(block.text.count(" ") + 1, 25) / 25
     x[PLACE["sentence"]] = block.text[-1] in ".!?…:;"
-    x[PLACE["links"]] = min(1.0, block.linked / block.chars)
+    x[PLACE["links"]] = min(1.0, block.linked / block.chars) * (LINKS_INSIDE if block.node.lean >= INSIDE["main"] else 1.0)
     if block.node.tag in PLACE:
         x[PLACE[block.node.tag]] = 1
     return x
@@ -274,7 +325,7 @@ def cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks, their nodes weighed."""
-    parser = Blocks()
+    parser = Blocks(html)
     parser.feed(html)
     parser.close()
     weigh(parser.nodes, parser.found)
