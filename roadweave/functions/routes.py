@@ -35,23 +35,32 @@ def grades(samples: DataFrame, route: str, along: str, height: str, span: int =
     return samples.withColumn("__gap", gap).withColumn("grade", F.when(F.col(height).isNotNull() & (run > 0), rise / run)).drop("__gap")
 
 
+def highs(e: np.ndarray, at: np.ndarray, dip: float, flat: float) -> int:
+    """The place of the high that a rise from the first sample reaches before it ends: at the first sample more than dip
+    below the highest so far, or more than flat past it. Looks ahead in windows that double."""
+    reach = 64
+    while True:
+        part = e[:reach]
+        high = np.maximum.accumulate(part)
+        met = np.maximum.accumulate(np.where(np.append(True, part[1:] > high[:-1]), np.arange(len(part)), 0))
+        over = np.flatnonzero((high - part > dip) | (at[:reach] - at[met] > flat))
+        if len(over):
+            return int(met[over[0]])
+        if reach >= len(e):
+            return int(met[-1])
+        reach *= 2
+
+
 def sustained(at: np.ndarray, height: np.ndarray, sign: float) -> list[tuple[float, float, float]]:
     """(start, end, rise) of the sustained rises of sign * height: from a low to the highest point before the profile
-    dips by more than DIP_M or stays below it for more than FLAT_M."""
-    e, out, low = sign * height, [], 0
-    while low < len(e) - 1:
-        top = low
-        for j in range(low + 1, len(e)):
-            if e[j] > e[top]:
-                top = j
-            elif top == low:
-                low = top = j
-            elif e[top] - e[j] > DIP_M or at[j] - at[top] > FLAT_M:
-                break
+    dips by more than DIP_M or stays below it for more than FLAT_M; the next is looked for from there on."""
+    e = sign * height
+    rising, out, low = np.flatnonzero(np.diff(e) > 0), [], 0
+    while len(after := rising[np.searchsorted(rising, low) :]):
+        low = int(after[0])  # where a step goes up again
+        top = low + highs(e[low:], at[low:], DIP_M, FLAT_M)
         if e[top] - e[low] >= MIN_RISE_M:
             out.append((at[low], at[top], sign * (e[top] - e[low])))
-        if top == low:
-            break
         low = top
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from roadweave.functions.rules import first_match
+from roadweave.functions.rules import first_match, lanes
 
 METRES_PER_FOOT = 0.3048
 # Access words and way classes.
@@ -146,14 +146,21 @@ def whole(value: Column) -> Column:
     return F.when(value.rlike(r"^\s*\d{1,9}\s*$"), F.trim(value)).cast("int")
 
 
+def less_bays(turns: Column, count: Column) -> Column:
+    """A count of lanes without those that only turn, where the turns of exactly so many are listed; one at least."""
+    listed = F.split(turns, r"\|")
+    through = F.size(F.filter(listed, lambda lane: (F.trim(lane) == "") | F.arrays_overlap(parts(lane), F.array(F.lit("through"), F.lit("none")))))
+    return F.when(holds(F.size(listed) == count) & (turns != ""), F.greatest(through, F.lit(1))).otherwise(count)
+
+
 def lanes_per_direction(tags: Column) -> Column:
-    """Through lanes of the busier direction; a direction that isn't tagged is the rest of the total."""
-    total, shared, oneway = whole(tag(tags, "lanes")), whole(tag(tags, "lanes:both_ways")), is_oneway(tags)
-    bays = lambda key: F.coalesce(F.size(F.filter(F.split(tag(tags, f"turn:{key}"), r"\|"), lambda lane: lane.rlike("left|right") & ~lane.rlike("through"))), F.lit(0))
-    ahead, back = (whole(tag(tags, k)) for k in ("lanes:forward", "lanes:backward"))
+    """Through lanes of the busier direction; a direction that isn't tagged is the rest of the total. Of a list of
+    counts the largest holds."""
+    number = lambda key: lanes(tag(tags, key))
+    total, shared, oneway, ahead, back = number("lanes"), number("lanes:both_ways"), is_oneway(tags), number("lanes:forward"), number("lanes:backward")
     one = F.coalesce(ahead, back)
     rest = F.when((ahead.isNull() | back.isNull()) & total.isNotNull() & ~oneway, total - F.coalesce(shared, F.lit(0)) - one)
-    through = F.greatest(ahead - bays("lanes:forward"), back - bays("lanes:backward"), rest)
+    through = F.greatest(less_bays(tag(tags, "turn:lanes:forward"), ahead), less_bays(tag(tags, "turn:lanes:backward"), back), rest)
     alone = F.when(oneway, total).otherwise(F.floor(total / 2).cast("int"))
     return F.when(one.isNotNull(), F.greatest(through, F.lit(1))).when(total.isNotNull(), F.greatest(alone, F.lit(1)))
 
@@ -182,17 +189,20 @@ def has_shoulder(tags: Column) -> Column:
     return F.when(left.isNotNull() | right.isNotNull(), both)
 
 
-# Surfaces that are hard.
-PAVED = ("paved", "asphalt", "concrete", "paving_stones", "chipseal", "wood", "boardwalk", "cobblestone", "unhewn_cobblestone", "metal", "metal_grid", "brick", "bricks", "sett", "tartan", "rubber")
-PAVED_PREFIXES = ("asphalt", "concrete", "paved", "paving_stones")
+# Surfaces that are hard, and beginnings of more specific ones.
+SEALED = ("asphalt", "concrete", "paved", "paving_stones", "chipseal")
+SEALED_PREFIXES = ("concrete:", "paving_stones:", "asphalt:")
+WOODEN = ("wood", "boardwalk")
+ROUGH_PAVED = ("cobblestone", "unhewn_cobblestone")
+HARD = ("metal", "metal_grid", "brick", "bricks", "sett", "tartan", "rubber")
 
 
 def is_paved(surface: Column) -> Column:
-    """Null where the surface isn't given."""
-    known = surface.isin(*PAVED)
-    for p in PAVED_PREFIXES:
+    """Whether a surface is hard; false where none is given."""
+    known = surface.isin(*SEALED, *WOODEN, *ROUGH_PAVED, *HARD)
+    for p in SEALED_PREFIXES:
         known = known | surface.startswith(p)
-    return known
+    return holds(known)
 
 
 def count_band(text: Column) -> Column:
@@ -213,18 +223,38 @@ def words_expanded(text: Column, short: dict[str, str]) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(table[bare(w)], w)), " ")
 
 
-# Words of street names written short, and quadrants.
+# Words of street names written short.
 STREET_WORDS = {"st": "street", "ave": "avenue", "av": "avenue", "rd": "road", "dr": "drive", "ln": "lane", "pl": "place", "ct": "court", "blvd": "boulevard", "pkwy": "parkway", "hwy": "highway", "ter": "terrace", "cir": "circle", "sq": "square"}
-QUADRANT_WORDS = {"northwest": "nw", "northeast": "ne", "southwest": "sw", "southeast": "se", "nw": "nw", "ne": "ne", "sw": "sw", "se": "se"}
+
+
+# Words that street keys write out.
+KEY_WORDS = {
+    "st": "street", "str": "street", "ave": "avenue", "av": "avenue", "rd": "road", "dr": "drive", "blvd": "boulevard", "pl": "place", "ct": "court", "ter": "terrace",
+    "terr": "terrace", "pkwy": "parkway", "pky": "parkway", "hwy": "highway", "sq": "square", "cir": "circle", "ln": "lane", "br": "bridge", "brg": "bridge", "expy": "expressway",
+    "fwy": "freeway", "mem": "memorial", "nw": "northwest", "ne": "northeast", "sw": "southwest", "se": "southeast", "n": "north", "s": "south", "e": "east", "w": "west",
+}
+KEY_QUADRANTS = ("northwest", "northeast", "southwest", "southeast")
+
+
+def street_key(name: Column) -> Column:
+    """The words of a street's name (letters and digits, "&" as "and"), written out: "Constitution Ave., NW" gives that of
+    "Constitution Avenue Northwest". A letter before "st" or "street" stays a letter; "st" at the front is a saint."""
+    table = F.create_map(*[F.lit(x) for pair in KEY_WORDS.items() for x in pair])
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(name), "&", " and "), F.lit("([a-z0-9]+)"), 1)
+
+    def written(word, i):
+        after = F.get(words, i + 1)
+        letter = word.isin("n", "s", "e", "w") & holds(after.isin("st", "street"))
+        return F.when((word == "st") & (i == 0) & after.isNotNull(), "saint").when(letter, word).otherwise(F.coalesce(table[word], word))
+
+    return F.transform(words, written)
 
 
 def names_match(a: Column, b: Column) -> Column:
     """Whether two street names are the same street: equal once written out, or equal but for a quadrant that one leaves out."""
-    quads = F.array(*map(F.lit, QUADRANT_WORDS))
-    table = F.create_map(*[F.lit(x) for pair in QUADRANT_WORDS.items() for x in pair])
-    words = lambda n: F.split(words_expanded(n, STREET_WORDS), " ")
-    plain = lambda n: F.filter(words(n), lambda w: ~F.array_contains(quads, w))
-    quarter = lambda n: F.array_sort(F.transform(F.array_intersect(words(n), quads), lambda w: table[w]))
+    quads = F.array(*map(F.lit, KEY_QUADRANTS))
+    plain = lambda n: F.filter(street_key(n), lambda w: ~F.array_contains(quads, w))
+    quarter = lambda n: F.array_sort(F.array_intersect(street_key(n), quads))
     return (plain(a) == plain(b)) & ((F.size(quarter(a)) == 0) | (F.size(quarter(b)) == 0) | (quarter(a) == quarter(b)))
 
 

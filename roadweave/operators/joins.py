@@ -72,23 +72,31 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, on: list[str], l_sp
 
     An interval has a level: 0 up to `width`, one more for each doubling. At its own level and above it lies in two
     buckets at most, of width * 2^level, so a long interval isn't cut into many. A pair meets at the higher of
-    its levels, and is given once, in the bucket where its overlap begins.
+    its levels, and is given once, in the bucket where its overlap begins. There the longer one stands alone against
+    the other side's rows raised to it, so short intervals never meet one another in the buckets of a long one.
     """
     (la, lb), (ra, rb) = l_span, r_span
-    levels = lambda a, b: F.greatest(F.ceil(F.log2((F.col(b) - F.col(a)) / width)), F.lit(0)).cast("int")
-    left = left.where(F.col(la) < F.col(lb)).withColumn("__l", levels(la, lb))
-    right = right.where(F.col(ra) < F.col(rb)).withColumn("__r", levels(ra, rb))
-    top = max(left.agg(F.max("__l")).first()[0] or 0, right.agg(F.max("__r")).first()[0] or 0)
+    level = lambda a, b: F.greatest(F.ceil(F.log2((F.col(b) - F.col(a)) / width)), F.lit(0)).cast("int")
+    left = left.where(F.col(la) < F.col(lb)).withColumn("__own", level(la, lb))
+    right = right.where(F.col(ra) < F.col(rb)).withColumn("__own", level(ra, rb))
+    own = lambda df: sorted(r[0] for r in df.select("__own").distinct().collect())  # noqa: E731  a number for each doubling
+    l_levels, r_levels = own(left), own(right)
 
-    def buckets(df, own, a, b):
-        df = df.withColumn("level", F.explode(F.sequence(F.col(own), F.lit(top)))) if top else df.withColumn("level", F.lit(0))
+    def buckets(df, levels, a, b):
         w = F.lit(width) * F.pow(F.lit(2), F.col("level"))
-        return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / w), F.ceil(F.col(b) / w) - 1)))
-
-    pairs = buckets(left, "__l", la, lb).join(buckets(right, "__r", ra, rb), [*on, "level", "bucket"])
-    first = F.floor(F.greatest(la, ra) / (F.lit(width) * F.pow(F.lit(2), F.col("level"))))
-    met = (F.col("level") == F.greatest("__l", "__r")) & (F.col(la) < F.col(rb)) & (F.col(ra) < F.col(lb)) & (F.col("bucket") == first)
-    return pairs.where(met).drop("level", "bucket", "__l", "__r")
+        return df.withColumn("level", levels).drop("__own").withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / w), F.ceil(F.col(b) / w) - 1)))
+
+    def raised(others, least):  # the levels of the other side's rows that are longer
+        return F.explode(F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda k: k >= least))
+
+    out = None
+    for a, b in ((F.col("__own"), raised(l_levels, F.col("__own"))), (raised(r_levels, F.col("__own") + 1), F.col("__own"))):
+        # the first: a left row as long or longer, at its own level; the second: a right row that is longer
+        pairs = buckets(left, a, la, lb).join(buckets(right, b, ra, rb), [*on, "level", "bucket"])
+        first = F.floor(F.greatest(la, ra) / (F.lit(width) * F.pow(F.lit(2), F.col("level"))))
+        met = pairs.where((F.col(la) < F.col(rb)) & (F.col(ra) < F.col(lb)) & (F.col("bucket") == first)).drop("level", "bucket")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.graph import components
-from roadweave.operators.joins import proximity_join
+from roadweave.operators.joins import interval_overlap_join, proximity_join
 from roadweave.session import cut
 
 MILE = 1609.344
@@ -122,7 +122,9 @@ def dense_numbers(df: DataFrame, keys: list[str], out: str = "number") -> DataFr
 def best_overlap(segments: DataFrame, lines: DataFrame, share: float) -> DataFrame:
     """segments(segment, road, a, b), lines(line, road, c, d) on roads' own measures -> (segment, line, covered): the line that
     covers most of a segment, at least share of it; ties: the smallest line."""
-    met = segments.join(lines, "road").withColumn("covered", F.least("b", "d") - F.greatest("a", "c")).where("covered > 0")
+    mean = lines.agg(F.avg(F.col("d") - F.col("c"))).first()[0]
+    met = interval_overlap_join(segments, lines, ["road"], ("a", "b"), ("c", "d"), mean if mean and mean > 0 else 1.0)
+    met = met.withColumn("covered", F.least("b", "d") - F.greatest("a", "c"))
     best = met.where(F.col("covered") >= share * (F.col("b") - F.col("a"))).groupBy("segment").agg(F.max(F.struct("covered", (-F.col("line")).alias("m"))).alias("best"))
     return best.select("segment", (-F.col("best.m")).alias("line"), "best.covered")
 
