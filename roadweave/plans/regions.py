@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from roadweave.functions import climbs
 from roadweave.operators import areas, chains
 from roadweave.plans.matched import line
 from roadweave.plans.registry import query
@@ -120,3 +121,18 @@ def long_chains(spark, sf_dir):
     number = F.row_number().over(Window.partitionBy("road").orderBy("first_line"))
     broken = lines.groupBy("road").agg(F.min("line").alias("m")).select("road", (F.col("m") % 97 == 0).alias("at_once"))
     return ends.join(broken, "road").select("road", (number - F.when(F.col("at_once"), 0).otherwise(1)).cast("long").alias("part"), "first_line", "last_line", "lines", "length")
+
+
+@query()
+def stroke_climbs(spark, sf_dir):
+    """Categorised climbs both ways along strokes of streets, of which every 50th way is one-way."""
+    k = F.col("c_custkey")
+    i, r = k % 40, F.floor(k / 40)
+    c = table(spark, sf_dir, "customer")
+    ahead = [(i * 50, r * 60), (i * 50 + 25, r * 60), (i * 50 + 50, r * 60)]
+    lines = c.select(k.alias("line"), F.when(k % 3 == 0, line(*ahead[::-1])).otherwise(line(*ahead)).alias("pts"), F.lit(50.0).alias("length"))
+    placed = chains.along_chains(lines, chains.strokes(lines)).withColumn("length", F.lit(50.0))
+    each = c.select(k.alias("line"), F.when(k % 50 == 7, 1).alias("oneway"), F.explode(F.array(*[F.lit(x) for x in (0.0, 12.5, 25.0, 37.5, 50.0)])).alias("along"))
+    x = F.col("line") % 40 * 50 + F.when(F.col("line") % 3 == 0, 50 - F.col("along")).otherwise(F.col("along"))
+    samples = each.withColumn("height", F.when(F.col("line") % 211 != 0, 70 * F.sin(x / 330 + F.floor(F.col("line") / 40)) + F.floor(x / 100) % 3))
+    return climbs.climbs(climbs.stroke_samples(placed, samples), both=True).withColumn("gain", F.round("gain", 6))
