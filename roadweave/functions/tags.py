@@ -34,7 +34,7 @@ def holds(condition: Column) -> Column:
 
 def parts(value: Column) -> Column:
     """The trimmed parts of a list with semicolons."""
-    return F.transform(F.split(value, ";"), F.trim)
+    return F.transform(F.split(value, ";"), lambda p: F.trim(p))  # F.trim itself takes two columns
 
 
 def width_m(value: Column) -> Column:

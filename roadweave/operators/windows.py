@@ -61,3 +61,35 @@ def usual_count(counts: Column) -> Column:
 def doubt(usual: Column, found: Column) -> Column:
     """'empty' or 'shrunk' where a read of `found` items isn't to be believed, else null."""
     return F.when((found == 0) & (usual >= EMPTY_USUAL), "empty").when((found > 0) & (usual >= SHRUNK_USUAL) & (found < usual * SHRUNK_SHARE), "shrunk")
+
+
+def rolling_score(pieces: DataFrame, points: DataFrame, samples: DataFrame, route: str, window: float) -> DataFrame:
+    """pieces(route, start, end, ratio; null where not rated), points(route, at, worth), samples(route, at) -> samples with
+    score: what pieces (metres times ratio) and points are worth within half of `window` either side of a sample, by rated
+    metre; null where none is rated. Pieces of a route don't overlap, may leave holes, and are cut where the window is; the
+    window is cut at the route's ends. Points on the window's edges count.
+
+    One stream a route, sorted once: running sums at both edges of each window, read between pieces by interpolation."""
+    end = pieces.groupBy(route).agg(F.max("end").alias("__end"))
+    edges = samples.join(end, route).select(route, "at", F.explode(F.array(*[F.struct(x.alias("m"), F.lit(side).alias("side")) for x, side in ((F.greatest(F.lit(0.0), F.col("at") - window / 2), 1), (F.least(F.col("__end"), F.col("at") + window / 2), 3))])).alias("e")).distinct()
+    none = F.lit(None)
+    length, rated = F.col("end") - F.col("start"), F.col("ratio").isNotNull()
+    a = pieces.select(route, F.col("start").alias("m"), F.lit(0).alias("side"), F.struct("start", "end", "ratio").alias("piece"), F.when(rated, length).otherwise(0.0).alias("rated"), F.when(rated, length * F.col("ratio")).otherwise(0.0).alias("calm"), F.lit(0.0).alias("worth"), none.cast("double").alias("at"))
+    empty = none.cast(a.schema["piece"].dataType)
+    b = edges.select(route, "e.m", "e.side", empty.alias("piece"), *[F.lit(0.0).alias(c) for c in ("rated", "calm", "worth")], "at")
+    c = points.select(route, F.col("at").alias("m"), F.lit(2).alias("side"), empty.alias("piece"), F.lit(0.0).alias("rated"), F.lit(0.0).alias("calm"), F.col("worth").cast("double").alias("worth"), none.cast("double").alias("at"))
+    w = Window.partitionBy(route).orderBy("m", "side").rowsBetween(Window.unboundedPreceding, 0)
+    run = a.unionByName(b).unionByName(c).withColumns({"__p": F.last("piece", ignorenulls=True).over(w), "__r": F.sum("rated").over(w), "__c": F.sum("calm").over(w), "__w": F.sum("worth").over(w)}).where("side IN (1, 3)")
+    # of the last piece begun only what lies before the edge
+    over = F.greatest(F.coalesce(F.col("__p.end") - F.col("m"), F.lit(0.0)), F.lit(0.0))
+    known = F.col("__p.ratio").isNotNull()
+    read = run.select(route, "at", "side", (F.col("__r") - F.when(known, over).otherwise(0.0)).alias("r"), (F.col("__c") - F.when(known, over * F.col("__p.ratio")).otherwise(0.0) + F.col("__w")).alias("v"))
+    signed = lambda x: F.sum(F.when(F.col("side") == 3, F.col(x)).otherwise(-F.col(x)))
+    got = read.groupBy(route, "at").agg(signed("r").alias("r"), signed("v").alias("v"))
+    return samples.join(got.select(route, "at", F.when(F.col("r") > 1e-9, F.col("v") / F.col("r")).alias("score")), [route, "at"], "left")
+
+
+def peaks(scored: DataFrame, route: str) -> DataFrame:
+    """(route, at, score) of each route's highest score, the first of a tie; routes without a score are left out."""
+    best = scored.where("score IS NOT NULL").groupBy(route).agg(F.max(F.struct("score", (-F.col("at")).alias("b"))).alias("m"))
+    return best.select(route, (-F.col("m.b")).alias("at"), "m.score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import lines as fold
@@ -163,3 +164,40 @@ def feed_doubt(spark, sf_dir):
     reads = last.groupBy("user_id").agg(F.max(F.when(F.col("back") == 1, F.col("n"))).alias("found"), F.collect_list(F.when(F.col("back") > 1, F.col("n"))).alias("counts"))
     usual = windows.usual_count(F.col("counts"))
     return reads.withColumn("usual", usual).select("user_id", "found", "usual", windows.doubt(F.col("usual"), F.col("found")).alias("doubt"))
+
+
+# A customer's orders are pieces of a route: some not rated, some after a hole; some orders are points on it.
+ROLLING = """o AS (SELECT o_custkey AS route, o_orderkey AS k, 40.0 + o_orderkey % 97 AS length, CASE WHEN o_orderkey % 11 = 0 THEN 30.0 ELSE 0.0 END AS hole FROM orders),
+    p AS (SELECT *, sum(length + hole) OVER (PARTITION BY route ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM o),
+    pieces AS (SELECT route, k, e - length AS s, e, CASE WHEN k % 5 > 0 THEN (k % 7) / 6.0 END AS ratio FROM p),
+    points AS (SELECT route, s AS m, (k % 4 - 1) * 3.0 AS worth FROM pieces WHERE k % 6 = 0),
+    samples AS (SELECT route, (s + e) / 2 AS m FROM pieces UNION ALL SELECT route, s FROM pieces),
+    ends AS (SELECT route, max(e) AS fin FROM pieces GROUP BY 1),
+    win AS (SELECT route, m, greatest(0.0, m - 100) AS lo, least(fin, m + 100) AS hi FROM samples JOIN ends USING (route)),
+    worth AS (
+        SELECT w.route, w.m, sum(greatest(0.0, least(e, hi) - greatest(s, lo))) FILTER (ratio IS NOT NULL) AS rated, sum(greatest(0.0, least(e, hi) - greatest(s, lo)) * ratio) AS calm
+        FROM win w JOIN pieces USING (route) GROUP BY 1, 2),
+    extra AS (SELECT w.route, w.m, sum(worth) AS worth FROM win w JOIN points p ON p.route = w.route AND p.m BETWEEN lo AND hi GROUP BY 1, 2),
+    scored AS (SELECT route, m, CASE WHEN rated > 1e-9 THEN (coalesce(calm, 0) + coalesce(worth, 0)) / rated END AS score FROM worth LEFT JOIN extra USING (route, m))"""
+
+
+def rolling_parts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("route"), k.alias("k"), (40.0 + k % 97).alias("length"), F.when(k % 11 == 0, 30.0).otherwise(0.0).alias("hole"))
+    w = Window.partitionBy("route").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = o.withColumn("end", F.sum(F.col("length") + F.col("hole")).over(w)).select("route", "k", (F.col("end") - F.col("length")).alias("start"), "end", F.when(F.col("k") % 5 > 0, F.col("k") % 7 / 6.0).alias("ratio"))
+    points = pieces.where("k % 6 = 0").select("route", F.col("start").alias("at"), ((F.col("k") % 4 - 1) * 3.0).alias("worth"))
+    samples = pieces.select("route", F.explode(F.array((F.col("start") + F.col("end")) / 2, F.col("start"))).alias("at"))
+    return pieces, points, samples
+
+
+@query(f'WITH {ROLLING} SELECT route, m AS "at", round(score + 1e-8, 6) AS score FROM scored')
+def rolling_scores(spark, sf_dir):
+    return windows.rolling_score(*rolling_parts(spark, sf_dir), "route", 200.0).withColumn("score", F.round(F.col("score") + 1e-8, 6))
+
+
+@query(f"WITH {ROLLING} SELECT route, count(*) FILTER (score IS NOT NULL) AS scored, round(max(score) + 1e-8, 6) AS peak FROM scored GROUP BY 1 HAVING max(score) IS NOT NULL")
+def rolling_peaks(spark, sf_dir):
+    scored = windows.rolling_score(*rolling_parts(spark, sf_dir), "route", 200.0)
+    n = scored.where("score IS NOT NULL").groupBy("route").agg(F.count("*").alias("scored"))
+    return n.join(windows.peaks(scored, "route").select("route", F.round(F.col("score") + 1e-8, 6).alias("peak")), "route")

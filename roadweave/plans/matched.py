@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.operators import matching
+from roadweave.operators import matching, rematch
 from roadweave.plans.registry import query
 from roadweave.session import table
 
@@ -83,3 +83,25 @@ SCENE = """w AS (
 )
 def block_shares(spark, sf_dir):
     return matching.block_shares(ways(spark, sf_dir), lines(spark, sf_dir), agree()).withColumn("share", F.round("share", 9))
+
+
+# A row for each customer's way, and by turns what became of it: as it was, a new id, split, merged, redrawn, renamed, gone, two side by side.
+@query(
+    """WITH k AS (SELECT c_custkey % 8 AS k, count(*) AS rows FROM customer GROUP BY 1)
+    SELECT * FROM (SELECT CASE k WHEN 1 THEN 'rematched' WHEN 2 THEN 'rematched' WHEN 3 THEN 'failed' WHEN 4 THEN 'drifted' WHEN 5 THEN 'drifted' WHEN 6 THEN 'failed' WHEN 7 THEN 'failed' END AS outcome,
+        CASE k WHEN 2 THEN 'split' WHEN 3 THEN 'merged' WHEN 4 THEN 'redrawn' WHEN 5 THEN 'tags' WHEN 6 THEN 'none' WHEN 7 THEN 'parallel' END AS reason, CASE k WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS ways, rows FROM k WHERE k > 0)"""
+)
+def override_rematch(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), (F.col("c_custkey") % 8).alias("k"))
+    x, y, k = F.col("c") % 40 * 200, F.floor(F.col("c") / 40) * 100, F.col("k")
+    name, bar = F.concat(F.lit("Road "), F.col("c").cast("string")), lambda a, b, up=0: line((x + a, y + up), (x + b, y + up))
+    rows = c.select(F.col("c").alias("row"), F.lit("stress").alias("kind"), F.col("c").alias("way"), (F.col("c") % 5).alias("value"), name.alias("name"), F.lit("residential").alias("highway"), F.lit(50.0).alias("length"), bar(0, 50).alias("pts"))
+    new = F.col("c") + 1_000_000_000
+    way = lambda id_, pts, named=name: F.struct(id_.alias("way"), named.alias("name"), F.lit("residential").alias("highway"), pts.alias("pts"))
+    now = (
+        F.when(k == 0, F.array(way(F.col("c"), bar(0, 50)))).when(k == 1, F.array(way(new, bar(50, 0)))).when(k == 2, F.array(way(F.col("c"), bar(0, 25)), way(new, bar(25, 50))))
+        .when(k == 3, F.array(way(F.col("c"), bar(0, 90)))).when(k == 4, F.array(way(F.col("c"), bar(0, 50, 12)))).when(k == 5, F.array(way(F.col("c"), bar(0, 50), F.lit("Other Road"))))
+        .when(k == 7, F.array(way(new, bar(0, 50)), way(new + 1_000_000_000, bar(0, 50, 3))))
+    )
+    report, _ = rematch.rematch(rows, c.select(F.explode(now).alias("w")).select("w.*"))
+    return report.groupBy("outcome", "reason", F.coalesce(F.size("ways"), F.lit(0)).alias("ways")).agg(F.count("*").alias("rows"))

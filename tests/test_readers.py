@@ -118,3 +118,9 @@ def test_moves_are_told_by_the_legs_they_change():
                 assert abs(whole(o) + graph.moved(c, o, size)[0] - best) < 1e-9
         best = min(whole(np.concatenate([o[:i], o[i : j + 1][::-1], o[j + 1 :]])) for i in range(1, n - 2) for j in range(i + 1, n - 1))
         assert abs(whole(o) + graph.turned(c, o)[0] - best) < 1e-9
+
+
+def test_parts_of_lists_are_trimmed(spark):
+    df = spark.createDataFrame([("yes; no ;1x",)], "v string")
+    assert df.select(read.parts(F.col("v"))).first()[0] == ["yes", "no", "1x"]
+    assert df.select(read.most_restrictive(F.col("v"))).first()[0] == "no"
