@@ -17,6 +17,17 @@ from roadweave.llm import binary, decontamination, mixing, quality, simhash
 from roadweave.session import cut, shared_dir, table
 
 
+#: Rows that go to Python at a time: texts are long, so the session's 10,000 would hold tens of megabytes on both sides.
+ROWS_AT_A_TIME = 500
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ROWS_AT_A_TIME if they are larger (or unbounded)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_A_TIME:
+        spark.conf.set(key, str(ROWS_AT_A_TIME))
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have."""
     taken = {c.lower() for c in docs.columns}
@@ -28,6 +39,7 @@ def unused(docs: DataFrame, name: str) -> str:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on the labelled ones, rejects. Null texts count as empty; rows that
     repeat an id are scored each; further columns stay, whatever their names."""
+    in_small_batches(spark)
     marked = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     model, score = quality.fit(table(spark, sf_dir, "documents"), marked), unused(docs, "quality_score")
     return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
@@ -40,6 +52,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id with different texts are documents of their own, in the order of their texts' hashes. Texts are compared
     whole; further columns stay.
     """
+    in_small_batches(spark)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         groups = cut(simhash.near_copies(docs))
         gone = groups.where("doc_id != component").select("doc_id")
@@ -70,6 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes all rows to token-id files, by id and text, and reads those: doc_id, start, n_tokens, ids_crc32."""
+    in_small_batches(spark)
     return binary.round_trip(docs)
 
 
