@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import climbs
-from roadweave.operators import areas, chains
+from roadweave.operators import areas, chains, tiling
 from roadweave.plans.matched import line
 from roadweave.plans.registry import query
 from roadweave.session import table
@@ -136,3 +136,19 @@ def stroke_climbs(spark, sf_dir):
     x = F.col("line") % 40 * 50 + F.when(F.col("line") % 3 == 0, 50 - F.col("along")).otherwise(F.col("along"))
     samples = each.withColumn("height", F.when(F.col("line") % 211 != 0, 70 * F.sin(x / 330 + F.floor(F.col("line") / 40)) + F.floor(x / 100) % 3))
     return climbs.climbs(climbs.stroke_samples(placed, samples), both=True).withColumn("gain", F.round("gain", 6))
+
+
+@query()
+def drawn_tiles(spark, sf_dir):
+    """Features and points of each tile at two zooms: streets merged where nothing branches, areas, and their middles."""
+    scale = lambda pts: F.transform(pts, lambda p: F.struct((p["x"] / 20_000).alias("x"), (p["y"] / 20_000).alias("y")))
+    streets = tiling.merged_lines(ways(spark, sf_dir).select(F.col("way").alias("line"), "pts", (F.col("way") % 3).alias("tier")), ["tier"])
+    shapes = polygons(spark, sf_dir).select(F.col("area").alias("id"), F.lit("polygon").alias("kind"), scale("pts").alias("pts"), F.lit(0).cast("long").alias("tier"))
+    lines_ = streets.select(F.xxhash64("pts").alias("id"), F.lit("line").alias("kind"), scale("pts").alias("pts"), "tier")
+    spots = shapes.select("id", F.lit("point").alias("kind"), F.slice("pts", 1, 1).alias("pts"), "tier")
+    out = None
+    for zoom in (3, 5):
+        drawn = tiling.tile_features(shapes.unionByName(lines_).unionByName(spots), zoom)
+        n = drawn.groupBy(F.lit(zoom).alias("z"), "tx", "ty", "kind").agg(F.count("*").alias("parts"), F.sum(F.size("points")).alias("points"))
+        out = n if out is None else out.unionByName(n)
+    return out
