@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from roadweave.operators import matching, rematch
+from roadweave.operators import matching, rematch, thinning
 from roadweave.plans.registry import query
 from roadweave.session import table
+from roadweave.streaming import alerts
 
 def agree():
     return F.col("name") == F.col("fname")
@@ -105,3 +107,39 @@ def override_rematch(spark, sf_dir):
     )
     report, _ = rematch.rematch(rows, c.select(F.explode(now).alias("w")).select("w.*"))
     return report.groupBy("outcome", "reason", F.coalesce(F.size("ways"), F.lit(0)).alias("ways")).agg(F.count("*").alias("rows"))
+
+
+# Customers' saved routes along streets; suppliers' closures beside them, some across.
+@query(
+    """WITH r AS (SELECT c_custkey AS route, c_custkey % 40 * 50 AS x, c_custkey // 40 * 60 AS y FROM customer),
+    c AS (SELECT s_suppkey AS closure, s_suppkey % 40 * 50 + 10 AS x, s_suppkey * 15 // 40 * 60 + s_suppkey % 5 * 5 AS y FROM supplier WHERE s_suppkey % 9 > 0 AND s_suppkey % 4 > 0),
+    met AS (SELECT route, closure, greatest(0, greatest(r.x, c.x) - least(r.x + 200, c.x + 80)) AS gap, c.y - r.y AS up FROM r JOIN c ON abs(c.y - r.y) <= 15),
+    n AS (SELECT route, closure, row_number() OVER (PARTITION BY route ORDER BY closure) AS n FROM met WHERE gap * gap + up * up <= 225)
+    SELECT route, closure FROM n WHERE n <= 5"""
+)
+def route_alerts(spark, sf_dir):
+    """The first five closures in force along each saved route."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    x, y = k % 40 * 50, F.floor(k / 40) * 60
+    routes = table(spark, sf_dir, "customer").select(k.alias("route"), line((x, y), (x + 200, y)).alias("pts"))
+    u, v = s % 40 * 50 + 10, F.floor(s * 15 / 40) * 60 + s % 5 * 5
+    moment = F.to_timestamp(F.lit("2026-05-05 10:00:00"))
+    over = F.when(s % 4 == 0, F.to_timestamp(F.lit("2026-05-04 10:00:00")))
+    shut = table(spark, sf_dir, "supplier").select(s.alias("closure"), F.lit(None).cast("timestamp").alias("start"), over.alias("end"), F.when(s % 9 == 0, line((u, v - 40), (u, v + 40))).otherwise(line((u, v), (u + 80, v))).alias("pts"))
+    return alerts.alerts(shut, alerts.route_index(routes), moment).select("route", "closure")
+
+
+@query()
+def lines_kept(spark, sf_dir):
+    """Parts' lines without those that mostly lie on longer ones."""
+    p = lines(spark, sf_dir)
+    return thinning.without_overlaps(p.select(F.col("feature").alias("line"), (F.col("feature") * 37 % 1000).cast("double").alias("length"), "pts", (F.col("feature") % 6 == 0).alias("both"))).select("line", "length")
+
+
+@query()
+def thin_profiles(spark, sf_dir):
+    """The samples of suppliers' profiles that show their shape."""
+    item = table(spark, sf_dir, "lineitem")
+    samples = item.select(F.col("l_suppkey").alias("route"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("i"), F.when(F.col("l_quantity") > 1, F.col("l_extendedprice") / 1000).alias("height"), (F.col("l_discount") - 0.05).alias("grade"))
+    placed = samples.withColumn("i", F.row_number().over(Window.partitionBy("route").orderBy("i")))
+    return thinning.thinned(placed, "route", "i", "height", "grade", 200)
