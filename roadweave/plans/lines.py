@@ -201,3 +201,15 @@ def rolling_peaks(spark, sf_dir):
     scored = windows.rolling_score(*rolling_parts(spark, sf_dir), "route", 200.0)
     n = scored.where("score IS NOT NULL").groupBy("route").agg(F.count("*").alias("scored"))
     return n.join(windows.peaks(scored, "route").select("route", F.round(F.col("score") + 1e-8, 6).alias("peak")), "route")
+
+
+@query()
+def route_measures(spark, sf_dir):
+    """Turns, steepest run, effort windows and waits of routes of orders' items."""
+    item = table(spark, sf_dir, "lineitem")
+    at = F.struct("l_linenumber", "l_suppkey", "l_partkey", (-77 + F.col("l_linenumber") * 0.002 + F.col("l_partkey") % 7 * 0.0003).alias("lon"), (39 + F.col("l_suppkey") % 11 * 0.0004).alias("lat"), F.when(F.col("l_partkey") % 13 > 0, F.col("l_quantity")).alias("ele"), (F.col("l_linenumber") * 90.0).alias("m"), (F.col("l_discount") * 100).alias("seconds"))
+    routes = item.groupBy(F.col("l_orderkey").alias("route")).agg(F.array_sort(F.collect_list(at)).alias("p"))
+    points = F.transform("p", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), p["ele"].alias("ele")))
+    profile = F.transform("p", lambda p: F.struct(p["m"].alias("m"), p["ele"].alias("h")))
+    marks = F.transform("p", lambda p: F.struct(p["m"].alias("m"), p["seconds"].alias("seconds")))
+    return routes.select("route", fold.turns(points).alias("turns"), F.round(fold.max_grade(points), 6).alias("max_grade"), F.size(fold.effort_windows(profile)).alias("windows"), F.round(fold.waits(marks, 100.0), 6).alias("waits"))
