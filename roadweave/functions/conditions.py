@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from roadweave.functions.rules import let
 from roadweave.functions.tags import BICYCLE_ALLOWED, TRAIL_CLASS, holds, open_to_buses, tag
 
 # Days, settings with the instants (day, minute of the day) that each stands for, keys of motor traffic.
@@ -57,52 +58,70 @@ def _in_day(day: Column, start: Column, end: Column) -> Column:
 
 def rule_intervals(rule: Column) -> Column:
     """A rule as intervals [start, end) of minutes of the week; empty for a public holiday's, null if it can't be read."""
-    rule = F.trim(rule)
-    bare = F.trim(F.get(F.split(rule, ","), F.lit(0))).rlike(TIMES)
+    return let(F.trim(rule), lambda r: let(F.trim(F.get(F.split(r, ","), F.lit(0))).rlike(TIMES), lambda bare: _read_rule(r, bare)))
+
+
+def _read_rule(rule: Column, bare: Column) -> Column:
+    """bare: whether the rule is times of day alone."""
+
+    def days_of(p):
+        day = F.struct(_day(_group(p, DAY_RANGE, 1)).alias("first"), _day(F.nullif(_group(p, DAY_RANGE, 2), F.lit(""))).alias("last"))
+        return let(day, lambda d: F.transform(F.sequence(F.lit(0), F.pmod(F.coalesce(d["last"], d["first"]) - d["first"], F.lit(7))), lambda i: F.pmod(d["first"] + i, F.lit(7))))
+
+    def clock(p):
+        return F.struct(p.rlike(TIMES).alias("is"), _minute(p, TIMES, 1).alias("start"), _minute(p, TIMES, 3).alias("end"))
+
+    def daily(head, listed):
+        times = F.when(bare, rule).otherwise(F.trim(F.substring(rule, F.length(head) + F.lit(2), F.lit(10_000))))
+        ranges = F.transform(F.split(let(times, lambda t: F.when(t == "", "00:00-24:00").otherwise(t)), ","), lambda p: clock(F.trim(p)))
+        days = F.when(bare, F.sequence(F.lit(0), F.lit(6))).otherwise(F.array_distinct(F.flatten(F.transform(listed, days_of))))
+
+        def spread_out(ranges):
+            readable = F.forall(ranges, lambda p: holds(p["is"] & (F.greatest(p["start"], p["end"]) <= DAY))) & (bare | F.forall(listed, lambda p: p.rlike(DAY_RANGE)))
+            return F.when(readable, F.flatten(F.transform(days, lambda d: F.flatten(F.transform(ranges, lambda p: _in_day(d, p["start"], p["end"]))))).cast(SPANS))
+
+        return F.when(head == "PH", F.array().cast(SPANS)).otherwise(let(ranges, spread_out))
+
+    def weekly():
+        end = lambda i: _day(_group(rule, WEEK_SPAN, i)) * DAY
+        ends = F.struct(end(1).alias("a"), _minute(rule, WEEK_SPAN, 2).alias("from"), end(4).alias("z"), _minute(rule, WEEK_SPAN, 5).alias("to"))
+        return let(ends, lambda e: F.when(F.greatest(e["from"], e["to"]) <= DAY, _wrapped(e["a"] + e["from"], e["z"] + e["to"], WEEK)).cast(SPANS))
+
     head = F.when(bare, "").otherwise(F.get(F.split(rule, " "), F.lit(0)))
-    times = F.when(bare, rule).otherwise(F.trim(F.substring(rule, F.length(head) + F.lit(2), F.lit(10_000))))
-    times = F.when(times == "", "00:00-24:00").otherwise(times)
-    listed, ranges = F.transform(F.split(head, ","), lambda p: F.trim(p)), F.transform(F.split(times, ","), lambda p: F.trim(p))
-    on = F.flatten(F.transform(listed, lambda p: F.transform(F.sequence(F.lit(0), F.pmod(F.coalesce(_day(F.nullif(_group(p, DAY_RANGE, 2), F.lit(""))), _day(_group(p, DAY_RANGE, 1))) - _day(_group(p, DAY_RANGE, 1)), F.lit(7))), lambda i: F.pmod(_day(_group(p, DAY_RANGE, 1)) + i, F.lit(7)))))
-    days = F.when(bare, F.sequence(F.lit(0), F.lit(6))).otherwise(F.array_distinct(on))
-    fine = lambda p, pattern, *at: F.greatest(*[_minute(p, pattern, i) for i in at]) <= DAY
-    readable = F.forall(ranges, lambda p: holds(p.rlike(TIMES) & fine(p, TIMES, 1, 3))) & (bare | F.forall(listed, lambda p: p.rlike(DAY_RANGE)))
-    daily = F.flatten(F.transform(days, lambda d: F.flatten(F.transform(ranges, lambda p: _in_day(d, _minute(p, TIMES, 1), _minute(p, TIMES, 3))))))
-    weekly = _wrapped(_day(_group(rule, WEEK_SPAN, 1)) * DAY + _minute(rule, WEEK_SPAN, 2), _day(_group(rule, WEEK_SPAN, 4)) * DAY + _minute(rule, WEEK_SPAN, 5), WEEK)
-    empty = F.array().cast(SPANS)
-    return (
-        F.when(rule == "", empty).when(rule.rlike(WEEK_SPAN), F.when(fine(rule, WEEK_SPAN, 2, 5), weekly).cast(SPANS))
-        .when(head == "PH", empty).when(readable, daily.cast(SPANS))
-    )
+    listed = lambda h: F.transform(F.split(h, ","), lambda p: F.trim(p))
+    return F.when(rule == "", F.array().cast(SPANS)).when(rule.rlike(WEEK_SPAN), weekly()).otherwise(let(head, lambda h: let(listed(h), lambda parts: daily(h, parts))))
+
+
+def _all_or_none(read: Column) -> Column:
+    """Lists of intervals as one; null if one is null."""
+    return let(read, lambda all_: F.when(F.forall(all_, lambda r: r.isNotNull()), F.flatten(all_)))
 
 
 def condition_intervals(condition: Column) -> Column:
     """All intervals of a condition's rules; null if one can't be read."""
     rules = F.flatten(F.transform(F.split(condition, ";"), lambda g: F.split(g, r",\s+(?=[A-Z])")))
-    read = F.transform(rules, rule_intervals)
-    return F.when(F.forall(read, lambda r: r.isNotNull()), F.flatten(read))
+    return _all_or_none(F.transform(rules, rule_intervals))
 
 
 def closed_intervals(value: Column) -> Column:
     """Intervals of the week in which a conditional value says "no"; null where one of its "no" branches can't be read."""
     branches = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit("(" + BRANCH + ")"), 1)
     no = F.filter(branches, lambda b: _group(b, BRANCH, 1) == "no")
-    read = F.transform(no, lambda b: condition_intervals(_group(b, BRANCH, 2)))
-    return F.when(F.forall(read, lambda r: r.isNotNull()), F.flatten(read))
+    return _all_or_none(F.transform(no, lambda b: condition_intervals(_group(b, BRANCH, 2))))
 
 
 def closed_settings(value: Column) -> Column:
     """The settings at whose every instant a conditional value closes a way, in order; none if it can't be read."""
-    spans = F.coalesce(closed_intervals(value), F.array().cast(SPANS))
-    at = lambda d, m: F.exists(spans, lambda s: (s["start"] <= d * DAY + m) & (d * DAY + m < s["end"]))
+    at = lambda spans, d, m: F.exists(spans, lambda s: (s["start"] <= d * DAY + m) & (d * DAY + m < s["end"]))
 
-    def shut(instants):
+    def shut(spans, instants):
         all_ = F.lit(True)
         for d, m in instants:
-            all_ = all_ & at(d, m)
+            all_ = all_ & at(spans, d, m)
         return all_
 
-    return F.array_compact(F.array(*[F.when(shut(i), name) for name, i in INSTANTS.items()]))
+    told = lambda spans: F.array_compact(F.array(*[F.when(shut(spans, i), name) for name, i in INSTANTS.items()]))
+    return let(F.coalesce(closed_intervals(value), F.array().cast(SPANS)), told)
 
 
 def car_free_settings(tags: Column) -> Column:
@@ -111,5 +130,5 @@ def car_free_settings(tags: Column) -> Column:
     highway, bicycle = tag(tags, "highway"), tag(tags, "bicycle")
     never = highway.isNull() | highway.isin(*TRAIL_CLASS, *MOTOR_ONLY) | holds(bicycle.isNotNull() & ~bicycle.isin(*BICYCLE_ALLOWED)) | open_to_buses(tags)
     shut = F.array_union(*[closed_settings(tag(tags, f"{k}:conditional")) for k in MOTOR_KEYS])
-    ordered = F.filter(F.array(*map(F.lit, INSTANTS)), lambda s: F.array_contains(shut, s))
+    ordered = let(shut, lambda a: F.filter(F.array(*map(F.lit, INSTANTS)), lambda s: F.array_contains(a, s)))
     return F.when(never, F.array().cast("array<string>")).otherwise(ordered)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roadweave.functions import tags as read
-from roadweave.functions.rules import first_match
+from roadweave.functions.rules import first_match, let
 from roadweave.functions.tags import holds, tag
 
 # Cycleway words, and classes of ways and access that a map hides or bars.
@@ -37,30 +37,50 @@ def side(tags: Column, name: str) -> dict[str, Column]:
 
 
 def provision(tags: Column, best: bool = False) -> tuple[Column, Column]:
-    """(rank, width) of the direction served worst, or with `best` of the one served best.
+    """(rank, width) of the direction served worst, or with `best` of the one served best."""
+    told = provided(tags, best)
+    return told["rank"], told["width"]
+
+
+def provided(tags: Column, best: bool = False) -> Column:
+    """provision's values as struct(rank, width).
 
     Each side serves its own direction of a two-way road, and both where it is two-way itself; every side but a
     contraflow one serves the traffic's direction of a one-way road, and all sides the other (counted with `best` only).
     Of a direction, the widest lane of its best rank; of equal directions, the narrower, with `best` the wider.
     """
-    left, right = side(tags, "left"), side(tags, "right")
+    of_side = lambda name: F.struct(*[v.alias(k) for k, v in side(tags, name).items()]).alias(name)
+    sides = F.struct(of_side("left"), of_side("right"), read.is_oneway(tags).alias("oneway"))
+
+    def direction(s, serves_left, serves_right):
+        left, right = s["left"], s["right"]
+        of = lambda x, serves: F.when(serves, x["rank"])
+        best_rank = F.coalesce(F.greatest(of(left, serves_left), of(right, serves_right)), F.lit(0))
 
-    def direction(serves_left, serves_right):
-        of = lambda s, serves: F.when(serves, s["rank"])
-        rank = F.coalesce(F.greatest(of(left, serves_left), of(right, serves_right)), F.lit(0))
-        wide = F.greatest(*[F.when(serves & (s["rank"] == rank), s["width"]) for s, serves in ((left, serves_left), (right, serves_right))])
-        return rank, wide
+        def widest(rank):
+            wide = F.greatest(*[F.when(serves & (x["rank"] == rank), x["width"]) for x, serves in ((left, serves_left), (right, serves_right))])
+            return F.struct(rank.alias("rank"), wide.alias("width"))
+
+        return let(best_rank, widest)
 
     yes = F.lit(True)
-    oneway = read.is_oneway(tags)
-    a = direction(F.when(oneway, ~left["contraflow"]).otherwise(yes), F.when(oneway, ~right["contraflow"]).otherwise(right["two_way"]))
-    b = direction(F.when(oneway, yes).otherwise(left["two_way"]), yes)
-    (pick, worse) = (F.greatest, b[0] > a[0]) if best else (F.least, b[0] < a[0])
-    # the second direction of a one-way road is the contraflow rider's
-    counts = yes if best else ~oneway
-    rank = F.when(counts, pick(a[0], b[0])).otherwise(a[0])
-    width = F.when(counts & worse, b[1]).when(counts & (a[0] == b[0]), pick(a[1], b[1])).otherwise(a[1])
-    return rank, width
+
+    def both(s):
+        left, right, oneway = s["left"], s["right"], s["oneway"]
+        a = direction(s, F.when(oneway, ~left["contraflow"]).otherwise(yes), F.when(oneway, ~right["contraflow"]).otherwise(right["two_way"]))
+        b = direction(s, F.when(oneway, yes).otherwise(left["two_way"]), yes)
+        return let(F.struct(a.alias("a"), b.alias("b"), oneway.alias("oneway")), chosen)
+
+    def chosen(d):
+        a, b, oneway = d["a"], d["b"], d["oneway"]
+        (pick, worse) = (F.greatest, b["rank"] > a["rank"]) if best else (F.least, b["rank"] < a["rank"])
+        # the second direction of a one-way road is the contraflow rider's
+        counts = yes if best else ~oneway
+        rank = F.when(counts, pick(a["rank"], b["rank"])).otherwise(a["rank"])
+        width = F.when(counts & worse, b["width"]).when(counts & (a["rank"] == b["rank"]), pick(a["width"], b["width"])).otherwise(a["width"])
+        return F.struct(rank.alias("rank"), width.alias("width"))
+
+    return let(sides, both)
 
 
 def road_facility(tags: Column, rank: Column) -> Column:

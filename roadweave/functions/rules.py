@@ -140,3 +140,8 @@ def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
 def sun_declination(day_of_year: Column) -> Column:
     """Degrees, by the usual cosine approximation."""
     return -23.44 * F.cos(2 * math.pi / 365 * (day_of_year + 10))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), of a value that f names more than once: it is worked out once and stands in the plan once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import facilities
 from roadweave.functions import tags as read
-from roadweave.functions.rules import first_match, speed_mph
+from roadweave.functions.rules import first_match, let, speed_mph
 from roadweave.functions.tags import holds, tag
 
 # Speeds (mph) up to which a column of the tables holds; rows by lanes of one direction; feet.
@@ -69,23 +69,29 @@ def base_level(tags: Column, state: Column, urban: Column) -> Column:
     """struct(level, mph, lanes, rule, assumed): 1 for trails and separated tracks, 4 for motorways, else by the tables. An
     urban one-way of up to two lanes, and an urban street of several, are read as streets of one; a painted lane on a
     street of two lanes a direction (one-way: three) is 3 at least; a rideable shoulder is never worse than none."""
-    highway, oneway = tag(tags, "highway"), read.is_oneway(tags)
     mph, posted = read_mph(tags, state, urban)
-    counted = read.lanes_per_direction(tags)
+    right, wide = read.shoulder_side(tags, "right")
+    said = F.struct(
+        tag(tags, "highway").alias("highway"), read.is_oneway(tags).alias("oneway"), mph.alias("mph"), posted.alias("posted"), read.lanes_per_direction(tags).alias("counted"),
+        facilities.provided(tags).alias("lane"), holds(right).alias("right"), wide.alias("wide"),
+    )
+    return let(said, _of_said)
+
+
+def _of_said(said: Column) -> Column:
+    highway, oneway, mph, counted = (said[c] for c in ("highway", "oneway", "mph", "counted"))
+    rank, width = said["lane"]["rank"], said["lane"]["width"]
     lanes = F.coalesce(counted, F.lit(1))
     relieved = F.when(oneway & (lanes <= 2), 1).otherwise(lanes)
-    rank, width = facilities.provision(tags)
-    mixed = of_table(MIXED, relieved, mph)
     busy = (~oneway & (lanes >= 2)) | (oneway & (lanes >= 3))
-    painted = lane_level(relieved, mph, width)
-    painted = F.when(busy, F.greatest(painted, F.lit(3))).otherwise(painted)
-    right, wide = read.shoulder_side(tags, "right")
-    shoulder = holds(right) & holds(wide >= SHOULDER_M)
-    beside = F.least(mixed, F.when(busy, F.greatest(lane_level(relieved, mph, wide), F.lit(3))).otherwise(lane_level(relieved, mph, wide)))
+    mixed = of_table(MIXED, relieved, mph)
+    on_lane = lambda width: let(lane_level(relieved, mph, width), lambda level: F.when(busy, F.greatest(level, F.lit(3))).otherwise(level))
+    painted, beside = on_lane(width), F.least(mixed, on_lane(said["wide"]))
+    shoulder = said["right"] & holds(said["wide"] >= SHOULDER_M)
     level, rule = (
         first_match([(holds(highway.isin(*read.TRAIL_CLASS)), a), (holds(highway.isin(*facilities.MOTOR_ONLY)), b), (rank >= 2, c), (rank == 1, d), (shoulder, e)], f)
         for a, b, c, d, e, f in ((F.lit(1), F.lit(4), F.lit(1), painted, beside, mixed), ("trail", "motorway", "separated", "lane", "shoulder", "mixed"))
     )
-    assumed = F.array_compact(F.array(F.when(~posted, "speed"), F.when(counted.isNull(), "lanes"), F.when((rank == 1) & width.isNull(), "width")))
+    assumed = F.array_compact(F.array(F.when(~said["posted"], "speed"), F.when(counted.isNull(), "lanes"), F.when((rank == 1) & width.isNull(), "width")))
     none = rule.isin("trail", "motorway", "separated")
     return F.struct(level.alias("level"), mph.alias("mph"), lanes.alias("lanes"), rule.alias("rule"), F.when(none, F.array().cast("array<string>")).otherwise(assumed).alias("assumed"))

@@ -25,8 +25,11 @@ def car_free_settings(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     value = F.get(F.array(*[F.lit(v) for v, _ in VALUES]), (F.col("p_size") % 8).cast("int"))
     highway = F.get(F.array(F.lit("secondary"), F.lit("path"), F.lit("tertiary")), (F.col("p_partkey") % 3).cast("int"))
-    tags = F.map_filter(F.create_map(F.lit("highway"), highway, F.lit("motor_vehicle:conditional"), value), lambda _, v: v.isNotNull())
-    return p.groupBy(highway.alias("highway"), F.array_join(conditions.car_free_settings(tags), ",").alias("settings")).agg(F.count("*").alias("ways"))
+    # each pair of values is read once
+    pairs = p.groupBy(highway.alias("highway"), value.alias("value")).agg(F.count("*").alias("n"))
+    tags = F.map_filter(F.create_map(F.lit("highway"), F.col("highway"), F.lit("motor_vehicle:conditional"), F.col("value")), lambda _, v: v.isNotNull())
+    settings = pairs.select("highway", F.array_join(conditions.car_free_settings(tags), ",").alias("settings"), "n")
+    return settings.groupBy("highway", "settings").agg(F.sum("n").alias("ways"))
 
 
 def grid(spark, sf_dir):
@@ -88,6 +91,7 @@ def base_levels(spark, sf_dir):
         "oneway": F.when(k % 11 == 0, "yes"), "cycleway": F.when(k % 2 == 0, "lane"), "cycleway:width": F.when(k % 8 == 0, "2").when(k % 8 == 2, "1.5"),
     }
     tags = F.map_filter(F.create_map(*[c for key, v in pairs.items() for c in (F.lit(key), v)]), lambda _, v: v.isNotNull())
-    p = table(spark, sf_dir, "part").select(tags.alias("tags"), F.when(k % 7 == 0, "DC").alias("state"), (k % 3 == 0).alias("urban"))
+    # dealt anew: a small file is few tasks, and reading tags is the work
+    p = table(spark, sf_dir, "part").repartition("p_partkey").select(tags.alias("tags"), F.when(k % 7 == 0, "DC").alias("state"), (k % 3 == 0).alias("urban"))
     of = p.select(F.col("tags")["highway"].alias("highway"), stress.base_level(F.col("tags"), F.col("state"), F.col("urban")).alias("b"))
     return of.groupBy("highway", "b.level", "b.rule").agg(F.count("*").alias("ways"))

@@ -73,3 +73,11 @@ def test_car_free(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, tags map<string, string>")
     got = {r.i: r.s for r in df.select("i", conditions.car_free_settings(F.col("tags")).alias("s")).collect()}
     assert got == {i: s for i, (_, s) in enumerate(rows)}
+
+
+def test_a_value_stands_in_the_plan_once(spark):
+    from roadweave.functions import stress
+
+    df = spark.createDataFrame([({"highway": "secondary"}, "DC", True)], "tags map<string, string>, state string, urban boolean")
+    for c, most in ((conditions.car_free_settings(F.col("tags")), 60_000), (stress.base_level(F.col("tags"), F.col("state"), F.col("urban")), 160_000)):
+        assert len(df.select(c.alias("s"))._jdf.queryExecution().analyzed().toString()) < most
