@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.session import cut
+from roadweave.functions.geo import EARTH, haversine, point
+from roadweave.session import cut, spread
 
 
 def with_cells(df: DataFrame, x: str, y: str, size: float, around: bool = False) -> DataFrame:
@@ -20,10 +21,10 @@ def with_cells(df: DataFrame, x: str, y: str, size: float, around: bool = False)
 def proximity_join(left: DataFrame, right: DataFrame, lxy, rxy, radius: float, keep: Column | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within `radius` (planar, inclusive), with squared distance d2. The larger side isn't
     multiplied: give it as `right`. Rows without coordinates join nothing. on: columns of both sides that must be
-    equal too; they are join keys, so that a busy cell is split by them."""
+    equal too; they are join keys, so that a busy cell is split by them. Both sides are dealt by cell, none is broadcast."""
     (lx, ly), (rx, ry) = lxy, rxy
     near = with_cells(left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()), lx, ly, radius, around=True)
-    pairs = near.join(with_cells(right, rx, ry, radius), ["cell", *on]).drop("cell")
+    pairs = spread(near).join(with_cells(right, rx, ry, radius), ["cell", *on]).drop("cell")
     d2 = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
     pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     return pairs if keep is None else pairs.where(keep)
@@ -33,7 +34,8 @@ def knn_join(left: DataFrame, right: DataFrame, lid: str, lxy, rxy, tie: list[st
     """The k nearest rows of right for each row of left (lid unique), nearest first, ties by `tie`: rank 1..k.
 
     Searches within a radius that doubles for the rows that have found fewer than k, until all have, or
-    the radius spans everything. It starts at twice what k rows of right take up on average. What is found and
+    the radius spans everything. It starts at twice what k rows of right take up on average, or at `radius` if
+    that is less. What is found and
     what is open is cut each round, so no round repeats the ones before.
     """
     box = right.agg(F.min(rxy[0]), F.max(rxy[0]), F.min(rxy[1]), F.max(rxy[1]), F.count("*")).first()
@@ -42,7 +44,8 @@ def knn_join(left: DataFrame, right: DataFrame, lid: str, lxy, rxy, tie: list[st
     if not box[4] or own[0] is None or box[0] is None:
         return proximity_join(left, right, lxy, rxy, radius or 1.0).withColumn("rank", F.lit(1).cast("long")).limit(0)
     span = max(box[1], own[1]) - min(box[0], own[0]) + max(box[3], own[3]) - min(box[2], own[2]) + 1
-    radius = radius or max(2 * ((box[1] - box[0] + 1) * (box[3] - box[2] + 1) * k / box[4]) ** 0.5, span / 2**20)
+    dense = max(2 * ((box[1] - box[0] + 1) * (box[3] - box[2] + 1) * k / box[4]) ** 0.5, span / 2**20)
+    radius = min(radius or dense, dense)
     found, open_ = None, left
     while True:
         near = cut(proximity_join(open_, right, lxy, rxy, radius).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
@@ -56,6 +59,40 @@ def knn_join(left: DataFrame, right: DataFrame, lid: str, lxy, rxy, tie: list[st
         radius *= 2
 
 
+def nearest_on_sphere(left: DataFrame, right: DataFrame, lid: str, lxy, rxy, degree: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """(lid, metres): of each row of left the great-circle metres to the nearest row of right with equal `on`; rows without one
+    are left out. Coordinates are numbers, so many to a degree of longitude and latitude.
+
+    A round looks at the nine cells around a row. What it finds holds once everything nearer must lie in them: a circle of
+    that many metres spans so many degrees either way. Rows without such an answer go on with cells twice as wide."""
+    (lx, ly), (rx, ry) = lxy, rxy
+    left = cut(left.select(lid, *on, lx, ly).where(F.col(lx).isNotNull() & F.col(ly).isNotNull()))
+    right = cut(right.select(*on, rx, ry).where(F.col(rx).isNotNull() & F.col(ry).isNotNull()).distinct())
+    box, own = (df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count("*")).first() for df, x, y in ((right, rx, ry), (left, lx, ly)))
+    groups = right.select(*on).distinct().count() if on else 1
+    if not box[4] or not own[4]:
+        return left.select(lid, F.lit(0.0).alias("metres")).limit(0)
+    span = max(box[1], own[1]) - min(box[0], own[0]) + max(box[3], own[3]) - min(box[2], own[2]) + 1
+    radius = max(2 * ((box[1] - box[0] + 1) * (box[3] - box[2] + 1) * max(groups, 1) / box[4]) ** 0.5, span / 2**20)
+    at = lambda x, y: point(F.col(x) / degree, F.col(y) / degree)
+    found, open_ = None, left
+    while True:
+        pairs = spread(with_cells(open_, lx, ly, radius, around=True)).join(with_cells(right, rx, ry, radius), ["cell", *on])
+        near = cut(pairs.groupBy(lid, ly).agg(F.min(haversine(at(lx, ly), at(rx, ry))).alias("metres")))
+        if radius >= span:
+            last = near.select(lid, "metres")
+            return last if found is None else found.unionByName(last)
+        # how far a circle of the metres reaches in latitude and longitude, with a little to spare
+        arc, lat = F.col("metres") / EARTH * (1 + 1e-9) + 1e-12, F.radians(F.col(ly) / degree)
+        wide = F.when((arc + F.abs(lat) < F.lit(1.57)) & (F.sin(arc) < F.cos(lat)), F.degrees(F.asin(F.sin(arc) / F.cos(lat))))
+        done = near.where((F.degrees(arc) * degree <= radius) & (wide * degree <= radius)).select(lid, "metres")
+        found = done if found is None else found.unionByName(done)
+        open_ = cut(open_.join(done.select(lid), lid, "left_anti"))
+        if open_.isEmpty():
+            return found
+        radius *= 2
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str]) -> DataFrame:
     """Each left row with the columns `take` of the latest right row of its key at or before it (nulls if none).
     Ties among right rows: the greatest by `take`. One shuffle: both sides are one sorted stream."""

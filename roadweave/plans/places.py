@@ -174,9 +174,8 @@ def tile_index(spark, sf_dir):
 )
 def nearest_metres(spark, sf_dir):
     a, b = sites(spark, sf_dir)
-    p = geo.point(F.col("x") / 1e4, F.col("y") / 1e4)
-    q = geo.point(F.col("sx") / 1e4, F.col("sy") / 1e4)
-    return a.join(b, F.col("area") == F.col("sarea")).select("id", F.floor(geo.haversine(p, q)).alias("m")).groupBy("id").agg(F.min("m").alias("metres"))
+    near = joins.nearest_on_sphere(a, b.withColumnRenamed("sarea", "area"), "id", ("x", "y"), ("sx", "sy"), 1e4, on=("area",))
+    return near.select("id", F.floor("metres").alias("metres"))
 
 
 @query(

@@ -46,3 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, of which no join makes a broadcast: the size of a file says little of the rows that are unfolded from it, and a
+    broadcast passes whole through the driver. The hint holds for what is derived from df up to its next join."""
+    return df.hint("merge")
+
+
+def cut_spread(df: DataFrame) -> DataFrame:
+    return spread(cut(df))
