@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.operators.conflation import BEARING, OVERLAP, SEPARATION, exclusive
-from roadweave.session import cut
+from roadweave.session import cut_spread as cut
+from roadweave.session import spread
 
 # Metres a heading is read over, probes that make a line one of a way's, a count that only a freeway
 # carries where levels are stacked.
@@ -117,7 +118,7 @@ def near_lines(probes: DataFrame, segments: DataFrame, reach: float = SEPARATION
     both sides. A row of the result is a probe and a line near it."""
     size = 4 * reach
     cell = F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    pairs = probes.withColumn("cell", cell).join(in_cells(segments, reach, size), "cell")
+    pairs = spread(probes.withColumn("cell", cell)).join(in_cells(segments, reach, size), "cell")
     if gate is not None:
         pairs = pairs.where(gate)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
@@ -213,6 +214,7 @@ def conflate(ways: DataFrame, features: DataFrame, agree: Column | None = None,
     freeways; step 2 gives it back to streets if none took it and a street is nearest. step 3: ways with no such
     line take the lines they run along piece by piece, all stretches or none. step 4: other carriageways.
     """
+    ways, features = spread(ways), spread(features)
     ways = _filled(ways, name="string", ref="string", street="string", trail="boolean", nameless="boolean", freeway="boolean", divided="boolean", layer="int")
     features = _filled(features, fname="string", fref="string", count="long")
     traits = ways.select("way", "name", "ref", "freeway", "layer")
@@ -254,7 +256,7 @@ def near_pairs(probes: DataFrame, segments: DataFrame, reach: float) -> DataFram
     """(way, feature) of lines with a segment in the cells of a way's probes."""
     size = 4 * reach
     cell = F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    return probes.select("way", cell.alias("cell")).distinct().join(in_cells(segments, reach, size).select("feature", "cell").distinct(), "cell").select("way", "feature").distinct()
+    return spread(probes.select("way", cell.alias("cell")).distinct()).join(in_cells(segments, reach, size).select("feature", "cell").distinct(), "cell").select("way", "feature").distinct()
 
 
 def block_shares(ways: DataFrame, blocks: DataFrame, agree: Column, reach: float = SEPARATION, bearing: float = BEARING, least: int = LEAST_PROBES, coverage: float = OVERLAP) -> DataFrame:
@@ -265,8 +267,8 @@ def block_shares(ways: DataFrame, blocks: DataFrame, agree: Column, reach: float
     that disagrees, then the nearest. A required way takes blocks that agree only; one that disagrees is taken by
     free ways from freeway blocks only, and dropped where another block of the way agrees. Blocks of `least` probes
     count, and where they cover `coverage` of the way together it is matched. Blocks aren't used up."""
-    ways = _filled(ways, trail="boolean", required="boolean", free="boolean")
-    blocks = _filled(blocks, freeway_block="boolean")
+    ways = _filled(spread(ways), trail="boolean", required="boolean", free="boolean")
+    blocks = _filled(spread(blocks), freeway_block="boolean")
     probes = way_probes(ways.where("NOT trail"), reach)
     segments = cut(line_segments(blocks))
     named = near_pairs(probes, segments, reach).join(ways.select("way", "name", "required", "free"), "way").join(blocks.select("feature", "fname", "freeway_block"), "feature").withColumn("agrees", agree)
@@ -284,8 +286,8 @@ def block_shares(ways: DataFrame, blocks: DataFrame, agree: Column, reach: float
 
 def unmatched_blocks(shares: DataFrame, ways: DataFrame, blocks: DataFrame, reach: float = SEPARATION, bearing: float = BEARING, coverage: float = OVERLAP) -> DataFrame:
     """(feature): blocks that no way lies along and that don't run along a matched way for `coverage` of their own length."""
-    left = blocks.join(shares.select("feature").distinct(), "feature", "left_anti").select("feature", "pts")
-    lines = ways.join(shares.select("way").distinct(), "way", "left_semi").select(F.col("way").alias("feature"), "pts")
+    left = spread(blocks).join(shares.select("feature").distinct(), "feature", "left_anti").select("feature", "pts")
+    lines = spread(ways).join(shares.select("way").distinct(), "way", "left_semi").select(F.col("way").alias("feature"), "pts")
     probes = way_probes(left.select(F.col("feature").alias("way"), "pts"), max(reach / 4, 1.0))
     near = near_lines(probes, line_segments(lines), reach).where(aligned(F.col("heading"), F.col("fheading"), bearing))
     covered = near.groupBy("way").agg(F.countDistinct("slot").alias("n"), F.first("probes").alias("probes")).where(F.col("n") >= coverage * F.col("probes"))
