@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.operators.matching import _turn, line_segments, near_lines, way_probes
-from roadweave.session import cut
+from roadweave.session import cut_spread as cut
+from roadweave.session import spread
 
 # Metres and share of overlap, metres between places; samples sent of a profile.
 OVERLAP_M, OVERLAP_SHARE, STEP_M = 25.0, 0.5, 10.0
@@ -20,7 +21,7 @@ def without_overlaps(lines: DataFrame, reach: float = OVERLAP_M, share: float =
     smaller line), unless `share` of its places lie within reach of lines taken before it that run the same way there.
 
     In rounds: a line is decided once all longer ones near it are, which equals one pass in order; places are met in cells."""
-    lines = lines.where(F.size("pts") >= 2)
+    lines = spread(lines.where(F.size("pts") >= 2))
     rank = F.struct((-F.col("length")).alias("l"), F.col("line").alias("i"))
     ranks = lines.select("line", rank.alias("rank"), F.coalesce("both", F.lit(False)).alias("both"))
     probes = cut(way_probes(lines.select(F.col("line").alias("way"), "pts"), step, 0.0))
