@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.tags import street_key
 from roadweave.operators.matching import in_cells, line_segments, near_lines, way_probes
-from roadweave.session import cut
+from roadweave.session import cut_spread as cut
+from roadweave.session import spread
 
 # Metres of tolerance, shares, metres between samples, side by side, degrees, lengths, neighbours.
 TOLERANCE, CONTAINED, COVERED, SAMPLE = 6.0, 0.9, 0.9, 2.0
@@ -61,6 +62,7 @@ def point_at(pts: Column, along: Column) -> Column:
 def measured(pairs: DataFrame, rows: DataFrame, ways: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """pairs(row, way) -> ((row, way, near, samples): samples of the way within tolerance of the row's line; (row, way, slot,
     probes): samples of the line within tolerance of the way)."""
+    rows, ways = spread(rows), spread(ways)
     one, line = ways.join(pairs.select("way").distinct(), "way", "left_semi").select("way", "pts"), rows.join(pairs.select("row").distinct(), "row", "left_semi").select("row", "pts")
     probes = way_probes(one, SAMPLE)
     size = probes.where("slot = 0").select("way", F.col("probes").alias("samples"))
@@ -74,6 +76,7 @@ def measured(pairs: DataFrame, rows: DataFrame, ways: DataFrame, tolerance: floa
 def drifted(rows: DataFrame, ways: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows whose way is still there -> (row, drift): null where it is the way they were written for; tags: the same line under
     another name or class; split and merged: much shorter or longer; redrawn: about as long, elsewhere."""
+    rows, ways = spread(rows), spread(ways)
     own = rows.where("pts IS NOT NULL").join(ways.select("way", F.col("pts").alias("now"), F.col("name").alias("now_name"), F.col("highway").alias("now_highway")), "way")
     counted, slots = measured(own.select("row", "way"), rows, ways, tolerance)
     covers = slots.groupBy("row").agg(F.countDistinct("slot").alias("held"), F.first("probes").alias("all"))
@@ -88,7 +91,7 @@ def drifted(rows: DataFrame, ways: DataFrame, tolerance: float = TOLERANCE) -> D
 def standing_for(rows: DataFrame, ways: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """rows(row, name, highway, length, pts), ways(way, name, highway, pts) -> (row, ways, reason): the ways that now stand for a
     row's line, sorted, or why there is no one answer: overreach, none, uncovered, crosses, parallel or length."""
-    size = 4 * tolerance
+    rows, ways, size = spread(rows), spread(ways), 4 * tolerance
     lines = in_cells(line_segments(rows.select(F.col("row").alias("feature"), "pts")), tolerance, size).select(F.col("feature").alias("row"), "cell").distinct()
     around = in_cells(line_segments(ways.select(F.col("way").alias("feature"), "pts")), tolerance, size).select(F.col("feature").alias("way"), "cell").distinct()
     key = lambda df, i: df.select(i, street_key(F.col("name")).alias("key"), F.coalesce("highway", F.lit("")).alias("class"))
@@ -125,7 +128,7 @@ def rematch(rows: DataFrame, ways: DataFrame, tolerance: float = TOLERANCE) -> t
     way was redrawn or retagged, stays where it is: drifted. One whose way was merged into a longer one isn't applied: failed,
     unless it warns. Rows that would put two values of a kind on one way fail. A row without a fingerprint stays while
     its way does. Rows repeated under one number count once; an empty table gives empty ones."""
-    rows = rows.dropDuplicates(["row"])
+    rows, ways = rows.dropDuplicates(["row"]), spread(ways)
     warns = F.coalesce(F.col("warns"), F.lit(False)) if "warns" in rows.columns else F.lit(False)
     rows = cut(rows.withColumn("warns", warns))
     here = cut(rows.join(ways.select("way"), "way", "left_semi").select("row", "kind", "way", "value"))
