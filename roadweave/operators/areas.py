@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.matching import in_cells
+from roadweave.session import spread
 
 # Metres between samples of a route, reach of an area's edge, shortest shared stretch, shortest crossing.
 STEP, REACH, SHARED_RUN, LEAST_CROSSING = 25.0, 2.0, 50.0, 160.9344
@@ -68,7 +69,7 @@ def cell_of(x: Column, y: Column, size: float) -> Column:
 def located(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """points(x, y, any others) with each area that holds them, a row each; points outside every area, or without
     coordinates, are left out."""
-    met = points.withColumn("cell", cell_of(F.col("x"), F.col("y"), size)).join(cells, "cell")
+    met = spread(points).withColumn("cell", cell_of(F.col("x"), F.col("y"), size)).join(cells, "cell")
     return met.where((F.size("edges") == 0) | holds(F.col("x"), F.col("y"), F.col("cell"), F.col("inside"), F.col("edges"), size)).drop("cell", "inside", "edges")
 
 
@@ -76,7 +77,7 @@ def way_areas(ways: DataFrame, cells: DataFrame, size: float, ranks: DataFrame)
     """ways(way, pts), ranks(area, rank) -> (way, area): the area of least rank (then least area) that holds the way's middle point."""
     middle = F.get("pts", F.floor(F.size("pts") / 2).cast("int"))
     points = ways.where(F.size("pts") > 0).select("way", middle["x"].alias("x"), middle["y"].alias("y"))
-    best = located(points, cells, size).join(ranks, "area").groupBy("way").agg(F.min(F.struct("rank", "area")).alias("m"))
+    best = located(points, cells, size).join(spread(ranks), "area").groupBy("way").agg(F.min(F.struct("rank", "area")).alias("m"))
     return best.select("way", "m.area")
 
 
@@ -102,7 +103,7 @@ def cut_at_cells(ways: DataFrame, size: float) -> DataFrame:
 def area_shares(ways: DataFrame, cells: DataFrame, size: float) -> DataFrame:
     """ways(way, pts) -> (way, area, share): the share of each way's length inside each area that holds any of it. Pieces
     within a cell are cut where they meet the area's edges there; what lies between is tested by its middle."""
-    pieces = cut_at_cells(ways, size)
+    pieces = spread(cut_at_cells(ways, size))
     x0, y0, dx, dy = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = F.sqrt(dx * dx + dy * dy)
     whole = pieces.groupBy("way").agg(F.sum(length).alias("whole"))
@@ -153,7 +154,7 @@ def route_crossings(routes: DataFrame, cells: DataFrame, size: float, names: Dat
     A stretch of several areas shorter than SHARED_RUN is a passing from one to the next: it goes to the stretch
     that follows if they have an area in common, else to the one before. Stretches shorter than `least` are left out
     unless they are enclaves. Stretches of no area are gaps."""
-    samples = route_samples(routes, step)
+    samples, names = spread(route_samples(routes, step)), spread(names)
     x, y = F.col("x"), F.col("y")
 
     def near(e):
