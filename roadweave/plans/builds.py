@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadweave.operators.joins import changed, distinct_on, unpaired
 from roadweave.plans.registry import query
-from roadweave.session import table
+from roadweave.session import dealt, table
 
 BUILDS = """
     live AS (SELECT l_orderkey AS way, l_linenumber AS ordinal, CAST(max(l_quantity) AS BIGINT) AS grade FROM lineitem WHERE l_partkey % 10 < 9 GROUP BY 1, 2),
@@ -17,6 +17,7 @@ BUILDS = """
 def builds(spark, sf_dir):
     """Two builds of a segment table: natural key (way, ordinal) and a grade."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("ordinal"), "l_partkey", "l_quantity")
+    line = dealt(line, "way", "ordinal")
     build = lambda keep: line.where(keep).groupBy("way", "ordinal").agg(F.max("l_quantity").cast("long").alias("grade"))
     return build(F.col("l_partkey") % 10 < 9), build(F.col("l_partkey") % 10 > 0)
 

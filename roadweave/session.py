@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARE = 500_000  # rows of a partition that is dealt by number
+
 
 def local_session(cores: str = "8", partitions: int = 8, name: str = "roadweave") -> SparkSession:
     """A session for tests and benches; a cluster brings its own settings."""
@@ -48,6 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys, to more partitions the more rows it has, so that a task's share doesn't grow with the table. Joins
+    and groups by these keys deal it no second time. The rows are counted first, which costs little for a table as it is read."""
+    return df.repartition(shares(df.sparkSession, df.count()), *keys)
+
+
+def shares(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: the session's number, or more if one would get more than SHARE rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARE))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, of which no join makes a broadcast: the size of a file says little of the rows that are unfolded from it, and a
     broadcast passes whole through the driver. The hint holds for what is derived from df up to its next join."""
