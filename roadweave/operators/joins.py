@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.geo import EARTH, haversine, point
-from roadweave.session import cut, spread
+from roadweave.session import cut, dealt, spread
 
 
 def with_cells(df: DataFrame, x: str, y: str, size: float, around: bool = False) -> DataFrame:
@@ -24,7 +24,7 @@ def proximity_join(left: DataFrame, right: DataFrame, lxy, rxy, radius: float, k
     equal too; they are join keys, so that a busy cell is split by them. Both sides are dealt by cell, none is broadcast."""
     (lx, ly), (rx, ry) = lxy, rxy
     near = with_cells(left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()), lx, ly, radius, around=True)
-    pairs = spread(near).join(with_cells(right, rx, ry, radius), ["cell", *on]).drop("cell")
+    pairs = spread(near).join(dealt(with_cells(right, rx, ry, radius), "cell", *on), ["cell", *on]).drop("cell")
     d2 = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
     pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     return pairs if keep is None else pairs.where(keep)

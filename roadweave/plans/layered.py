@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadweave.operators import layers
 from roadweave.plans.registry import query
-from roadweave.session import table
+from roadweave.session import dealt, table
 
 SEGMENTS = """g AS (SELECT l_partkey AS way, CASE WHEN l_suppkey % 5 > 0 THEN 'Trail ' || l_suppkey % 50 END AS name, CAST(l_linenumber % 5 + 1 AS INTEGER) AS tier,
     CASE l_returnflag WHEN 'A' THEN 'path' WHEN 'R' THEN 'protected' ELSE 'none' END AS facility, l_orderkey % 3 = 0 AS trail, CASE WHEN l_partkey % 4 < 3 THEN l_partkey % 4 = 1 END AS unpaved,
@@ -102,7 +102,7 @@ VERTICES = """v AS (SELECT l_orderkey AS line, row_number() OVER w AS pos, count
 
 
 def vertices(spark, sf_dir):
-    line, key = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    line, key = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey"), F.col("l_partkey")
     w = layers.Window.partitionBy("l_orderkey")
     return line.select(F.col("l_orderkey").alias("line"), F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("at"), F.count("*").over(w).alias("last"), (key * 7919 % 4001).alias("x"), (key * 104729 % 3989).alias("y"), key.alias("node"))
 

@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from roadweave import session
 from roadweave.functions import lines as fold
 from roadweave.operators import joins, layers
+from roadweave.plans import builds
 
 
 def plan(df):
@@ -66,3 +69,20 @@ def test_smoothing_shuffles_no_pairs(spark):
     got = fold.smooth_counts(ways)
     assert [tuple(r) for r in got.collect()] == [(3, 90, 10, 3, 300)]
     assert "Join" not in plan(got)
+
+
+def test_builds_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "SHARE", 1000)
+    got = builds.unpaired_rows(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert re.search(rf"hashpartitioning\(way#\d+L?, ordinal#\d+, {-(-rows // 1000)}\)", plan(got)) and rows > 4000
+
+
+def test_spots_shuffle_no_pairs_with_lines(spark):
+    rows = [(1, 1, 3, 0, 0), (1, 2, 3, 50, 0), (1, 3, 3, 90, 0), (2, 1, 2, 50, 5), (2, 2, 2, 50, 80), (3, 1, 4, 90, 1), (3, 2, 4, 91, 1), (3, 3, 4, 95, 0), (3, 4, 4, 300, 0), (4, 1, 1, None, 0)]
+    lines = spark.createDataFrame(rows, "line int, at int, last int, x long, y long").withColumn("first", F.lit(1))
+    spots = spark.createDataFrame([(1, 0, 0), (2, 50, 2), (3, 90, 0), (4, 50, 80), (5, 700, 0)], "spot int, sx long, sy long")
+    got = layers.all_end(lines, spots, 10.0)
+    # at spot 3 line 3 has two vertices between its ends, but begins there too
+    assert {r.spot: r.all_end for r in got.collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert not re.search(r"hashpartitioning\(spot#\d+L?, line", plan(got))
