@@ -21,6 +21,17 @@ def previous(column: str, by: list[str], order: list) -> Column:
     return F.lag(column).over(Window.partitionBy(*by).orderBy(*order))
 
 
+def following(df: DataFrame, by: str, at: str, out: str, stretch: int) -> DataFrame:
+    """df with out: the next `at` (a whole number, no two alike) of its group, null for the last. Stretches of so many numbers
+    are read apart, then the next of each one's last row is the first of the next stretch that has any, so that a group may be
+    as long as the table."""
+    own = df.withColumn("__s", F.floor(F.col(at) / stretch))
+    inside = own.withColumn(out, F.lead(at).over(Window.partitionBy(by, "__s").orderBy(at)))
+    heads = own.groupBy(by, "__s").agg(F.min(at).alias("__first"))
+    after = heads.select(by, "__s", F.lead("__first").over(Window.partitionBy(by).orderBy("__s")).alias("__next"))
+    return inside.join(after, [by, "__s"], "left").withColumn(out, F.coalesce(out, "__next")).drop("__s", "__next")
+
+
 def rolling_range(df: DataFrame, by: list[str], at: str, back, ahead, aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates over all rows from at - back to at + ahead, both included."""
     w = Window.partitionBy(*by).orderBy(at).rangeBetween(-back, ahead)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import climbs
-from roadweave.operators import areas, chains, tiling
+from roadweave.operators import areas, chains, tiling, windows
 from roadweave.plans.matched import line
 from roadweave.plans.registry import query
 from roadweave.session import table
@@ -109,9 +109,8 @@ def closed_rings(spark, sf_dir):
 )
 def long_chains(spark, sf_dir):
     """Chains of lines along seven roads, broken at some lines, from partners alone."""
-    w = Window.partitionBy("road").orderBy("line")
     lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), (F.col("o_custkey") % 7).alias("road"), (F.col("o_orderkey") % 10 + 1).alias("length"))
-    after = lines.withColumn("other", F.lead("line").over(w)).where("other IS NOT NULL AND other % 97 != 0")
+    after = windows.following(lines, "road", "line", "other", 10_000).where("other IS NOT NULL AND other % 97 != 0")
     # a line is drawn along its road or against it
     side = lambda c, ahead: F.when(F.col(c) % 3 == 0, 0 if ahead else 1).otherwise(1 if ahead else 0)
     one = after.select("line", side("line", True).alias("side"), "other", side("other", False).alias("other_side"))
