@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadweave.operators.chains import chains
 from roadweave.operators.graph import components
-from roadweave.session import cut
+from roadweave.session import cut, spread
 
 
 def vertices(points: DataFrame, least: int = 2) -> DataFrame:
@@ -40,24 +40,32 @@ def piece_sums(edges: DataFrame, of: DataFrame, value: str = "cost") -> DataFram
 def spurs(edges: DataFrame, least: float) -> DataFrame:
     """edges(row long, u, v, cost) -> (row): dead ends shorter than `least`, from an open end to the first node of three
     edges or more; what becomes a dead end when they are gone counts too. Pieces without such a node stay whole, and so do
-    dead ends of `least` or more. A round takes whole chains off, so their number is that of the nodes met on the way in."""
-    live, gone = cut(edges.select("row", "u", "v", "cost").dropDuplicates(["row"])), None
+    dead ends of `least` or more. A round takes whole chains off, so their number is that of the nodes met on the way in, and
+    the next reads each chain that is left as one edge."""
+    live, levels = cut(edges.select("row", "u", "v", "cost").dropDuplicates(["row"])), []
     while True:
         ends = live.select(F.col("row").alias("line"), F.posexplode(F.array("u", "v")).alias("side", "node"))
-        degree = ends.groupBy("node").agg(F.count("*").alias("n"))
-        two = ends.join(degree.where("n = 2").select("node"), "node")
+        degree = cut(ends.groupBy("node").agg(F.count("*").alias("n")))
+        two = ends.join(spread(degree.where("n = 2").select("node")), "node")
         other = two.select("node", F.col("line").alias("other"), F.col("side").alias("other_side"))
-        pairs = two.join(other, "node").where("line != other OR side != other_side").select("line", "side", "other", "other_side")
-        placed = cut(chains(live.select(F.col("row").alias("line")), pairs))
-        met = ends.join(degree, "node").join(placed.where("NOT ring").select("line", "chain"), "line")
-        tips = met.groupBy("chain").agg(F.sum((F.col("n") == 1).cast("int")).alias("open"), F.sum((F.col("n") > 2).cast("int")).alias("joints"))
-        size = placed.join(live.select(F.col("row").alias("line"), "cost"), "line").groupBy("chain").agg(F.sum("cost").alias("length"))
-        short = tips.where("open = 1 AND joints = 1").join(size.where(F.col("length") < least), "chain").select("chain")
-        off = cut(placed.join(short, "chain", "left_semi").select(F.col("line").alias("row")))
+        pairs = spread(two).join(other, "node").where("line != other OR side != other_side").select("line", "side", "other", "other_side")
+        placed = cut(chains(live.select(F.col("row").alias("line")), pairs).where("NOT ring").select("line", "chain"))
+        # from here on a chain is one edge between the nodes at its two ends; rings touch nothing else
+        met = ends.join(spread(degree.where("n != 2")), "node").join(spread(placed), "line")
+        tips = met.groupBy("chain").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.sum((F.col("n") == 1).cast("int")).alias("open"), F.sum((F.col("n") > 2).cast("int")).alias("joints"))
+        size = live.select(F.col("row").alias("line"), "cost").join(spread(placed), "line").groupBy("chain").agg(F.sum("cost").alias("cost"))
+        short = F.coalesce((F.col("open") == 1) & (F.col("joints") == 1) & (F.col("cost") < least), F.lit(False))
+        whole = cut(size.join(spread(tips), "chain").select(F.col("chain").alias("row"), "u", "v", "cost", short.alias("short")))
+        off = whole.where("short").select("row")
+        levels.append((placed, off))
         if off.isEmpty():
-            return gone if gone is not None else off
-        gone = off if gone is None else gone.unionByName(off)
-        live = cut(live.join(off, "row", "left_anti"))
+            break
+        live = whole.where("NOT short").drop("short")
+    gone = None
+    for placed, off in reversed(levels):  # the edges that make up the chains taken off
+        held = off if gone is None else off.unionByName(gone)
+        gone = placed.join(held.select(F.col("row").alias("chain")), "chain", "left_semi").select(F.col("line").alias("row"))
+    return gone
 
 
 def reached(edges: DataFrame, of: DataFrame, limit: float) -> DataFrame:
