@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.graph import mutual_best
-from roadweave.session import cut
+from roadweave.session import cut, shares, spread
 
 STRAIGHT = 45.0  # degrees off straight on that still continue a line
 
@@ -48,20 +48,24 @@ def chains(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     states = lines.select(F.explode(F.array(2 * F.col("line"), 2 * F.col("line") + 1)).alias("s")).join(before, "s", "left")
     # jump: steps to ptr, or to the head where ptr is null; least: the least state among those passed, `at` steps back
     at_head = F.col("ptr").isNull()
-    now = cut(states.select("s", "ptr", F.when(at_head, 0).otherwise(1).cast("long").alias("jump"), F.when(at_head, F.col("s")).alias("root"), F.col("s").alias("least"), F.lit(0).cast("long").alias("at")))
-    seen = None
+    now = states.select("s", "ptr", F.when(at_head, 0).otherwise(1).cast("long").alias("jump"), F.when(at_head, F.col("s")).alias("root"), F.col("s").alias("least"), F.lit(0).cast("long").alias("at"))
+    open_, done, seen = cut(now), None, None
+    deal = shares(lines.sparkSession, open_.count())
     while True:
-        told = tuple(now.where("ptr IS NOT NULL").agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(s, least))"), F.lit(0))).first())
+        # states at their head are done: they are jumped to, and jump no more
+        fixed = open_.where("ptr IS NULL")
+        done, open_ = fixed if done is None else done.unionByName(fixed), open_.where("ptr IS NOT NULL")
+        told = tuple(open_.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(s, least))"), F.lit(0))).first())
         if not told[0] or told == seen:
             break
         seen = told
-        ahead = now.select(F.col("s").alias("ptr"), F.col("ptr").alias("p2"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("least").alias("l2"), F.col("at").alias("a2"))
-        met, open_ = now.join(ahead, "ptr", "left"), F.col("ptr").isNotNull()
-        less = open_ & (F.col("l2") < F.col("least"))
-        now = cut(met.select(
+        ahead = done.unionByName(open_).select(F.col("s").alias("ptr"), F.col("ptr").alias("p2"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("least").alias("l2"), F.col("at").alias("a2"))
+        less = F.col("l2") < F.col("least")
+        open_ = cut(spread(open_.repartition(deal, "ptr")).join(spread(ahead.repartition(deal, "ptr")), "ptr", "left").select(
             "s", F.col("p2").alias("ptr"), (F.col("jump") + F.coalesce("j2", F.lit(0))).alias("jump"), F.coalesce("root", "r2").alias("root"),
             F.when(less, F.col("l2")).otherwise(F.col("least")).alias("least"), F.when(less, F.col("jump") + F.col("a2")).otherwise(F.col("at")).alias("at"),
         ))
+    now = done.unionByName(open_)
     ring = F.col("ptr").isNotNull()
     placed = now.select(F.floor(F.col("s") / 2).alias("line"), F.struct(F.when(ring, F.col("least")).otherwise(F.col("root")).alias("root"), (F.col("s") % 2 == 1).alias("back"), F.when(ring, F.col("at")).otherwise(F.col("jump")).alias("place"), ring.alias("ring")).alias("c"))
     best = placed.groupBy("line").agg(F.min("c").alias("c"))
@@ -104,7 +108,7 @@ def closed_rings(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     closed rings, and (area, role, way) of what doesn't close. Ways of one area and role only are joined.
 
     Dangling chains go first, so a spur doesn't open the ring it hangs on; each round drops whole chains between
-    branching nodes. Where four ends or more meet, they pair up by way; an odd one out stays open."""
+    branching nodes, and goes on with the areas and roles that have any. Where four ends or more meet, they pair up by way; an odd one out stays open."""
     live = cut(ways.select("area", "role", "way", "a", "b").distinct())
 
     def ends(df):
@@ -120,18 +124,29 @@ def closed_rings(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
         y = x.select("area", "role", "node", "two", F.col("line").alias("other"), F.col("side").alias("other_side"))
         return x.join(y, ["area", "role", "node", "two"]).where("line != other OR side != other_side").select("line", "side", "other", "other_side")
 
+    def told(live, placed):
+        of = live.select("area", "role", "way").join(placed.withColumnRenamed("line", "way"), "way").where("ring")
+        return of.select("area", "role", F.col("chain").alias("ring"), "place", "way", "forward")
+
+    rings = None
     while True:
-        placed = chains(live.select(F.col("way").alias("line")), paired(live, 2))
-        deg = ends(live).groupBy("area", "role", "node").agg(F.count("*").alias("n"))
+        placed = cut(chains(live.select(F.col("way").alias("line")), paired(live, 2)))
+        deg = cut(ends(live).groupBy("area", "role", "node").agg(F.count("*").alias("n")))
+        # where no node of an area has three ends, its chains are whole pieces, and nothing that goes changes another
+        meets = deg.where("n > 2").select("area", "role").distinct()
+        settled = told(live.join(meets, ["area", "role"], "left_anti"), placed)
+        rings = settled if rings is None else rings.unionByName(settled)
+        live = cut(live.join(meets, ["area", "role"], "left_semi"))
+        if live.isEmpty():
+            break
         loose = ends(live).join(deg.where("n = 1"), ["area", "role", "node"]).select("line").distinct()
         open_ = placed.join(loose, "line").select("chain").distinct()
-        gone = cut(placed.where("NOT ring").join(open_, "chain", "left_semi").select(F.col("line").alias("way")))
+        gone = cut(live.select("way").join(placed.where("NOT ring").join(open_, "chain", "left_semi").select(F.col("line").alias("way")), "way", "left_semi"))
         if gone.isEmpty():
+            rings = rings.unionByName(told(live, cut(chains(live.select(F.col("way").alias("line")), paired(live, None)))))
             break
         live = cut(live.join(gone, "way", "left_anti"))
-    placed = cut(chains(live.select(F.col("way").alias("line")), paired(live, None)))
-    told = live.select("area", "role", "way").join(placed.withColumnRenamed("line", "way"), "way").where("ring")
-    rings = cut(told.select("area", "role", F.col("chain").alias("ring"), "place", "way", "forward"))
+    rings = cut(rings)
     return rings, ways.select("area", "role", "way").distinct().join(rings.select("way"), "way", "left_anti")
 
 
