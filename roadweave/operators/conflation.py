@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.operators.graph import components
+from roadweave.operators.graph import components, hub_join
 from roadweave.operators.joins import proximity_join
-from roadweave.session import cut
+from roadweave.session import cut, dealt
 
 # Metres, share of the way, degrees.
 SEPARATION, OVERLAP, BEARING = 20.0, 0.5, 25.0
@@ -61,24 +61,30 @@ def claim(found: DataFrame, finish: int = FINISH) -> DataFrame:
     width = found.agg(F.avg(F.abs(F.col("hi") - F.col("lo")))).first()[0]
     width = width if width and 0 < width < float("inf") else 1.0
     cell = lambda f: F.floor(f("lo", "hi") / width)
-    live = cut(found.distinct().select("way", "feature", "lo", "hi", rank.alias("rank"), F.sequence(cell(F.least), cell(F.greatest)).alias("cells")))
+    live = cut(found.distinct().withColumn("id", F.monotonically_increasing_id()))
     held, columns = None, found.columns
+
+    def in_cells(df, *more):
+        return df.select("feature", "lo", "hi", "id", *more, F.explode(F.sequence(cell(F.least), cell(F.greatest))).alias("cell"))
+
     while (left := live.count()) > finish:
-        spread = live.withColumn("cell", F.explode_outer("cells"))
-        of_cell = spread.groupBy("feature", "cell").agg(F.min(F.struct("rank", F.size("cells").alias("n"))).alias("m"))
-        on_feature = of_cell.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("m.n")).select("m.rank")
-        of_way = live.groupBy("way").agg(F.min("rank").alias("rank"))
-        # rows of one rank are one row
-        taken = cut(live.join(of_way.select("rank").join(on_feature, "rank"), "rank", "left_semi"))
+        # rows go by their number; a rank is read where rows are compared
+        size = F.abs(cell(F.greatest) - cell(F.least)) + 1
+        of_cell = in_cells(live, rank.alias("rank"), size.alias("n")).groupBy("feature", "cell").agg(F.min(F.struct("rank", "id", "n")).alias("m"))
+        nowhere = live.where(F.col("lo").isNull() | F.col("hi").isNull()).select("id")
+        on_feature = of_cell.groupBy("m.id", "m.n").agg(F.count("*").alias("c")).where("c >= n").select("id").unionByName(nowhere)
+        of_way = live.groupBy("way").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("m")).select("m.id")
+        taken = cut(live.join(of_way.join(on_feature, "id"), "id", "left_semi"))
         held = taken if held is None else held.unionByName(taken)
-        spans = taken.select("feature", F.col("lo").alias("a"), F.col("hi").alias("b"), F.explode("cells").alias("cell"))
-        beaten = live.withColumn("cell", F.explode("cells")).join(spans, ["feature", "cell"]).where("lo < b and a < hi").select("rank").distinct()
-        live = cut(live.join(taken.select("way"), "way", "left_anti").join(beaten, "rank", "left_anti"))
-    rest = live.select(*[f"rank.{c}" for c in columns])
+        spans = in_cells(taken).select("feature", "cell", F.col("lo").alias("a"), F.col("hi").alias("b"))
+        beaten = in_cells(live).join(spans, ["feature", "cell"]).where("lo < b and a < hi").select("id")
+        gone = beaten.unionByName(live.select("way", "id").join(taken.select("way"), "way", "left_semi").select("id")).distinct()
+        live = cut(live.join(gone, "id", "left_anti"))
+    rest = live.select(*columns)
     if left:
         kinds = ", ".join(f"{c} {t}" for c, t in found.dtypes)
         rest = rest.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda pdf: greedy_claims(pdf)[columns], kinds)
-    return rest if held is None else rest.unionByName(held.select(*[f"rank.{c}" for c in columns]))
+    return rest if held is None else rest.unionByName(held.select(*columns))
 
 
 def greedy_spans(rows: pd.DataFrame, reuse: float) -> pd.DataFrame:
@@ -170,12 +176,15 @@ def small_loops(ways: DataFrame, most: float) -> DataFrame:
 def through_networks(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """inner(way long, node long, reason string or null), outer(node) -> (network, ways, entries): connected inner ways that
     touch the outside at two nodes or more and hold a reason."""
+    inner = dealt(inner, "way")
     first = inner.groupBy("node").agg(F.min("way").alias("v"))
-    labels = components(inner.join(first, "node").select(F.col("way").alias("u"), "v")).toDF("way", "network")
-    of = inner.join(labels, "way", "left").withColumn("network", F.coalesce("network", "way"))
-    met = of.join(outer.select("node").distinct().withColumn("open", F.lit(1)), "node", "left")
-    sums = met.groupBy("network").agg(F.countDistinct("way").alias("ways"), F.countDistinct(F.when(F.col("open") == 1, F.col("node"))).alias("entries"), F.bool_or(F.col("reason").isNotNull()).alias("reasoned"))
-    return sums.where("entries >= 2 and reasoned").drop("reasoned")
+    labels = cut(components(hub_join(inner.select("way", "node"), first, "node").where("v IS NOT NULL").select(F.col("way").alias("u"), "v")).toDF("way", "network"))
+    # a way is in one network, and so is a node: that of any way at it
+    network = F.coalesce("network", "way")
+    ways = inner.groupBy("way").agg(F.bool_or(F.col("reason").isNotNull()).alias("reasoned")).join(labels, "way", "left").groupBy(network.alias("network")).agg(F.count("*").alias("ways"), F.bool_or("reasoned").alias("reasoned"))
+    nodes = first.where("node IS NOT NULL").join(outer.select("node").distinct(), "node", "left_semi").select(F.col("v").alias("way"))
+    entries = nodes.join(labels, "way", "left").groupBy(network.alias("network")).agg(F.count("*").alias("entries"))
+    return ways.join(entries, "network").where("entries >= 2 and reasoned").select("network", "ways", "entries")
 
 
 def tier_steps(base: Column, road: Column, count: Column, speed: Column, posted: Column, facility: Column, access: Column, rough: Column, expressway: Column, urban: Column, lanes: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadweave import session
 from roadweave.functions import lines as fold
-from roadweave.operators import joins, layers
+from roadweave.operators import chains, conflation, graph, joins, layers, network, windows
 from roadweave.plans import builds
 
 
@@ -86,3 +86,64 @@ def test_spots_shuffle_no_pairs_with_lines(spark):
     # at spot 3 line 3 has two vertices between its ends, but begins there too
     assert {r.spot: r.all_end for r in got.collect()} == {1: True, 2: False, 3: True, 4: True}
     assert not re.search(r"hashpartitioning\(spot#\d+L?, line", plan(got))
+
+
+def test_keys_of_many_rows_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(i, 7 if i < 40 else i % 5 if i < 60 else None) for i in range(63)], "i int, k int")
+    one = spark.createDataFrame([(7, "seven"), (1, "one"), (3, "three"), (9, "nine")], "k int, name string")
+    got = graph.hub_join(rows, one, "k", 20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(one, "k", "left").select(*got.columns).collect()))
+    links = spark.range(1, 500).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    assert graph.components(links).where("component = 0").count() == 500
+    inner = spark.createDataFrame([(1, 10, None), (2, 10, "gate"), (2, 11, None), (3, 30, None), (4, None, "gate"), (5, 11, None)], "way long, node long, reason string")
+    found = conflation.through_networks(inner, spark.createDataFrame([(10,), (10,), (11,), (30,)], "node long"))
+    assert [tuple(r) for r in found.collect()] == [(1, 3, 2)] and "Expand" not in plan(found)
+
+
+def test_claims_carry_numbers_not_ranks(spark, monkeypatch):
+    import pandas as pd
+
+    rng, kept = random.Random(8), []
+    monkeypatch.setattr(conflation, "cut", lambda df: kept.append(df.columns) or session.cut(df))
+    rows = [(i // 3, rng.randrange(4), rng.randrange(2), rng.choice([0.5, 1.0]), *(a := rng.uniform(0, 100), a + 12.0), 1.0) for i in range(60)] + [(50, 1, 0, 0.9, None, None, 1.0)]
+    names = ["way", "feature", "precedence", "share", "lo", "hi", "apart"]
+    rows = list({r[:2]: r for r in rows}.values())
+    want = conflation.greedy_claims(pd.DataFrame(rows, columns=names))
+    got = conflation.claim(spark.createDataFrame(rows, "way long, feature long, precedence int, share double, lo double, hi double, apart double"), 3)
+    assert sorted((r.way, r.feature) for r in got.collect()) == sorted(zip(want["way"], want["feature"]))
+    assert len(kept) > 2 and not any("rank" in c or "cells" in c for c in kept)
+
+
+def test_chains_of_rings_and_spurs_are_followed_once(spark, monkeypatch):
+    counts, calls, whole = [], [], chains.chains
+
+    def told(lines, pairs):
+        calls.append(lines.count())
+        return whole(lines, pairs)
+
+    monkeypatch.setattr(chains, "chains", told)
+    monkeypatch.setattr(network, "chains", told)
+    ways = [("A", "outer", 1, 1, 2), ("A", "outer", 2, 3, 2), ("A", "outer", 3, 3, 1), ("B", "outer", 4, 1, 2), ("B", "outer", 5, 2, 3)]
+    rings, left = chains.closed_rings(spark.createDataFrame(ways, "area string, role string, way long, a long, b long"))
+    assert calls == [5] and {r.way for r in rings.collect()} == {1, 2, 3} and {r.way for r in left.collect()} == {4, 5}
+    calls.clear()
+    # a square, on it a stem of 10 edges that forks into two tips of 10: the tips go, then the stem with what is now its end is long
+    edges = [(i, i, (i + 1) % 4, 9.0) for i in range(4)] + [(4, 0, 2, 9.0)] + [(100 + i, 0 if not i else 99 + i, 100 + i, 1.0) for i in range(10)]
+    edges += [(b + i, 109 if not i else b - 1 + i, b + i, 1.0) for b in (200, 300) for i in range(10)]
+    gone = network.spurs(spark.createDataFrame(edges, "row long, u long, v long, cost double"), 15.0)
+    assert {r.row for r in gone.collect()} == set(range(100, 110)) | set(range(200, 210)) | set(range(300, 310))
+    assert calls[0] == len(edges) and max(calls[1:]) <= 6
+    # states at their head aren't jumped again
+    monkeypatch.setattr(chains, "cut", lambda df: counts.append(df.count()) or session.cut(df))
+    pairs = [(i, 1, i + 1, 0) for i in range(0, 9)] + [(i + 1, 0, i, 1) for i in range(0, 9)]
+    got = whole(spark.range(30).toDF("line"), spark.createDataFrame(pairs, "line long, side int, other long, other_side int"))
+    assert {r.line: (r.chain, r.place) for r in got.collect()} == {i: (0, i) if i < 10 else (i, 0) for i in range(30)}
+    assert counts[0] == 60 and counts[1] == 18 and counts[-1] < 18
+
+
+def test_following_by_stretches(spark):
+    rng = random.Random(2)
+    rows = [(g, k) for g in range(3) for k in rng.sample(range(200), 25)] + [(4, 5)]
+    got = windows.following(spark.createDataFrame(rows, "road int, line long"), "road", "line", "other", 7)
+    want = {(g, k): min((m for h, m in rows if h == g and m > k), default=None) for g, k in rows}
+    assert {(r.road, r.line): r.other for r in got.collect()} == want and not re.search(r"hashpartitioning\(road#\d+, \d+\).{0,200}FileScan", plan(got))
