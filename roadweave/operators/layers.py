@@ -63,11 +63,12 @@ def chains(lines: DataFrame, gap: float) -> DataFrame:
     """lines(id long, name, x, y, length) -> (id, chain, run): lines of one name within gap of one another, and on through
     others, are one chain, named by its smallest id; run is its length. Lines without a name are in none."""
     named = lines.where(F.col("name").isNotNull())
-    # several lines of one name at one place are linked to the first of them
-    spot = named.groupBy("name", "x", "y").agg(F.min("id").alias("first"))
-    same = named.join(spot, ["name", "x", "y"]).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    found = cut(components(near_links(spot.select("name", F.col("first").alias("id"), "x", "y"), gap).unionByName(same)))
-    of = named.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("chain", F.coalesce("component", "id"))
+    # several lines of one name at one place go with the first of them, spots with the first of their cell; only cells are linked
+    spot = cut(named.groupBy("name", "x", "y").agg(F.min("id").alias("first")))
+    own, links = cell_links(spot.select("name", F.col("first").alias("id"), "x", "y"), gap)
+    found = cut(components(links)).withColumnRenamed("node", "first")
+    led = own.select("name", "x", "y", "first").join(found, "first", "left").select("name", "x", "y", F.coalesce("component", "first").alias("chain"))
+    of = named.join(led, ["name", "x", "y"], "left").withColumn("chain", F.coalesce("chain", "id"))
     sums = of.groupBy("chain").agg(F.sum("length").alias("run"))
     return of.select("id", "chain").join(sums, "chain").select("id", "chain", "run")
 
@@ -75,8 +76,15 @@ def chains(lines: DataFrame, gap: float) -> DataFrame:
 def near_links(spots: DataFrame, gap: float) -> DataFrame:
     """spots(name, id, x, y) -> (u, v): links by which the same spots hang together as by all pairs of a name within gap.
 
-    Cells are so small that all spots of one are within gap, so each is linked to the cell's first. Of two cells the spots
-    furthest towards each other are tried; only cells that no such link joins, over others too, are compared spot by spot."""
+    Cells are so small that all spots of one are within gap, so each is linked to the cell's first."""
+    own, between = cell_links(spots, gap)
+    return own.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v")).unionByName(between)
+
+
+def cell_links(spots: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """Spots with their cell and the first spot in it, and (u, v): links between cells, given by their first spots. Of two
+    cells the spots furthest towards each other are tried; only cells that no such link joins, over others too, are compared
+    spot by spot."""
     size = gap / 2**0.5 * (1 - 1e-9)
     placed = spots.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     towards = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
@@ -84,7 +92,6 @@ def near_links(spots: DataFrame, gap: float) -> DataFrame:
     ends = [f(spot, F.col("x") * i + F.col("y") * j).alias(f"{side}{k}") for k, (i, j) in enumerate(towards) for side, f in (("to", F.max_by), ("from", F.min_by))]
     cells = cut(placed.groupBy("name", "cx", "cy").agg(F.min("id").alias("first"), *ends))
     own = placed.join(cells.select("name", "cx", "cy", "first"), ["name", "cx", "cy"])
-    inside = own.where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     there = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.col(f"to{k}").alias("a")) for k, (i, j) in enumerate(towards)])
     asked = cells.select("name", F.col("first").alias("u"), F.explode(there).alias("t")).select("name", "u", "t.*")
     offered = cells.select("name", "cx", "cy", F.col("first").alias("v"), F.array(*[F.col(f"from{k}") for k in range(len(towards))]).alias("b"))
@@ -95,7 +102,7 @@ def near_links(spots: DataFrame, gap: float) -> DataFrame:
     left = beside.join(of.toDF("u", "gu"), "u", "left").join(of.toDF("v", "gv"), "v", "left").where(~F.coalesce(F.col("gu") == F.col("gv"), F.lit(False))).select("u", "v")
     each = own.select(F.col("first").alias("cell"), spot.alias("s"))
     open_ = left.join(each.select(F.col("cell").alias("u"), F.col("s").alias("a")), "u").join(each.select(F.col("cell").alias("v"), F.col("s").alias("b")), "v").where(within(F.col("a"), F.col("b")))
-    return inside.unionByName(sure).unionByName(open_.select("u", "v").distinct())
+    return own, sure.unionByName(open_.select("u", "v").distinct())
 
 
 def by_level(segments: DataFrame, level: str) -> DataFrame:

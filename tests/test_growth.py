@@ -62,6 +62,8 @@ def test_chains_without_all_pairs(spark):
     # many in one place give a link each, not one for each pair
     dense = spark.range(3000).select("id", F.lit("n").alias("name"), (F.col("id") % 60).alias("x"), F.floor(F.col("id") / 60).alias("y"))
     assert layers.near_links(dense, 200.0).count() == 2999
+    # and between the cells one each at most, whatever stands in them
+    assert layers.cell_links(dense, 40.0)[1].count() <= 4 * 12
 
 
 def test_smoothing_shuffles_no_pairs(spark):
