@@ -35,6 +35,8 @@ SCALE = 17
 LOW = np.uint64(1 << 31)
 END_ID = 2
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = np.array([chr(b).isalpha() for b in range(128)] + [False] * 128)
+EDGES = np.array([b <= 32 or b >= 128 for b in range(256)])  # bytes at which a word's white space may begin or end
 
 
 def whole_rows(sizes: list[int], most: int):
@@ -47,6 +49,11 @@ def whole_rows(sizes: list[int], most: int):
             begin, size = i, 0
 
 
+def strings(words: pa.Array) -> list[str]:
+    """The words, which hold no space, as one string that is split again: so each costs a fraction of a scalar's conversion."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(words) else []
+
+
 class Encoder:
     """text -> token ids of the library, as bytes of 32-bit numbers.
 
@@ -54,8 +61,8 @@ class Encoder:
     and a line break between printed characters stands alone, so a text is its first
     word followed by words that begin with a space or a line break. Signs that end a
     word after a letter stand apart from it too. So the library encodes each distinct
-    stem and each distinct ending of some CHUNK characters once, and the texts' ids are
-    gathered by word number. Texts where white space stands beside a space or a line
+    stem and each distinct ending of some CHUNK characters once, words are parted and
+    numbered in Arrow, and the texts' ids are gathered by word number. Texts where white space stands beside a space or a line
     break are encoded as a whole.
 
     Words of up to LONG characters are remembered, for one or two generations: a full
@@ -71,8 +78,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if self.tokenizer.decode([i], skip_special_tokens=False)[:1] in (" ", "\n")]] = True
-        self.memo: dict[str, bytes | bool] = {}
-        self.old: dict[str, bytes | bool] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,40 +96,53 @@ class Encoder:
             out += [data[x:y] for x, y in zip(edges, edges[1:])] if len(edges) == len(part) + 1 else self.encode([w if w[0] == "\n" else " " + w for w in part])
         return out
 
-    def learn(self, words: list[str]) -> list[bytes | bool]:
-        """Each word's ids after a space or line break; False for words that aren't clean."""
-        memo, old, marks = self.memo, self.old, self.marks
-        stems, tails = list(words), {}
-        for i, w in enumerate(words):
-            if w.isalpha():
-                continue
-            if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace()):
-                stems[i] = ""
-            elif not w[-1].isalpha():
-                stem = w.rstrip(SIGNS)
-                if stem != w and stem[-1:].isalpha() and marks.isdisjoint(w):
-                    stems[i], tails[i] = stem, w[len(stem) :]
-        wanted = set(stems).difference(memo, ("",))
-        again = wanted & old.keys()
-        memo.update(zip(again, map(old.__getitem__, again)))
-        fresh = list(wanted.difference(again))
-        known = dict(zip(fresh, self.encode_words(fresh)))
-        memo.update((w, ids) for w, ids in known.items() if len(w) <= LONG)
-        known[""] = False
-        out = [memo.get(w) or known[w] for w in stems]
-        endings = list(set(tails.values()))
-        ended = dict(zip(endings, self.encode(endings)))
-        for i, t in tails.items():
-            out[i] += ended[t]
-        return out
-
-    def ids_of(self, words: list[str]) -> list[bytes | bool]:
+    def stems(self, words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Each word's stem (null for words that aren't clean), the endings of those words that have one, and which do."""
+        edges = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+        text = np.frombuffer(words.buffers()[2], np.uint8) if edges[-1] else np.zeros(1, np.uint8)
+        bare = pc.ascii_rtrim(words, SIGNS)
+        sizes = pc.binary_length(bare).to_numpy()
+        last = np.where(sizes > 0, text[np.maximum(edges[:-1] + sizes - 1, 0)], 0)
+        cut = (sizes < np.diff(edges)) & (LETTERS[last] | (last >= 128))
+        for mark in self.marks:
+            cut &= ~pc.match_substring(words, mark).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(cut & (last >= 128))
+        cut[other] = [w[-1].isalpha() for w in strings(bare.take(pa.array(other)))]
+        # white space beyond ASCII begins and ends with bytes of 128 and more
+        ends = text[np.minimum(edges[:-1], len(text) - 1)], text[np.maximum(edges[1:] - 1, 0)]
+        unclean = np.diff(edges) == 0
+        other = np.flatnonzero(~unclean & (EDGES[ends[0]] | EDGES[ends[1]]))
+        unclean[other] = [w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace()) for w in strings(words.take(pa.array(other)))]
+        cut &= ~unclean
+        parted = words.filter(pa.array(cut))
+        bounds = np.frombuffer(parted.buffers()[1], np.int64, len(parted) + 1)
+        both = np.repeat(bounds, 2)[: 2 * len(parted) + 1]
+        both[1::2] += sizes[cut]
+        endings = pa.LargeStringArray.from_buffers(2 * len(parted), pa.py_buffer(both), parted.buffers()[2]).take(pa.array(np.arange(1, 2 * len(parted), 2)))
+        return pc.if_else(pa.array(unclean), None, pc.if_else(pa.array(cut), bare, words)), endings, cut
+
+    def learn(self, words: pa.Array) -> pa.Array:
+        """Each distinct word's ids after a space or line break; null for words that aren't clean."""
+        stems, endings, cut = self.stems(words)
+        coded, tails = stems.dictionary_encode(), endings.dictionary_encode()
+        found = pa.array(self.ids_of(strings(coded.dictionary)), pa.large_binary()).take(coded.indices)
+        at = np.zeros(len(words), np.int64)
+        at[cut] = 1 + tails.indices.to_numpy(zero_copy_only=False)
+        ended = pa.array([b"", *self.encode(strings(tails.dictionary))], pa.large_binary())
+        return pc.binary_join_element_wise(found, ended.take(pa.array(at)), pa.scalar(b"", pa.large_binary()))
+
+    def ids_of(self, stems: list[str]) -> list[bytes]:
         if len(self.memo) > WORDS:
             self.old, self.memo = self.memo, {}
-        found = list(map(self.memo.get, words))
+        found = list(map(self.memo.get, stems))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(missing, self.learn([words[i] for i in missing])):
-            found[i] = ids
+        earlier = list(map(self.old.get, [stems[i] for i in missing]))
+        fresh = [stems[i] for i, ids in zip(missing, earlier) if ids is None]
+        coded = iter(self.encode_words(fresh))
+        for i, ids in zip(missing, earlier):
+            found[i] = next(coded) if ids is None else ids
+            if len(stems[i]) <= LONG:
+                self.memo[stems[i]] = found[i]
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -136,24 +156,16 @@ class Encoder:
         later = np.ones(len(values), bool)
         later[first] = False
         coded = values.filter(pa.array(later)).dictionary_encode()
-        found = self.ids_of(coded.dictionary.to_pylist())
-        table = [ids or b"" for ids in found] + self.encode(starts)
+        words = self.learn(coded.dictionary)
+        table = pa.concat_arrays([words, pa.array(self.encode(starts), pa.large_binary())])
         codes = np.empty(len(values), np.int64)
         codes[later] = coded.indices.to_numpy(zero_copy_only=False)
-        codes[first] = np.arange(len(found), len(table))
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat = np.frombuffer(b"".join(table), "<u4")
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        at = np.int32 if max(len(flat), ends[-1]) < 2**31 else np.int64
-        places = np.repeat(((np.cumsum(sizes) - sizes)[codes] - ends + each).astype(at), each)
-        places += np.arange(len(places), dtype=at)
-        data = flat[places].tobytes()
-        unclean = np.zeros(len(table), bool)
-        unclean[[i for i, ids in enumerate(found) if ids is False]] = True
-        whole = np.add.reduceat(unclean[codes], first, dtype=np.int64) > 0
-        whole |= [s[-1:].isspace() for s in starts] & (np.diff(edges) > 1)
-        cuts = (4 * np.concatenate([[0], ends[edges[1:] - 1]])).tolist()
+        codes[first] = np.arange(len(words), len(table))
+        found = table.take(pa.array(codes))
+        whole = [s[-1:].isspace() for s in starts] & (np.diff(edges) > 1)
+        if found.null_count:
+            whole |= np.add.reduceat(found.is_null().to_numpy(zero_copy_only=False), first, dtype=np.int64) > 0
+        cuts, data = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[edges].tolist(), found.buffers()[2].to_pybytes()
         out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         again = np.flatnonzero(whole).tolist()
         for i, ids in zip(again, self.encode([texts[i] for i in again])):

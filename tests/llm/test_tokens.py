@@ -55,6 +55,19 @@ def test_encoder_equals_the_library():
             assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_endings_are_no_words_of_their_own(monkeypatch):
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    t, e, asked = Tokenizer.from_file(path), binary.Encoder(path), []
+    ids_of = e.ids_of
+    monkeypatch.setattr(e, "ids_of", lambda stems: asked.append(list(stems)) or ids_of(stems))
+    some = ["so word. word, word! word (word) word\nword?\n", "so straße. straße, 中文! 中文 é; é½. ½. a\u3000 b\u3000", "so a<|endoftext|>. <b>. <| word.\x1c <b>, \n. \n\x85a. ...", "so", "so ", ""]
+    for x, got in zip(some, e(some)):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    stems = [x for x in asked[0] if x]
+    assert len(stems) == len(set(stems)) and {"word", "\nword", "straße", "中文"} <= set(stems)
+    assert not {"word.", "word,", "word!", "\nword?", "straße.", "中文!"} & set(stems)
+
+
 @pytest.mark.parametrize("n,symbols", [(0, 1), (1, 1), (5, 3), (1000, 1), (5000, 50257), (300_001, 70000), (600_000, 3)])
 def test_segment_round_trip(n, symbols):
     ids = (np.random.default_rng(n).pareto(0.4, n) * 10).astype(np.int64) % symbols
