@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from roadweave import session
 from roadweave.functions import lines as fold
 from roadweave.operators import chains, conflation, graph, joins, layers, network, windows
-from roadweave.plans import builds
+from roadweave.plans import builds, layered
 
 
 def plan(df):
@@ -22,6 +22,26 @@ def test_small_files_are_not_broadcast(spark):
     assert "Broadcast" not in plan(met) and met.count() == 58
 
 
+def test_carriageways_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(layered.carriageway_pairs(spark, "/root/testdata/sf0.001"))
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 4000)
+    monkeypatch.setattr(joins, "PIECE", 1000)
+    rng = random.Random(7)
+    # one cell holds most rows, and copies of one row
+    a = [(i, "n", rng.randint(0, 9), rng.randint(0, 9)) for i in range(100)] + [(i, "m", rng.randint(-90, 90), rng.randint(-90, 90)) for i in range(100, 150)] + [(150, None, 1, 1), (151, "n", None, 1)]
+    b = [(1000 + i, n, x, y) for i, n, x, y in a] + [(9, "n", 5, 5)] * 60
+    left, right = spark.createDataFrame(a, "i int, name string, x long, y long"), spark.createDataFrame(b, "j int, name string, u long, v long")
+    for on in ((), ("name",)):
+        met = joins.proximity_join(left, right if on else right.drop("name"), ("x", "y"), ("u", "v"), 20.0, on=on)
+        want = sorted((p[0], q[0]) for p in a for q in b if p[2] is not None and q[2] is not None and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 400 and (not on or p[1] is not None and p[1] == q[1]))
+        assert sorted((r.i, r.j) for r in met.collect()) == want
+        tasks = met.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 4 and max(r["count"] for r in tasks) <= 8000
+
+
 def test_nearest_on_sphere(spark):
     rng = random.Random(5)
     a = [(i, i % 3, rng.randint(0, 9000), rng.randint(-6000, 7500)) for i in range(120)]
