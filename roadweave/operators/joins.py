@@ -28,13 +28,13 @@ def proximity_join(left: DataFrame, right: DataFrame, lxy, rxy, radius: float, k
     """Pairs within `radius` (planar, inclusive), with squared distance d2. The larger side isn't
     multiplied: give it as `right`. Rows without coordinates join nothing. on: columns of both sides that must be
     equal too; they are join keys, so that a busy cell is split by them. Both sides are dealt by cell, none is broadcast,
-    to as many tasks as there are pairs to compare; the rows of right in a cell with very many pairs are dealt to several."""
+    to as many tasks as there are rows and pairs to compare; the rows of right in a cell with very many pairs are dealt to several."""
     (lx, ly), (rx, ry) = lxy, rxy
     here = lambda df, *columns: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*columns, *on)]))
     keys, near, far = ["cell", *on], with_cells(here(left, lx, ly), lx, ly, radius, around=True), with_cells(here(right, rx, ry), rx, ry, radius)
     met = near.select(*keys, F.lit(1).alias("m"), F.lit(0).alias("n")).unionByName(far.select(*keys, F.lit(0).alias("m"), F.lit(1).alias("n"))).groupBy(*keys).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
     met = met.withColumn("pieces", F.least("n", F.ceil(F.col("m") * F.col("n") / PIECE)))
-    rows, pairs, most = met.agg(F.sum("n"), F.sum(F.col("m").cast("double") * F.col("n")), F.max("pieces")).first()
+    rows, near_rows, pairs, most = met.agg(F.sum("n"), F.sum("m"), F.sum(F.col("m").cast("double") * F.col("n")), F.max("pieces")).first()
     if most and most > 1:
         # a row for so many pairs, so few
         busy = met.where("pieces > 1").select(*keys, "pieces")
@@ -43,7 +43,7 @@ def proximity_join(left: DataFrame, right: DataFrame, lxy, rxy, radius: float, k
         near = near.join(busy, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("pieces")
         far = far.withColumn("__row", F.monotonically_increasing_id()).join(busy, keys, "left").withColumn("__piece", F.pmod("__row", pieces)).drop("__row", "pieces")
         keys = [*keys, "__piece"]
-    tasks = max(shares(left.sparkSession, rows or 0), math.ceil((pairs or 0) / PAIRS))
+    tasks = max(shares(left.sparkSession, max(rows or 0, near_rows or 0)), math.ceil((pairs or 0) / PAIRS))
     pairs = spread(near).join(far.repartition(tasks, *keys), keys).drop("cell", "__piece")
     d2 = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
     pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)

@@ -42,6 +42,14 @@ def test_tasks_follow_the_pairs(spark, monkeypatch):
         assert len(tasks) > 4 and max(r["count"] for r in tasks) <= 8000
 
 
+def test_tasks_follow_the_rows_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(session, "SHARE", 100)
+    many, few = spark.range(200).selectExpr("id i", "id * 10 x", "0 y"), spark.createDataFrame([(1, 5, 0)], "j int, u long, v long")
+    for left, right, rows in ((many, few, 9 * 200), (few.toDF("i", "x", "y"), many.toDF("j", "u", "v"), 200)):
+        met = joins.proximity_join(left, right, ("x", "y"), ("u", "v"), 5.0)
+        assert met.count() == 2 and re.search(rf"hashpartitioning\(cell#\d+, {max(4, rows // 100)}\)", plan(met))
+
+
 def test_nearest_on_sphere(spark):
     rng = random.Random(5)
     a = [(i, i % 3, rng.randint(0, 9000), rng.randint(-6000, 7500)) for i in range(120)]
