@@ -7,19 +7,27 @@ the outcome equals one greedy pass over everything.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.graph import components, hub_join
 from roadweave.operators.joins import proximity_join
-from roadweave.session import cut, dealt
+from roadweave.session import cut, dealt, shares, spread, stored
 
 # Metres, share of the way, degrees.
 SEPARATION, OVERLAP, BEARING = 20.0, 0.5, 25.0
 REUSE = 0.25  # of its own stretch a way may share with one before it
 FINISH = 20_000  # rows of claims that one pass decides
+WHOLE = 1_000_000  # rows of claims that are decided in one slice
+SLICES = (1 / 64, 1 / 16, 1 / 4)  # shares of the rows, by rank, where slices end
+SOME = 20_000  # rows that the ends of slices are read from
 CELLS = 1_000  # a stretch lies in so many cells at most
+BLOCKS = 16  # a stretch lies in so many blocks, but for one or two, at most
 
 
 def candidates(way_points: DataFrame, feature_points: DataFrame, separation: float = SEPARATION, overlap: float = OVERLAP, bearing: float = BEARING) -> DataFrame:
@@ -49,42 +57,83 @@ def greedy_claims(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[kept]
 
 
-def claim(found: DataFrame, finish: int = FINISH) -> DataFrame:
+def claim(found: DataFrame, finish: int = FINISH, whole: int = WHOLE) -> DataFrame:
     """(way long, feature long, precedence int, share, lo, hi, apart) -> the rows that hold after exclusive claims.
 
-    A round takes every row of least rank both for its way and in every cell of the feature that its stretch touches;
-    cells are as long as the mean stretch. Then the ways taken and the stretches that overlap one taken leave. When
-    `finish` rows or fewer are left, one greedy pass decides them.
+    More than `whole` rows are decided in slices by rank: what holds of a slice refuses most of the next before a round
+    reads it, so that most rows are dealt once. In a slice, a round takes every row of least rank both for its way and in
+    every cell of the feature that its stretch touches; cells are as long as the mean stretch. Then the ways taken and the
+    stretches that overlap one taken leave. When `finish` rows or fewer are left, one greedy pass decides them.
     """
     last = lambda c, x: [(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"no_{c}"), x.alias(f"by_{c}")]  # noqa: E731  nulls come last
-    rank = F.struct(*last("precedence", F.col("precedence")), *last("share", -F.col("share")), *last("apart", F.col("apart")), "way", "feature", *[c for c in found.columns if c not in ("way", "feature")])
-    width = found.agg(F.avg(F.abs(F.col("hi") - F.col("lo")))).first()[0]
-    width = width if width and 0 < width < float("inf") else 1.0
+    first = [*last("precedence", F.col("precedence")), *last("share", -F.col("share")), *last("apart", F.col("apart")), "way", "feature"]
+    rank = F.struct(*first, *[c for c in found.columns if c not in ("way", "feature", "precedence", "share", "apart")])
+    rows = stored(found.distinct())
+    length = F.abs(F.col("hi") - F.col("lo")).cast("double")
+    length = F.when(placed() & (length < float("inf")), length)
+    count, mean, longest = rows.agg(F.count("*"), F.avg(length), F.max(length)).first()
+    width = max(mean or 0.0, (longest or 0.0) / CELLS)
+    width = width if 0 < width < float("inf") else 1.0
+    block = max(width, (longest or 0.0) / BLOCKS)
+    held, parts = None, shares(found.sparkSession, count)
+    for within in by_slices(rows, F.struct(*first), count, whole):
+        live = rows.where(within)
+        if held is not None:
+            live = unclaimed(live, held, block, longest or 0.0, parts if parts > shares(found.sparkSession, 0) else None)
+        taken = in_rounds(live, rank, width, finish, lambda live, taken: unclaimed(live, taken, block, longest or 0.0))
+        held = taken if held is None else cut(held.unionByName(taken))
+    return held
+
+
+def placed() -> Column:
+    """Whether a stretch has both ends; one that hasn't overlaps none."""
+    return F.col("lo").isNotNull() & F.col("hi").isNotNull() & ~F.isnan(F.col("lo").cast("double")) & ~F.isnan(F.col("hi").cast("double"))
+
+
+def by_slices(rows: DataFrame, rank: Column, count: int, whole: int) -> list[Column]:
+    """Conditions that part rows into slices by rank, best first. The ends are read from some rows; wherever they lie, each
+    row is in one slice."""
+    if count <= whole:
+        return [F.lit(True)]
+    some = rows.select(rank.alias("rank")).sample(min(1.0, SOME / count), 1).orderBy("rank")
+    ranks = [r["rank"] for r in some.collect()]
+    ends = [F.struct(*[F.lit(v) for v in ranks[int(len(ranks) * s)]]).cast(some.schema["rank"].dataType) for s in SLICES] if ranks else []
+    return [(rank > a if a is not None else F.lit(True)) & (rank <= b if b is not None else F.lit(True)) for a, b in pairwise([None, *ends, None])]
+
+
+def unclaimed(live: DataFrame, taken: DataFrame, block: float, longest: float, parts: int | None = None) -> DataFrame:
+    """live without the ways of taken, and without the stretches that overlap one of taken. A row is looked up in the block
+    where its stretch starts; a stretch of taken is in all blocks where one that it overlaps can start. parts: partitions
+    that live is dealt to, else the session's."""
+    at = lambda f: F.floor(f("lo", "hi") / block)
+    deal = lambda df: spread(df.repartition(parts, "feature", "block") if parts else df)
+    reach = int(longest / block) + 2
+    spans = taken.where(placed()).select("feature", F.explode(F.sequence(at(F.least) - reach, at(F.greatest))).alias("block"), F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")).alias("span"))
+    spans = deal(spans).groupBy("feature", "block").agg(F.collect_set("span").alias("spans"))
+    over = placed() & F.exists("spans", lambda s: (F.col("lo") < s["b"]) & (s["a"] < F.col("hi")))
+    free = deal(live.withColumn("block", at(F.least))).join(spans, ["feature", "block"], "left").where(~F.coalesce(over, F.lit(False)))
+    return free.select(*live.columns).join(spread(taken.select("way")), "way", "left_anti")
+
+
+def in_rounds(live: DataFrame, rank: Column, width: float, finish: int, leave: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The rows of live that hold among these; leave(live, taken): those that are left when some are taken."""
     cell = lambda f: F.floor(f("lo", "hi") / width)
-    live = cut(found.distinct().withColumn("id", F.monotonically_increasing_id()))
-    held, columns = None, found.columns
-
-    def in_cells(df, *more):
-        return df.select("feature", "lo", "hi", "id", *more, F.explode(F.sequence(cell(F.least), cell(F.greatest))).alias("cell"))
-
+    columns, kinds = live.columns, ", ".join(f"{c} {t}" for c, t in live.dtypes)
+    live, held = cut(live.withColumn("id", F.monotonically_increasing_id())), []
     while (left := live.count()) > finish:
         # rows go by their number; a rank is read where rows are compared
-        size = F.abs(cell(F.greatest) - cell(F.least)) + 1
-        of_cell = in_cells(live, rank.alias("rank"), size.alias("n")).groupBy("feature", "cell").agg(F.min(F.struct("rank", "id", "n")).alias("m"))
-        nowhere = live.where(F.col("lo").isNull() | F.col("hi").isNull()).select("id")
-        on_feature = of_cell.groupBy("m.id", "m.n").agg(F.count("*").alias("c")).where("c >= n").select("id").unionByName(nowhere)
+        size = cell(F.greatest) - cell(F.least) + 1
+        in_cells = live.where(placed()).select("feature", "id", rank.alias("rank"), size.alias("n"), F.explode(F.sequence(cell(F.least), cell(F.greatest))).alias("cell"))
+        of_cell = in_cells.groupBy("feature", "cell").agg(F.min(F.struct("rank", "id", "n")).alias("m"))
+        on_feature = of_cell.groupBy("m.id", "m.n").agg(F.count("*").alias("c")).where("c >= n").select("id").unionByName(live.where(~placed()).select("id"))
         of_way = live.groupBy("way").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("m")).select("m.id")
         taken = cut(live.join(of_way.join(on_feature, "id"), "id", "left_semi"))
-        held = taken if held is None else held.unionByName(taken)
-        spans = in_cells(taken).select("feature", "cell", F.col("lo").alias("a"), F.col("hi").alias("b"))
-        beaten = in_cells(live).join(spans, ["feature", "cell"]).where("lo < b and a < hi").select("id")
-        gone = beaten.unionByName(live.select("way", "id").join(taken.select("way"), "way", "left_semi").select("id")).distinct()
-        live = cut(live.join(gone, "id", "left_anti"))
-    rest = live.select(*columns)
+        held.append(taken.select(*columns))
+        live = cut(leave(live, taken))
     if left:
-        kinds = ", ".join(f"{c} {t}" for c, t in found.dtypes)
-        rest = rest.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda pdf: greedy_claims(pdf)[columns], kinds)
-    return rest if held is None else rest.unionByName(held.select(*columns))
+        rest = live.select(*columns).withColumn("__all", F.lit(0))
+        held.append(cut(rest.groupBy("__all").applyInPandas(lambda pdf: greedy_claims(pdf)[columns], kinds)))
+    return reduce(DataFrame.unionByName, held) if held else live.select(*columns)
 
 
 def greedy_spans(rows: pd.DataFrame, reuse: float) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet files in the shared folder. They cut the lineage as a checkpoint does, and take less of the disk."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys, to more partitions the more rows it has, so that a task's share doesn't grow with the table. Joins
     and groups by these keys deal it no second time. The rows are counted first, which costs little for a table as it is read."""

@@ -146,6 +146,36 @@ def test_claims_carry_numbers_not_ranks(spark, monkeypatch):
     assert len(kept) > 2 and not any("rank" in c or "cells" in c for c in kept)
 
 
+def test_claims_in_slices(spark, monkeypatch):
+    import pandas as pd
+
+    rng, counts, nan = random.Random(11), [], float("nan")
+    names, kinds = ["way", "feature", "precedence", "share", "lo", "hi", "apart"], "way long, feature long, precedence int, share double, lo double, hi double, apart double"
+    monkeypatch.setattr(conflation, "cut", lambda df: (out := session.cut(df), counts.append(out.count()))[0])
+    rows = {}
+    for _ in range(1200):
+        # short and long stretches, points, ends the wrong way round, no ends, no share
+        w, f, lo = rng.randrange(400), rng.randrange(6), rng.choice([rng.uniform(0, 300), float(rng.randrange(0, 300, 20))])
+        lo, hi = rng.choice([(lo, lo + 20.0)] * 30 + [(lo, lo + 150.0), (lo, lo), (lo + 9.0, lo), (lo, lo + 0.1)])
+        lo, hi = rng.choice([(lo, hi)] * 60 + [(None, hi), (lo, nan), (nan, None)])
+        rows[w, f] = (w, f, rng.choice([0, 1, 2, None]), rng.choice([0.5, 0.7, 1.0, None]), lo, hi, rng.choice([rng.uniform(0, 9), nan]))
+    rows = list(rows.values())
+    plain = lambda found: sorted(tuple(None if x != x else x for x in r) for r in found.to_numpy(dtype=float).tolist())
+    want = plain(conflation.greedy_claims(pd.DataFrame(rows, columns=names)))
+    df = spark.createDataFrame(rows, kinds)
+    for finish, share in ((30, 64), (5000, 1)):
+        monkeypatch.setattr(conflation, "SOME", share * len(rows))
+        got = conflation.claim(df, finish, whole=len(rows) // 64 if share > 1 else len(rows))
+        assert [tuple(map(str, r)) for r in plain(got.toPandas())] == [tuple(map(str, r)) for r in want]
+    monkeypatch.setattr(session, "SHARE", 200)
+    counts.clear()
+    dense = [(i, i % 5, i % 7, 0.5, float(i * 37 % 1000), float(i * 37 % 1000 + 90), 0.0) for i in range(3000)]
+    got = conflation.claim(spark.createDataFrame(dense, kinds), 20, whole=1000)
+    assert sorted(r.way for r in got.collect()) == sorted(conflation.greedy_claims(pd.DataFrame(dense, columns=names))["way"])
+    # all that rounds write and read again is less than the rows; most are only looked up once
+    assert sum(counts) < len(dense)
+
+
 def test_chains_of_rings_and_spurs_are_followed_once(spark, monkeypatch):
     counts, calls, whole = [], [], chains.chains
 
